@@ -1,8 +1,9 @@
 """Content-addressed WARC archive.
 
 Two datasets in the shared folder: ``payloads`` (digest, payload) has every distinct payload once,
-``headers`` has the exact header block of every record and the digest of its payload. A record is
-rebuilt by a join on the digest, and what is read back is checked: the digest is computed again
+``headers`` has the exact header block of every record and the digest of its payload. Payloads are
+bucketed by digest when they are written, so that the join on the digest that rebuilds the records
+moves headers only; what is read back is checked: the digest is computed again
 from the stored bytes and compared with the one in the header, as is the length.
 
 Defined results: a null payload counts as empty. A null URL leaves out WARC-Target-URI; control
@@ -14,22 +15,36 @@ archive. Other columns are not looked at.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderlake.session import shared_folder
+from cinderlake.session import shared_folder, written
 
 CRLF = "\r\n"
 
 
 @dataclass
 class Archive:
-    """Paths of the two datasets."""
+    """Paths of the two datasets, and the number of buckets by digest of the payloads."""
 
     headers: str
     payloads: str
+    buckets: int
+
+
+@contextmanager
+def _table(spark: SparkSession) -> Iterator[str]:
+    """A passing name for an external table: only so are bucketed files written and read. The files stay."""
+    name = f"warc_{uuid.uuid4().hex}"
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _record_id(page_id: Column, nth: Column) -> Column:
@@ -66,11 +81,13 @@ def write_archive(pages: DataFrame, min_bytes: int = 100, date: str = "2001-01-0
     decided on small rows without payload.
     """
     spark = pages.sparkSession
-    archive = Archive(shared_folder(spark, "warc-headers"), shared_folder(spark, "warc-payloads"))
+    archive = Archive(shared_folder(spark, "warc-headers"), shared_folder(spark, "warc-payloads"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    rows.groupBy("digest").agg(F.max("payload").alias("payload")).write.option("compression", "zstd").parquet(archive.payloads)
+    once = rows.groupBy("digest").agg(F.max("payload").alias("payload"))
+    with _table(spark) as name:
+        once.write.option("compression", "zstd").option("path", archive.payloads).bucketBy(archive.buckets, "digest").saveAsTable(name)
 
     small = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("n"))
     first = small.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
@@ -85,7 +102,10 @@ def write_archive(pages: DataFrame, min_bytes: int = 100, date: str = "2001-01-0
 def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     """``page_id, refers_to, header, block``: every record as archived; a revisit's block is empty."""
     headers = spark.read.parquet(archive.headers)
-    payloads = spark.read.parquet(archive.payloads)
+    with _table(spark) as name:
+        spark.sql(f"CREATE TABLE {name} (digest STRING, payload BINARY) USING parquet OPTIONS (path '{archive.payloads}') CLUSTERED BY (digest) INTO {archive.buckets} BUCKETS")
+        payloads = spark.table(name)
+        payloads.schema  # resolves the table while its name exists
     full = headers.where("record_type = 'response'").join(payloads, "digest").select("page_id", "refers_to", "header", "payload")
     empty = headers.where("record_type = 'revisit'").select("page_id", "refers_to", "header", F.lit("").cast("binary").alias("payload"))
     return full.unionByName(empty).withColumnRenamed("payload", "block")
@@ -112,7 +132,7 @@ def parse_records(records: DataFrame) -> DataFrame:
 def op2_warc(pages: DataFrame) -> DataFrame:
     """Archive the pages and report what is read back; ``verified`` says that the bytes agree."""
     spark = pages.sparkSession
-    got = parse_records(read_records(spark, write_archive(pages)))
+    got = written(parse_records(read_records(spark, write_archive(pages))), "warc-parsed")
     response = got.where("record_type = 'response'")
     sizes = response.where("found_bytes >= 100").groupBy(F.col("payload_digest").alias("_d")).agg(F.max("found_bytes").alias("full_bytes"), F.min("verified").alias("full_ok"))
     revisit = got.where("record_type = 'revisit'").join(sizes, F.col("payload_digest") == F.col("_d"), "left")
