@@ -49,7 +49,7 @@ def group_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     the shuffle once; only groups of two rows or more go on, as digests.
     """
     index = written(_entries(documents, id_col, text_col).select("key", "id", F.sha2("norm", 256).alias("digest")), "exact-index")
-    slots = written(directory(index.select("key").distinct(), capacity, max_depth), "exact-directory", 1)
+    slots = written(directory(index.select("key").distinct(), capacity, max_depth), "exact-directory")
     owned = _entries(documents, id_col, text_col).withColumn("slot", F.shiftrightunsigned("key", 64 - max_depth)).join(F.broadcast(slots), "slot")
     bucket = F.expr(f"shiftleft(shiftright(slot, {max_depth} - depth), 6) + depth")
     chains = (
