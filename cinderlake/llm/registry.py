@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlake.llm import decontaminate, exact_dedup, language, packing, quality, simhash, toxicity, warc
+from cinderlake.llm import decontaminate, exact_dedup, language, packing, quality, simhash, substring_words, toxicity, warc
 from cinderlake.session import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": lambda s, d: quality.op4_quality(docs(s, d), table(s, d, "labels")),
         "op5_exact_dedup": lambda s, d: exact_dedup.op5_exact_dedup(docs(s, d)),
         "op6_simhash": lambda s, d: simhash.op6_simhash(docs(s, d)),
+        "op7_substring": lambda s, d: substring_words.op7_substring(docs(s, d)),
         "op8_language": lambda s, d: language.op8_language(docs(s, d)),
         "op9_toxicity": lambda s, d: toxicity.op9_toxicity(docs(s, d), table(s, d, "labels")),
         "op10_decontaminate": lambda s, d: decontaminate.op10_decontaminate(docs(s, d), table(s, d, "benchmark")),
