@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlake.llm import decontaminate, exact_dedup, language, packing, quality, simhash, substring_words, toxicity, warc
+from cinderlake.llm import decontaminate, exact_dedup, language, packing, quality, simhash, substring_words, suffix_dedup, toxicity, warc
 from cinderlake.session import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """op1 to op10 over whole tables with production parameters."""
     docs = lambda s, d: table(s, d, "documents")
     return {
+        "op1_suffix_dedup": lambda s, d: suffix_dedup.op1_suffix_dedup(docs(s, d)),
         "op2_warc": lambda s, d: warc.op2_warc(table(s, d, "pages")),
         "op3_packing": lambda s, d: packing.op3_packing(docs(s, d)),
         "op4_quality": lambda s, d: quality.op4_quality(docs(s, d), table(s, d, "labels")),
