@@ -225,3 +225,16 @@ def near_duplicates(documents: DataFrame, size: int = 4) -> DataFrame:
 def op6_simhash(documents: DataFrame) -> DataFrame:
     """The contract's columns."""
     return near_duplicates(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(documents: DataFrame, size: int = 4) -> DataFrame:
+    """The rows of ``documents`` that stay, all columns: of each component those with the smallest doc_id.
+
+    A doc_id that names both the smallest and another member of components keeps all its rows.
+    """
+    found = written(near_duplicates(documents, size).select("doc_id", "component_id"), "simhash-found")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stay = found.where(kept).select(F.col("doc_id").alias("_stay")).distinct()
+    gone = found.where(~kept).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = gone.join(stay, F.col("_gone").eqNullSafe(F.col("_stay")), "left_anti")
+    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
