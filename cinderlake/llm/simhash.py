@@ -13,6 +13,12 @@ the points of the ball of radius 2 around the complete fingerprint. Two fingerpr
 point exactly if they are within 4 bits, so linking each to the smallest at the point needs no
 comparison.
 
+A larger radius takes more segments (three for 8 bits: of 8 differing bits one third has 2 at most),
+and several fingerprints from independent mixes of the shingle hashes: candidates agree closely in
+one of them and are verified on all. Crowded points are then worked off in pairs of blocks. With
+segments of 21 bits candidates per document grow with the corpus, up to about a terabyte of text
+at bearable cost; the halves of the radius 4 carry on to 100 TB.
+
 Defined results: null and empty texts, and texts of blanks, have the fingerprint zero, and link like
 any other. Texts with fewer words than a shingle are one shingle. Rows that repeat a doc_id
 each get a row. A null doc_id takes part; a component of nulls only has the id null. An empty table
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 from cinderlake.operators.graph import connected_components
 from cinderlake.session import written
 
-RADIUS, HALF, MOST_AT_POINT = 4, 32, 4096
+RADIUS, MOST_AT_POINT = 4, 4096
 SEED = 42
 
 
@@ -57,44 +63,51 @@ def shingle_digests(data: bytes, size: int) -> bytes:
     return b"".join([digest(line[a:b], SEED) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)])
 
 
-def fingerprint(text: str | None, size: int, bits) -> int:
-    """Signed 64-bit fingerprint: a bit is 1 if set in over half of the shingle hashes."""
+def fingerprint(text: str | None, size: int, bits, prints: int = 1) -> list[int]:
+    """Signed 64-bit fingerprints: a bit is 1 if set in over half of the shingle hashes.
+
+    Fingerprints after the first take the hashes mixed with other constants.
+    """
     import numpy as np
 
     data = shingle_digests((text or "").encode("utf-8", "surrogatepass").lower(), size)
     n = len(data) // 8
     if not n:
-        return 0
-    columns = np.frombuffer(data, np.uint8).reshape(n, 8)
-    ones = np.concatenate([np.bincount(columns[:, k], minlength=256) @ bits for k in range(8)])
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
-
-
-def fingerprints(documents: DataFrame, size: int = 4) -> DataFrame:
-    """``doc_id, fp`` for each row; whole texts, in Arrow batches."""
+        return [0] * prints
+    hashes, out = np.frombuffer(data, ">u8"), []
+    for k in range(prints):
+        if k:
+            hashes = (hashes.astype(np.uint64) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+            hashes = ((hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)).astype(">u8")
+        columns = hashes.view(np.uint8).reshape(n, 8)
+        ones = np.concatenate([np.bincount(columns[:, c], minlength=256) @ bits for c in range(8)])
+        out.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True))
+    return out
+
+
+def fingerprints(documents: DataFrame, size: int = 4, prints: int = 1) -> DataFrame:
+    """``doc_id, fp`` for each row, and ``fp1`` ... if there are more; whole texts, in Arrow batches."""
+    names = ["fp", *[f"fp{k}" for k in range(1, prints)]]
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         bits = _bits()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [fingerprint(t, size, bits) for t in batch["text"]]})
-
-    from pyspark.sql.types import LongType, StructField, StructType
+            found = [fingerprint(t, size, bits, prints) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"]} | {n: [f[k] for f in found] for k, n in enumerate(names)})
 
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInPandas(run, "doc_id string, fp long")
-    kind = documents.schema["doc_id"].dataType
-    return out.select(F.col("doc_id").cast(kind if kind.typeName() != "void" else LongType()).alias("doc_id"), "fp")
+    out = rows.mapInPandas(run, "doc_id string, " + ", ".join(f"{n} long" for n in names))
+    return out.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
 
 
-def _roots(values):
-    """For sorted distinct uint64 values: the smallest reachable by links within RADIUS, by position."""
+def _roots(values, most: int):
+    """For rows of uint64: the first row reachable by links of at most ``most`` differing bits."""
     import numpy as np
 
     n = len(values)
-    label = np.arange(n)
-    todo = np.ones(n, bool)
+    label, todo = np.arange(n), np.ones(n, bool)
     for first in range(n):
         if not todo[first]:
             continue
@@ -104,80 +117,108 @@ def _roots(values):
             rest = np.flatnonzero(todo)
             near = np.zeros(len(rest), bool)
             for v in values[reach]:
-                near |= np.bitwise_count(values[rest] ^ v) <= RADIUS
+                near |= np.bitwise_count(values[rest] ^ v).sum(1, dtype=np.int64) <= most
             reach = rest[near]
             todo[reach] = False
             label[reach] = first
     return label
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """``src, dst, hot``: links among the fingerprints of column fp; hot rows have one end only.
-
-    The work of a point is quadratic in its members but bounded by MOST_AT_POINT, and what it emits
-    is linear.
-    """
-
-    def enter(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        flips = np.concatenate([[0], 1 << np.arange(HALF)]).astype(np.uint64)
-        for batch in batches:
-            fp = batch["fp"].to_numpy().astype(np.int64).view(np.uint64)
-            for side in (0, 1):
-                half = fp >> np.uint64(HALF) if side else fp & np.uint64((1 << HALF) - 1)
-                for a in range(0, len(fp), 4096):
-                    points = half[a : a + 4096, None] ^ flips | np.uint64(side << HALF)
-                    yield pd.DataFrame({"point": points.ravel().view(np.int64), "fp": np.repeat(fp[a : a + 4096].view(np.int64), len(flips))})
+def _meet(names: list[str], most: int, cap: int | None):
+    """Work on rows sorted by point: links within each point's set, or its rows marked as crowded."""
 
     def meet(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        def link(points, fps):
-            """Complete points only: pairs at once, larger sets one by one."""
+        def frame(src, dst, point, crowded):
+            out = {"src": src[:, 0].view(np.int64), "dst": dst[:, 0].view(np.int64), "point": point, "crowded": crowded}
+            return pd.DataFrame(out | {n: src[:, k].copy().view(np.int64) for k, n in enumerate(names)})
+
+        def link(points, values):
+            """Pairs at once, larger sets one by one."""
             edge = np.flatnonzero(np.concatenate([[True], points[1:] != points[:-1], [True]]))
             size = np.diff(edge)
             at = edge[:-1][size == 2]
-            near = np.bitwise_count(fps[at] ^ fps[at + 1]) <= RADIUS
-            src, dst = [fps[at][near]], [fps[at + 1][near]]
+            near = np.bitwise_count(values[at] ^ values[at + 1]).sum(1, dtype=np.int64) <= most
+            src, dst = [values[at][near]], [values[at + 1][near]]
             for a, n in zip(edge[:-1][size > 2], size[size > 2], strict=True):
-                own = np.unique(fps[a : a + n])
-                root = _roots(own)
+                own = np.unique(values[a : a + n], axis=0)
+                root = _roots(own, most)
                 joined = root != np.arange(len(own))
                 src.append(own[joined])
                 dst.append(own[root[joined]])
-            return frame(np.concatenate(src), np.concatenate(dst), False)
+            src, dst = np.concatenate(src), np.concatenate(dst)
+            return frame(src.copy(), dst.copy(), 0, False)
 
-        def frame(src, dst, hot):
-            return pd.DataFrame({"src": src.view(np.int64), "dst": dst.view(np.int64), "hot": hot})
-
-        points, fps, flood = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        points, values, flood = np.empty(0, np.int64), np.empty((0, len(names)), np.uint64), None
         for batch in batches:
             points = np.concatenate([points, batch["point"].to_numpy()])
-            fps = np.concatenate([fps, batch["fp"].to_numpy().view(np.uint64)])
+            values = np.concatenate([values, np.stack([batch[n].to_numpy().view(np.uint64) for n in names], 1)])
             if flood is not None:
                 more = points == flood
                 if more.any():
-                    yield frame(fps[more], fps[more], True)
-                    points, fps = points[~more], fps[~more]
+                    yield frame(values[more], values[more], points[more], True)
+                    points, values = points[~more], values[~more]
             if not len(points):
                 continue
             flood = None
             last = np.searchsorted(points, points[-1])
             if last:
-                yield link(points[:last], fps[:last])
-                points, fps = points[last:], fps[last:]
-            if len(points) > MOST_AT_POINT:
+                yield link(points[:last], values[:last])
+                points, values = points[last:], values[last:]
+            if cap and len(points) > cap:
                 flood = points[0]
-                yield frame(fps, fps, True)
-                points, fps = points[:0], fps[:0]
+                yield frame(values, values, points, True)
+                points, values = points[:0], values[:0]
         if len(points):
-            yield link(points, fps)
+            yield link(points, values)
+
+    return meet, "src long, dst long, point long, crowded boolean, " + ", ".join(f"{n} long" for n in names)
 
-    entered = distinct.select("fp").mapInPandas(enter, "point long, fp long")
-    return entered.repartition("point").sortWithinPartitions("point").mapInPandas(meet, "src long, dst long, hot boolean")
+
+def links(distinct: DataFrame, radius: int = RADIUS, most: int = RADIUS) -> DataFrame:
+    """Links (src, dst: first fingerprints) among distinct rows of fingerprints; crowded rows are marked.
+
+    Candidates are within ``radius`` bits in a fingerprint; they link if all fingerprints together
+    differ by ``most`` bits at most. The work of a point is quadratic in its members but bounded by
+    MOST_AT_POINT, and what it emits is linear.
+    """
+    names = [c for c in distinct.columns if c.startswith("fp")]
+    segments = radius // 3 + 1
+    sides = [(k, lo, 64 * (i + 1) // segments) for k in range(len(names)) for i in range(segments) for lo in [64 * i // segments]]
+
+    def enter(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            columns = [batch[n].to_numpy().astype(np.int64) for n in names]
+            for side, (k, lo, hi) in enumerate(sides):
+                flips = np.concatenate([[0], 1 << np.arange(hi - lo)]).astype(np.uint64)
+                part = columns[k].view(np.uint64) >> np.uint64(lo) & np.uint64((1 << (hi - lo)) - 1)
+                for a in range(0, len(part), 4096):
+                    points = part[a : a + 4096, None] ^ flips | np.uint64(side << 40)
+                    yield pd.DataFrame({"point": points.ravel().view(np.int64)} | {n: np.repeat(c[a : a + 4096], len(flips)) for n, c in zip(names, columns)})
+
+    meet, schema = _meet(names, most, MOST_AT_POINT)
+    # small rows that grow many times over: a fixed number of tasks, or AQE would leave a few only
+    spread = distinct.select(*names).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    entered = spread.mapInPandas(enter, "point long, " + ", ".join(f"{n} long" for n in names))
+    return entered.repartition("point").sortWithinPartitions("point").mapInPandas(meet, schema)
+
+
+def block_links(crowded: DataFrame, most: int) -> DataFrame:
+    """``src, dst`` within crowded points: members are dealt into blocks, and each pair of blocks is a
+    task of its own that emits links which join its components only."""
+    names = [c for c in crowded.columns if c.startswith("fp")]
+    sizes = crowded.groupBy("point").agg(F.ceil(F.count(F.lit(1)) / (MOST_AT_POINT // 2)).alias("blocks"))
+    own = crowded.join(sizes, "point").withColumn("own", F.pmod(F.xxhash64(*names), F.col("blocks")))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>")))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    pairs = pairs.select(F.xxhash64("point", low, high).alias("point"), *names)
+    meet, schema = _meet(names, most, None)
+    return pairs.repartition("point").sortWithinPartitions("point").mapInPandas(meet, schema).select("src", "dst")
 
 
 def hot_links(hot: DataFrame) -> DataFrame:
@@ -201,25 +242,26 @@ def hot_links(hot: DataFrame) -> DataFrame:
     return points.join(ends, "point").where("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
 
 
-def components(prints: DataFrame) -> DataFrame:
-    """``fp, component`` for the fingerprints of column fp that have a link."""
-    found = written(links(prints.select("fp").distinct()), "simhash-links")
-    edges = found.where("not hot").select("src", "dst").distinct()
-    hot = found.where("hot").select(F.col("src").alias("fp")).distinct()
-    if not hot.isEmpty():
-        edges = edges.unionByName(hot_links(hot))
+def components(prints: DataFrame, radius: int = RADIUS, most: int = RADIUS) -> DataFrame:
+    """``fp, component`` for the first fingerprints that have a link."""
+    names = [c for c in prints.columns if c.startswith("fp")]
+    found = written(links(prints.select(*names).distinct(), radius, most), "simhash-links")
+    edges = found.where("not crowded").select("src", "dst").distinct()
+    crowded = found.where("crowded")
+    if not crowded.isEmpty():
+        exact = len(names) == 1 and most == RADIUS
+        edges = edges.unionByName(hot_links(crowded.select("fp").distinct()) if exact else block_links(crowded.select("point", *names), most))
     return connected_components(edges).select(F.col("node").alias("fp"), "component")
 
 
-def near_duplicates(documents: DataFrame, size: int = 4) -> DataFrame:
+def near_duplicates(documents: DataFrame, size: int = 4, radius: int = RADIUS, prints: int = 1, most: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``documents``; the smallest doc_id names a component."""
-    prints = written(fingerprints(documents, size), "simhash-prints")
-    linked = components(prints)
-    per_print = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(linked, "fp", "left")
-    label = F.coalesce("component", "fp")
-    per_print = written(per_print.select("fp", "least", label.alias("label")), "simhash-labels")
+    rows = written(fingerprints(documents, size, prints), "simhash-prints")
+    linked = components(rows, radius, most)
+    per_print = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(linked, "fp", "left")
+    per_print = written(per_print.select("fp", "least", F.coalesce("component", "fp").alias("label")), "simhash-labels")
     names = per_print.groupBy("label").agg(F.min("least").alias("component_id"))
-    return prints.join(per_print.join(names, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(per_print.join(names, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(documents: DataFrame) -> DataFrame:
@@ -227,12 +269,14 @@ def op6_simhash(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, size: int = 4) -> DataFrame:
+def keep_one(documents: DataFrame, size: int = 5, radius: int = 8, prints: int = 2, most: int = 22) -> DataFrame:
     """The rows of ``documents`` that stay, all columns: of each component those with the smallest doc_id.
 
+    The defaults are for five-word shingles and a similarity of about 0.8: there two fingerprints of
+    64 bits differ by 20 bits together in the mean, at 0.5 by 33.
     A doc_id that names both the smallest and another member of components keeps all its rows.
     """
-    found = written(near_duplicates(documents, size).select("doc_id", "component_id"), "simhash-found")
+    found = written(near_duplicates(documents, size, radius, prints, most).select("doc_id", "component_id"), "simhash-found")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     stay = found.where(kept).select(F.col("doc_id").alias("_stay")).distinct()
     gone = found.where(~kept).select(F.col("doc_id").alias("_gone")).distinct()
