@@ -1,3 +1,5 @@
 """Registered queries: each module has QUERIES and ORACLES."""
 
-MODULES: list = []
+from cinderlake.plans import analytics
+
+MODULES = [analytics]
