@@ -1,5 +1,5 @@
 """Registered queries: each module has QUERIES and ORACLES."""
 
-from cinderlake.plans import analytics
+from cinderlake.plans import analytics, matching, text
 
-MODULES = [analytics]
+MODULES = [analytics, matching, text]
