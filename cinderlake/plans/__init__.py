@@ -1,5 +1,5 @@
 """Registered queries: each module has QUERIES and ORACLES."""
 
-from cinderlake.plans import analytics, matching, text
+from cinderlake.plans import analytics, findings, matching, text
 
-MODULES = [analytics, matching, text]
+MODULES = [analytics, matching, text, findings]

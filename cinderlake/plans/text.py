@@ -93,8 +93,8 @@ def token_spend(spark, d):
 
 def sentence_counts(spark, d):
     text = F.coalesce("text", F.lit(""))
-    found = F.regexp_extract_all(text, F.lit(r"([^.!?\n]+[.!?])"))
-    words = F.transform(found, lambda s: F.size(F.regexp_extract_all(s, F.lit(r"(\S+)"))))
+    found = F.filter(F.split(text, r"(?<=[.!?])|\n"), lambda s: (F.length(s) > 1) & F.right(s, F.lit(1)).isin(".", "!", "?"))
+    words = F.transform(found, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")))
     return table(spark, d, "documents").select("doc_id", F.size(found).alias("sentences"), F.coalesce(F.array_max(words), F.lit(0)).alias("longest"))
 
 
