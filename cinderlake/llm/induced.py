@@ -20,7 +20,7 @@ def suffix_types(s):
 
 def leftmost_smaller(types):
     """Positions of S-type suffixes whose left neighbour is L-type."""
-    return np.flatnonzero(types[1:] & ~types[:-1]) + 1
+    return (np.flatnonzero(types[1:] & ~types[:-1]) + 1).astype(np.int32)
 
 
 def induce(s, types, lms, sigma: int):
@@ -94,7 +94,7 @@ def _names(s, lms, in_order):
         todo = todo[equal & (length[x] > k)]
     last = lms[-1]
     same &= (a != last) & (b != last)  # it ends with the text, not with an LMS position
-    name = np.zeros(n, np.int64)
+    name = np.zeros(n, np.int32)
     name[in_order] = np.concatenate([[0], np.cumsum(~same)])
     return name[lms]
 
@@ -102,17 +102,17 @@ def _names(s, lms, in_order):
 def rank_reduced(names):
     """Order of the suffixes of the reduced string: runs of 1, 2, 4 ... names, ties only."""
     n = len(names)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names, kind="stable").astype(np.int32)
     sorted_names = names[order]
     new = np.append(True, sorted_names[1:] != sorted_names[:-1])
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     tied = ~(new & np.append(new[1:], True))
     slots, width = np.flatnonzero(tied), 1
     while len(slots):
         own = order[slots]
         after = np.where(own + width < n, rank[np.minimum(own + width, n - 1)], -1)
-        key = rank[own] * (n + 1) + after + 1
+        key = rank[own].astype(np.int64) * (n + 1) + after + 1
         by = np.argsort(key, kind="stable")
         own, key = own[by], key[by]
         order[slots] = own
@@ -135,7 +135,8 @@ def suffix_array(s, sigma: int):
         rough = induce(s, types, lms, sigma)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
-        names = _names(s, lms, rough[is_lms[rough]].astype(np.int64))
+        names = _names(s, lms, rough[is_lms[rough]])
+        del rough, is_lms
         lms = lms[rank_reduced(names)]
     return induce(s, types, lms, sigma)
 
@@ -148,29 +149,25 @@ def permuted_lcp(s, order, room):
     only the others are compared, eight bytes at a time.
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    left, left_before = np.arange(n) - 1, before - 1
-    inherits = (left >= 0) & (left_before >= 0)
-    inherits &= (s[np.maximum(left, 0)] == s[np.maximum(left_before, 0)]) & (room[np.maximum(left, 0)] > 0)
-    inherits &= before[np.maximum(left, 0)] == left_before
+    b = before[1:]
+    inherits = np.zeros(n, bool)
+    inherits[1:] = (b >= 1) & (before[:-1] == b - 1) & (s[:-1] == s[np.maximum(b - 1, 0)]) & (room[:-1] > 0)
     raw = np.concatenate([s.astype(np.uint8), np.zeros(24, np.uint8)])
-    eight = np.lib.stride_tricks.as_strided(raw[: n + 16].view(np.uint8), (n + 9, 8), (1, 1)).copy().view(np.uint64)[:, 0]
-    heads = np.flatnonzero(~inherits)
-    found = np.zeros(len(heads), np.int64)
+    eight = np.lib.stride_tricks.as_strided(raw, (n + 9, 8), (1, 1)).copy().view(np.uint64)[:, 0]
+    heads = np.flatnonzero(~inherits).astype(np.int32)
+    found = np.zeros(len(heads), np.int32)
+    most = np.minimum(room[heads], n - before[heads]).astype(np.int32)
     todo = np.flatnonzero(before[heads] >= 0)
-    most = np.minimum(room[heads], n - before[heads])
     while len(todo):
-        a, b = heads[todo] + found[todo], before[heads[todo]] + found[todo]
-        differ = eight[a] ^ eight[b]
+        at = heads[todo]
+        differ = eight[at + found[todo]] ^ eight[before[at] + found[todo]]
         equal = differ == 0
         low = differ & (~differ + np.uint64(1))
-        bytes_equal = np.where(equal, 8, np.bitwise_count(low - np.uint64(1)) // 8)
-        found[todo] += bytes_equal
+        found[todo] += np.where(equal, 8, np.bitwise_count(low - np.uint64(1)) // 8).astype(np.int32)
         todo = todo[equal & (found[todo] < most[todo])]
-    found = np.minimum(found, most)
-    value = np.zeros(n, np.int64)
+    del eight, raw
     # a run of inheriting positions counts down from its head
-    head_of = np.cumsum(~inherits) - 1
-    value = found[head_of] - (np.arange(n) - heads[head_of])
+    value = np.repeat(np.minimum(found, most) + heads, np.diff(np.append(heads, n))) - np.arange(n, dtype=np.int32)
     return np.minimum(np.maximum(value, 0), room), before

@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from cinderlake.llm.chunks import Chunk, by_range, cuts, join_arrays, make_chunks, over_chunks, ranges
 from cinderlake.llm.induced import permuted_lcp, suffix_array
 
-GRAM, CROWD = 32, 2000
+GRAM, CROWD = 32, 1000
 #: Contexts and strings that a key range has in the mean, and bytes of text for one shard.
-RANGE_KEYS, RANGE_STRINGS, SHARD_BYTES = 500_000, 1_000_000, 4_000_000
+RANGE_KEYS, RANGE_STRINGS, SHARD_BYTES = 500_000, 1_000_000, 2_000_000
 #: A byte that UTF-8 never has, between the contexts of a shard.
 BETWEEN = b"\xff"
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,length:long>>, kept_sha256 string"
@@ -147,7 +147,7 @@ def repeated_starts(texts: list[bytes], strings: list[int], length: int) -> list
     s = np.frombuffer(body, np.uint8)
     size = np.array([len(t) for t in texts])
     begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    room = np.repeat(begin + size, size + 1) - np.arange(len(s))
+    room = (np.repeat(begin + size, size + 1) - np.arange(len(s))).astype(np.int32)
     order = suffix_array(s, 256)
     common, before = permuted_lcp(s, order, room)
     long = common >= length
