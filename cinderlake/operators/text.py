@@ -39,18 +39,22 @@ def tfidf(docs: DataFrame, id_col: str, text: Column, min_tokens: int = 0) -> Da
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"), "df", "n")
 
 
-def tfidf_pairs(weights: DataFrame, threshold: float) -> DataFrame:
+def tfidf_pairs(weights: DataFrame, threshold: float, slack: float = 0.15) -> DataFrame:
     """``a, b, cosine`` of document pairs at or over ``threshold``, each once.
 
-    Prefix filter: the terms of a document are ordered by rarity; a pair that reaches the threshold shares a
-    term in the leading parts of both, beyond which the remaining weight is below the threshold. Only
-    those terms make candidates, so frequent terms don't join at all, and the cosine is then exact.
+    Prefix filter: terms are ordered from rare to frequent. The leading terms of a document are those before
+    the norm of the rest falls below ``threshold - slack``. The cosine of a pair is at most what its leading terms
+    add up to plus the smaller rest, so pairs without enough in common among leading terms are
+    dropped; frequent terms don't join at all, and the cosine of the others is computed exactly.
     """
-    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = weights.withColumn("left_norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest)))
-    lead = ranked.where(F.col("left_norm") >= threshold - 1e-9).select("id", "term")
-    a, b = lead.select(F.col("id").alias("a"), "term"), lead.select(F.col("id").alias("b"), "term")
-    pairs = a.join(b, "term").where("a < b").select("a", "b").distinct()
+    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
+    upto = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest.rowsBetween(Window.unboundedPreceding, 0)))
+    after = F.sqrt(F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    lead = weights.withColumn("_upto", upto).withColumn("_after", after).where(F.col("_upto") >= threshold - slack - 1e-9)
+    lead = lead.withColumn("_rest", F.min("_after").over(Window.partitionBy("id"))).select("id", "term", "weight", "_rest")
+    side = lambda n: lead.select(F.col("id").alias(n), "term", F.col("weight").alias(f"w{n}"), F.col("_rest").alias(f"r{n}"))
+    met = side("a").join(side("b"), "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.first(F.least("ra", "rb")).alias("r"))
+    pairs = written(met.where(F.col("s") + F.col("r") >= threshold - 1e-9).select("a", "b"), "tfidf-candidates")
     wa = weights.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
     wb = weights.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
     dot = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))

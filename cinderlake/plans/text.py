@@ -9,7 +9,7 @@ from cinderlake.functions import text as T
 from cinderlake.operators import text as X
 from cinderlake.session import table, written
 
-COSINE, DENSE = 0.6, 0.4
+COSINE, DENSE = 0.7, 0.4
 
 
 def _weights(spark, d, min_tokens=0):
