@@ -94,7 +94,8 @@ def contexts(chunk: Chunk, length: int):
         return none
     # a context ends where the next one begins or where its document has no further string
     stop = np.flatnonzero(inside & ~np.append(inside[1:], False) | np.append(new[1:], True) & inside)
-    return h[anchor[first]], first, stop
+    # minima of hashes are small: mixed again they spread over all ranges
+    return _finish(h[anchor[first]] ^ _MULTIPLIERS[5]), first, stop
 
 
 def _distinct(chunk: Chunk, length: int, parts: int):
