@@ -27,6 +27,8 @@ from cinderlake.llm.common import held_out, labelled_sample
 
 #: Documents per class that the machine is fitted on, at most; slots selected, at most.
 PER_CLASS, SELECTED = 2500, 1536
+#: A slot's difference between the classes in standard errors, at least.
+DIFFERENCE = 4.0
 HASH_BITS, FACTORS, EPOCHS = 20, 4, 120
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -113,7 +115,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sel
     p, q = F.col("a") / n[1], F.col("b") / n[0]
     both = (F.col("a") + F.col("b")) / (n[0] + n[1])
     z = F.abs(p - q) / F.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + F.lit(1e-9))
-    best = [r["slot"] for r in seen.orderBy(z.desc(), "slot").limit(selected).select("slot").collect()]
+    best = [r["slot"] for r in seen.where(z >= DIFFERENCE).orderBy(z.desc(), "slot").limit(selected).select("slot").collect()]
     place = {s: i for i, s in enumerate(best)}
     wanted = F.array(*[F.lit(s) for s in best]) if best else F.array().cast("array<int>")
     rows = sample.select("doc", "y", F.array_intersect("slots", wanted).alias("slots")).orderBy("doc").collect()
