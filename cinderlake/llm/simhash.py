@@ -36,6 +36,8 @@ from cinderlake.operators.graph import connected_components
 from cinderlake.session import written
 
 RADIUS, MOST_AT_POINT = 4, 4096
+#: Members of a point that are compared each with each across points; rows taken together.
+EACH_WITH_EACH, AT_ONCE = 512, 100_000
 SEED = 42
 
 
@@ -136,25 +138,37 @@ def _meet(names: list[str], most: int, cap: int | None):
             return pd.DataFrame(out | {n: src[:, k].copy().view(np.int64) for k, n in enumerate(names)})
 
         def link(points, values):
-            """Pairs at once, larger sets one by one."""
+            """Members of all sets are compared at distance 1, 2, 3 ... at once; only sets with many links,
+            or very large ones, are worked off by themselves."""
             edge = np.flatnonzero(np.concatenate([[True], points[1:] != points[:-1], [True]]))
             size = np.diff(edge)
-            at = edge[:-1][size == 2]
-            near = np.bitwise_count(values[at] ^ values[at + 1]).sum(1, dtype=np.int64) <= most
-            src, dst = [values[at][near]], [values[at + 1][near]]
-            for a, n in zip(edge[:-1][size > 2], size[size > 2], strict=True):
+            group = np.repeat(np.arange(len(size)), size)
+            alone = size > EACH_WITH_EACH
+            at = np.flatnonzero(~alone[group])
+            end, step, src, dst = edge[1:][group], 1, [], []
+            while len(at := at[at + step < end[at]]):
+                near = at[np.bitwise_count(values[at] ^ values[at + step]).sum(1, dtype=np.int64) <= most]
+                src.append(near)
+                dst.append(near + step)
+                step += 1
+            src, dst = np.concatenate([np.empty(0, np.int64), *src]), np.concatenate([np.empty(0, np.int64), *dst])
+            alone |= np.bincount(group[src], minlength=len(size)) > 4 * size
+            kept = ~alone[group[src]]
+            src, dst = [values[src[kept]]], [values[dst[kept]]]
+            for a, n in zip(edge[:-1][alone], size[alone], strict=True):
                 own = np.unique(values[a : a + n], axis=0)
                 root = _roots(own, most)
                 joined = root != np.arange(len(own))
                 src.append(own[joined])
                 dst.append(own[root[joined]])
-            src, dst = np.concatenate(src), np.concatenate(dst)
-            return frame(src.copy(), dst.copy(), 0, False)
+            return frame(np.concatenate(src), np.concatenate(dst), 0, False)
 
         points, values, flood = np.empty(0, np.int64), np.empty((0, len(names)), np.uint64), None
         for batch in batches:
             points = np.concatenate([points, batch["point"].to_numpy()])
             values = np.concatenate([values, np.stack([batch[n].to_numpy().view(np.uint64) for n in names], 1)])
+            if flood is None and len(points) < AT_ONCE and not (cap and len(points) > cap and points[-cap - 1] == points[-1]):
+                continue
             if flood is not None:
                 more = points == flood
                 if more.any():
@@ -172,7 +186,12 @@ def _meet(names: list[str], most: int, cap: int | None):
                 yield frame(values, values, points, True)
                 points, values = points[:0], values[:0]
         if len(points):
-            yield link(points, values)
+            last = np.searchsorted(points, points[-1])
+            if cap and len(points) - last > cap:
+                yield frame(values[last:], values[last:], points[last:], True)
+                points, values = points[:last], values[:last]
+            if len(points):
+                yield link(points, values)
 
     return meet, "src long, dst long, point long, crowded boolean, " + ", ".join(f"{n} long" for n in names)
 
