@@ -127,11 +127,18 @@ def _states(parts: int, r, answers: dict):
 def _strings(chunk: Chunk, length: int, first, last, example, state, parts: int):
     """Strings of crowded contexts that this chunk sends: starts, their keys' number, ranges and keys."""
     own = np.flatnonzero((state & 6) == 6)
-    starts = np.concatenate([np.arange(first[e], last[e] + 1) for e in example[own]] or [np.empty(0, np.int64)]).astype(np.int64)
-    full = np.repeat((state[own] & 1).astype(bool), last[example[own]] - first[example[own]] + 1)
-    if not len(starts):
-        return starts, starts, starts, np.empty((0, 2), np.uint64), np.empty(0, bool)
-    a, b = run_hashes(chunk.data, length)[starts], run_hashes(chunk.data, length, 1)[starts]
+    if not len(own):
+        none = np.empty(0, np.int64)
+        return none, none, none, np.empty((0, 2), np.uint64), np.empty(0, bool)
+    begin, number = first[example[own]], last[example[own]] - first[example[own]] + 1
+    full = np.repeat((state[own] & 1).astype(bool), number)
+    # only the bytes of these contexts are hashed, one context after another
+    size = number + length - 1
+    data = np.concatenate([chunk.data[x : x + n] for x, n in zip(begin.tolist(), size.tolist())])
+    within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    place = np.repeat(np.cumsum(size) - size, number) + within
+    starts = np.repeat(begin, number) + within
+    a, b = run_hashes(data, length)[place], run_hashes(data, length, 1)[place]
     r = ranges(a, parts)
     order = np.lexsort((b, a, r))
     a, b = a[order], b[order]
