@@ -173,3 +173,53 @@ def simhash_column(text: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two longs."""
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def source_urls(description: Column) -> Column:
+    """URLs of the source lines of a description."""
+    return F.regexp_extract_all(F.coalesce(description, F.lit("")), F.lit(r"(?im)^\s*source:\s*(https?://\S+)"), 1)
+
+
+def link_target(cell: Column) -> Column:
+    """Target of a Markdown link, or the cell itself; http and https only, else null."""
+    target = F.regexp_extract(cell, r"\[[^\]]*\]\(([^)\s]+)\)", 1)
+    url = F.trim(F.when(target != "", target).otherwise(cell))
+    return F.when(url.startswith("http"), url)
+
+
+def longer(old: Column, new: Column) -> Column:
+    """The longer of two texts, the old one if equal; a null is shorter than anything."""
+    return F.when(F.coalesce(F.length(new), F.lit(-1)) > F.coalesce(F.length(old), F.lit(-1)), new).otherwise(old)
+
+
+def neutralised(text: Column, tags: list[str]) -> Column:
+    """Text in which the given tags can't be read as tags any more."""
+    return F.regexp_replace(text, r"(?i)<(?=/?\s*(?:" + "|".join(tags) + r")\b)", "&lt;")
+
+
+def type_label(text: Column) -> Column:
+    """Keys of a JSON object joined, a JSON scalar as text, anything else as it is."""
+    value = F.try_parse_json(text)
+    keys = F.json_object_keys(F.when(F.schema_of_variant(value).startswith("OBJECT"), text))
+    return F.coalesce(F.array_join(keys, ", "), F.try_variant_get(value, "$", "string"), text)
+
+
+def lenient_json(text: Column) -> Column:
+    """The part from the first opening to the last closing brace, fences aside, if it is JSON; else null."""
+    body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(F.try_parse_json(body).isNotNull() & (body != ""), body)
+
+
+def count_of(text: Column) -> Column:
+    """A JSON number as it is, the length of an array; else null."""
+    value = F.try_parse_json(text)
+    kind = F.schema_of_variant(value)
+    return F.when(kind == "BIGINT", F.try_variant_get(value, "$", "int")).when(kind.startswith("ARRAY"), F.json_array_length(text))
+
+
+def window_around(text: Column, start: Column, end: Column, width: int = 120) -> Column:
+    """Text around a span, up to ``width`` characters on each side and on to the edges of words; blanks collapse."""
+    lo = F.greatest(F.lit(0), start - width)
+    head = F.regexp_extract(F.substring(text, F.lit(1), lo), r"(\S*)$", 1)
+    tail = F.regexp_extract(text.substr(end + width + 1, F.length(text)), r"^(\S*)", 1)
+    return F.trim(F.regexp_replace(F.concat(head, text.substr(lo + 1, end + width - lo), tail), r"\s+", " "))

@@ -1,5 +1,5 @@
 """Registered queries: each module has QUERIES and ORACLES."""
 
-from cinderlake.plans import analytics, entities, findings, matching, text
+from cinderlake.plans import analytics, details, entities, findings, matching, text
 
-MODULES = [analytics, matching, text, findings, entities]
+MODULES = [analytics, matching, text, findings, entities, details]
