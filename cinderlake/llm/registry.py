@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express."""
-    return {"op2_warc": warc.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_substring": substring_words.ORACLE}

@@ -226,3 +226,15 @@ def op7_substring(documents: DataFrame) -> DataFrame:
     """The contract's columns and the number of removed runs."""
     out = repeated_words(documents)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, unnest(list_transform(range(1, len(w) - 18), lambda s: array_to_string(w[s:s + 19], ' '))) AS k FROM d WHERE len(w) >= 20),
+m AS (SELECT doc_id, s FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+r AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM m),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS t FROM d),
+j AS (SELECT p.doc_id, p.p, t, r.p IS NOT NULL AS gone, lag(r.p) OVER (PARTITION BY p.doc_id ORDER BY p.p) IS NULL AS first FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.p = p.p),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(t, ' ' ORDER BY p) FILTER (NOT gone) AS kept, count(*) FILTER (gone AND first) AS n_spans FROM j GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN a USING (doc_id)
+"""
