@@ -93,7 +93,7 @@ def search_ilike_escape(spark, d):
     return part.where(wild).select("p_partkey", "p_name", "p_brand")
 
 
-def optional_filters(spark, d):
+def given_filters(spark, d):
     df = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     for column, value in (("c_mktsegment", "MACHINERY"), ("o_orderstatus", ""), ("o_orderpriority", "1-URGENT")):
         if value:
@@ -164,7 +164,7 @@ def funnel_counters(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     top_groups_window, country_counts_window, groups_with_zero, kpi_distinct_window, global_counts, monthly_series_zero_filled, group_sparks, kpi_trend, daily_buckets,
-    coverage_matrix, address_rollup, rollup_summary, search_ilike_escape, optional_filters, page_n, page_totals, triage_tiers, activity_counters, filter_menu, last_update,
+    coverage_matrix, address_rollup, rollup_summary, search_ilike_escape, given_filters, page_n, page_totals, triage_tiers, activity_counters, filter_menu, last_update,
     top_countries_per_group, tools_by_category, pipeline_rollup, map_counts, funnel_counters,
 )}
 
@@ -199,7 +199,7 @@ SELECT l_returnflag, p_brand, n, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN
     "address_rollup": _ROLLUP,
     "rollup_summary": f"SELECT count(*) AS addresses, CAST(sum(n) AS BIGINT) AS n, round_even(sum(usd), 2) AS usd, min(first_day) AS first_day, max(last_day) AS last_day FROM ({_ROLLUP})",
     "search_ilike_escape": r"SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%D G%' OR p_brand ILIKE '%#1_%' OR p_name ILIKE '%d\_g%' ESCAPE '\'",
-    "optional_filters": "SELECT o_orderkey, c_name, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' AND o_orderpriority = '1-URGENT'",
+    "given_filters": "SELECT o_orderkey, c_name, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' AND o_orderpriority = '1-URGENT'",
     "page_n": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 50 OFFSET 100",
     "page_totals": "SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 50.0)) AS BIGINT) AS pages FROM orders WHERE o_orderstatus = 'F'",
     "triage_tiers": """WITH t AS (SELECT event_id, CASE WHEN NOT value < 50 THEN 0 WHEN ts >= TIMESTAMP '2024-01-24' THEN 1 ELSE 2 END AS tier,
