@@ -34,3 +34,18 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     few = ids.where("y = 1").orderBy(*order).limit(per_class).unionByName(ids.where("y = 0").orderBy(*order).limit(per_class))
     few = few.select(F.col("doc_id").alias("_id"), "y")
     return documents.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+
+
+#: Ids that are broadcast to drop rows, at most (about 100 MB as a hash table); more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def without(documents: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``documents`` without the ids of ``gone`` (one column, distinct); texts aren't shuffled for few ids."""
+    ids = gone.toDF("_gone")
+    if not ids.where("_gone IS NULL").isEmpty():
+        documents = documents.where(F.col(id_col).isNotNull())
+    ids = ids.where("_gone IS NOT NULL")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return documents.join(ids, F.col(id_col) == F.col("_gone"), "left_anti")

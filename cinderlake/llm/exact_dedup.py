@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import ascii_lower
+from cinderlake.llm.common import ascii_lower, without
 from cinderlake.session import written
 
 
@@ -70,8 +70,8 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``documents`` that stay, all columns: one per distinct normalised text."""
     out = written(group_copies(documents, id_col, text_col).where("group_size > 1").select("id", "kept"), "exact-groups")
     stay = out.where("kept").select("id")
-    gone = out.where("not kept").select(F.col("id").alias("_gone")).distinct()
-    lasting = documents.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = written(out.where("not kept").select(F.col("id").alias("_gone")).distinct(), "exact-gone")
+    lasting = without(documents, gone, id_col)
     twice = written(stay.join(gone, F.col("id").eqNullSafe(F.col("_gone"))).select("_gone"), "exact-repeated")
     if twice.isEmpty():
         return lasting

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderlake.llm.common import without
 from cinderlake.operators.graph import connected_components
 from cinderlake.session import written
 
@@ -152,7 +153,7 @@ def _meet(names: list[str], most: int, cap: int | None):
                 dst.append(near + step)
                 step += 1
             src, dst = np.concatenate([np.empty(0, np.int64), *src]), np.concatenate([np.empty(0, np.int64), *dst])
-            alone |= np.bincount(group[src], minlength=len(size)) > 4 * size
+            alone |= np.bincount(group[src], minlength=len(size)) > 2 * size
             kept = ~alone[group[src]]
             src, dst = [values[src[kept]]], [values[dst[kept]]]
             for a, n in zip(edge[:-1][alone], size[alone], strict=True):
@@ -300,4 +301,4 @@ def keep_one(documents: DataFrame, size: int = 5, radius: int = 8, prints: int =
     stay = found.where(kept).select(F.col("doc_id").alias("_stay")).distinct()
     gone = found.where(~kept).select(F.col("doc_id").alias("_gone")).distinct()
     gone = gone.join(stay, F.col("_gone").eqNullSafe(F.col("_stay")), "left_anti")
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return without(documents, written(gone, "simhash-gone"), "doc_id")
