@@ -223,7 +223,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, most: int = RADIUS) -> Data
 
     meet, schema = _meet(names, most, MOST_AT_POINT)
     # small rows that grow many times over: a fixed number of tasks, or AQE would leave a few only
-    spread = distinct.select(*names).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    spread = distinct.select(*names).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     entered = spread.mapInPandas(enter, "point long, " + ", ".join(f"{n} long" for n in names))
     return entered.repartition("point").sortWithinPartitions("point").mapInPandas(meet, schema)
 
