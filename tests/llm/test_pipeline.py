@@ -42,3 +42,18 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_awkward_rows(spark):
+    """Nulls, repeated rows and clashing columns pass every stage; empty tables stay empty."""
+    from fixtures import corpus, frame
+
+    docs = frame(spark, corpus(2) + [(None, "idiot " * 3), (800, "x " * 5000)])
+    for none in (False, True):
+        left = docs.where("false") if none else docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = corpus_pipeline.written(stage(spark, left, SF), name)
+            assert out.columns == docs.columns and out.count() <= left.count()
+            left = out
+        assert left.isEmpty() == none
+        assert corpus_pipeline.pack(spark, left, SF).isEmpty() == none
