@@ -13,6 +13,9 @@ the points of the ball of radius 2 around the complete fingerprint. Two fingerpr
 point exactly if they are within 4 bits, so linking each to the smallest at the point needs no
 comparison.
 
+``keep_one``, the pipeline's stage, doesn't go by fingerprints: it links exactly the documents whose
+sets of five-word shingles have a Jaccard similarity of ``SIMILAR``, by a prefix filter and verification.
+
 A larger radius takes more segments (three for 8 bits: of 8 differing bits one third has 2 at most),
 and several fingerprints from independent mixes of the shingle hashes: candidates agree closely in
 one of them and are verified on all. Crowded points are then worked off in pairs of blocks. With
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import without
+from cinderlake.llm.common import BROADCAST_IDS, without
 from cinderlake.operators.graph import connected_components
 from cinderlake.session import written
 
@@ -40,6 +43,8 @@ RADIUS, MOST_AT_POINT = 4, 4096
 #: Members of a point that are compared each with each across points; rows taken together.
 EACH_WITH_EACH, AT_ONCE = 512, 100_000
 SEED = 42
+#: Jaccard similarity of near copies; shingles of a block of sets that are compared; sampled documents and shingles put last.
+SIMILAR, BLOCK_SHINGLES, SAMPLE_DOCS, COMMON = 0.8, 2_000_000, 10_000, 100_000
 
 
 def _bits():
@@ -289,14 +294,184 @@ def op6_simhash(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, size: int = 5, radius: int = 8, prints: int = 2, most: int = 22) -> DataFrame:
-    """The rows of ``documents`` that stay, all columns: of each component those with the smallest doc_id.
+def shingle_set(text: str | None, size: int):
+    """Sorted distinct shingle hashes of a text; a text without words has the one hash 0."""
+    import numpy as np
+
+    data = shingle_digests((text or "").encode("utf-8", "surrogatepass").lower(), size)
+    return np.unique(np.frombuffer(data, ">u8").astype(np.uint64)) if data else np.zeros(1, np.uint64)
+
+
+def set_name(hashes) -> int:
+    """Signed 64-bit name of a shingle set."""
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), SEED), "big", signed=True)
+
+
+def common_shingles(documents: DataFrame, size: int):
+    """Sorted hashes of shingles that several documents of a bounded sample have, COMMON at most.
+
+    They only decide the order in which shingles are taken, so any choice gives the same result.
+    """
+    import numpy as np
+
+    share = max(1, documents.count() // SAMPLE_DOCS)
+    text = F.col("text").cast("string").alias("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.int64), *[shingle_set(t, size).view(np.int64) for t in batch["text"]]])})
+
+    few = documents.select(text).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    often = few.mapInPandas(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(COMMON)
+    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+
+
+def prefixes(documents: DataFrame, size: int, similarity: float, common) -> DataFrame:
+    """``doc_id, node, n, points`` for each row: name and size of its shingle set, and its first shingles.
+
+    All sets are taken in one order, those of ``common`` last. Sets of a similarity have that share of the
+    larger one in common, so they share one of their first ``n - ceil(similarity * n) + 1``.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import math
+
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                own = shingle_set(text, size)
+                last = np.isin(own, common)
+                most = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+                out.append((set_name(own), len(own), np.concatenate([own[~last], own[last]])[:most].view(np.int64)))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": [o[0] for o in out], "n": [o[1] for o in out], "points": [o[2] for o in out]})
+
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = rows.mapInPandas(run, "doc_id string, node long, n long, points array<long>")
+    return out.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
+
+
+def similar_rows(sets: list, similarity: float) -> tuple[list[int], list[int]]:
+    """Links that span the components of all pairs of ``sets`` (sorted arrays) with that Jaccard similarity."""
+    import numpy as np
+
+    n = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.concatenate([[0], np.cumsum(n)])
+    postings = np.repeat(np.arange(len(sets)), n)[np.argsort(ids, kind="stable")]
+    df = np.bincount(ids)
+    first = np.concatenate([[0], np.cumsum(df)])
+    mark, todo, src, dst = np.zeros(len(df), bool), np.ones(len(sets), bool), [], []
+    for root in range(len(sets)):
+        if not todo[root]:
+            continue
+        todo[root], reach = False, [root]
+        while reach:
+            v = reach.pop()
+            rest = np.flatnonzero(todo & (n >= similarity * n[v] - 1e-9) & (similarity * n <= n[v] + 1e-9))
+            if not len(rest):
+                continue
+            own = ids[start[v] : start[v + 1]]
+            if n[rest].sum() < df[own].sum():
+                mark[own] = True
+                edge = np.concatenate([[0], np.cumsum(n[rest])])
+                place = np.arange(edge[-1]) + np.repeat(start[rest] - edge[:-1], n[rest])
+                both = np.add.reduceat(mark[ids[place]].astype(np.int64), edge[:-1])
+                mark[own] = False
+            else:
+                both = np.zeros(len(sets), np.int64)
+                for a in range(0, len(own), 256):
+                    both += np.bincount(np.concatenate([postings[first[i] : first[i + 1]] for i in own[a : a + 256]]), minlength=len(sets))
+                both = both[rest]
+            near = rest[both >= similarity * (n[rest] + n[v] - both) - 1e-9]
+            todo[near] = False
+            reach += near.tolist()
+            src += [v] * len(near)
+            dst += near.tolist()
+    return src, dst
+
+
+def similar_links(documents: DataFrame, dealt: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``src, dst``: links between shingle sets of one candidate component (``node, component, blocks``), all verified.
+
+    Sets of a large component are dealt into blocks of about BLOCK_SHINGLES, and each pair of blocks is a task of its own.
+    """
+
+    def hashed(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in batch["text"]]
+            yield pd.DataFrame({"node": np.array([set_name(x) for x in sets], np.int64), "own": [x.view(np.int64) for x in sets]})
+
+    def compare(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        def linked():
+            found = similar_rows(sets, similarity) if len(sets) > 1 else ([], [])
+            src.extend(nodes[k] for k in found[0])
+            dst.extend(nodes[k] for k in found[1])
+
+        task, nodes, sets = None, [], []
+        src, dst = [], []
+        for batch in batches:
+            for t, node, own in zip(batch["task"], batch["node"], batch["own"], strict=True):
+                if t != task:
+                    linked()
+                    task, nodes, sets = t, [], []
+                if not nodes or nodes[-1] != node:  # copies of a set follow each other
+                    nodes.append(node)
+                    sets.append(np.array(own).view(np.uint64))
+            yield pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
+            src, dst = [], []
+        linked()
+        yield pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
+
+    held = F.broadcast(dealt) if dealt.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else dealt
+    sets = documents.select(F.col("text").cast("string").alias("text")).mapInPandas(hashed, "node long, own array<long>").join(held, "node")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pairs = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>")))
+    task = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("task")
+    spread = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select(task, "node", "own").repartition(spread, "task").sortWithinPartitions("task", "node").mapInPandas(compare, "src long, dst long")
+
+
+def similar(documents: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``doc_id, component_id``: components of all pairs of documents whose shingle sets have the Jaccard similarity.
+
+    Exact: sets that share a prefix shingle are linked to the smallest with that shingle, so that similar sets
+    are in one candidate component; in there links are verified on complete sets.
+    """
+    rows = written(prefixes(documents, size, similarity, common_shingles(documents, size)), "similar-prefixes")
+    points = rows.select("node", F.explode("points").alias("point"))
+    ends = points.groupBy("point").agg(F.min("node").alias("dst"), F.max("node").alias("most")).where("dst < most").select("point", "dst")
+    edges = points.join(ends, "point").where("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
+    candidates = connected_components(written(edges, "similar-edges"))
+    nodes = rows.select("node", "n").distinct().join(candidates, "node")
+    blocks = nodes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks"))
+    dealt = written(nodes.select("node", "component").join(blocks, "component"), "similar-dealt")
+    linked = connected_components(written(similar_links(documents, dealt, size, similarity), "similar-links"))
+    per_set = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left")
+    per_set = written(per_set.select("node", "least", F.coalesce("component", "node").alias("label")), "similar-labels")
+    names = per_set.groupBy("label").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "node").join(per_set.join(names, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(documents: DataFrame, size: int = 5, similarity: float = SIMILAR) -> DataFrame:
+    """The rows of ``documents`` that stay, all columns: of each component of similar documents those with the smallest doc_id.
 
-    The defaults are for five-word shingles and a similarity of about 0.8: there two fingerprints of
-    64 bits differ by 20 bits together in the mean, at 0.5 by 33.
     A doc_id that names both the smallest and another member of components keeps all its rows.
     """
-    found = written(near_duplicates(documents, size, radius, prints, most).select("doc_id", "component_id"), "simhash-found")
+    found = written(similar(documents, size, similarity), "simhash-found")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     stay = found.where(kept).select(F.col("doc_id").alias("_stay")).distinct()
     gone = found.where(~kept).select(F.col("doc_id").alias("_gone")).distinct()

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -66,3 +67,31 @@ def test_keep_one(spark, cap, monkeypatch):
 
 def test_empty(spark):
     assert simhash.op6_simhash(frame(spark, []).where("false")).count() == 0
+
+
+def pair(rnd, k, changed):
+    """Two documents of 103 words (99 shingles): the second has its last ``changed`` words new."""
+    own = [f"p{k}x{rnd.randrange(10**6)}" for _ in range(103)]
+    return " ".join(own), " ".join(own[: 103 - changed] + [f"q{k}y{j}" for j in range(changed)])
+
+
+@pytest.mark.parametrize("block", [2_000_000, 300])
+def test_keep_one_at_the_similarity(spark, block, monkeypatch):
+    """Pairs at 0.8 and more lose one document, pairs below lose none, as all pairs say."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+    rnd = random.Random(5)
+    rows = [(2 * k + x, t) for k in range(60) for x, t in enumerate(pair(rnd, k, 7 + k % 10))]
+    rows += [(500 + k, t) for k, (_, t) in enumerate(corpus(3)) if k > 4] + edited(12)
+    shingles = {}
+    for d, t in rows:
+        w = (t or "").lower().split()
+        shingles[d] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    label = {d: d for d in shingles}
+    for a in label:
+        for b in label:
+            if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]) and label[a] != label[b]:
+                lo, hi = sorted((label[a], label[b]))
+                label = {d: lo if x == hi else x for d, x in label.items()}
+    got = sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).collect())
+    assert got == sorted(d for d in label if label[d] == d)
+    assert sum(2 * k + 1 in got for k in range(60)) == 30
