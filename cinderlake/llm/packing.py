@@ -6,8 +6,8 @@ no sequence crosses documents and none is padded; sequences of equal length form
 which batches are drawn. A map-only job: nothing is shuffled.
 
 Defined results: a null or empty text has only the closing id, one piece of length 1. Rows that
-repeat a doc_id are packed each for itself. Strings of special tokens in a text are ordinary text.
-A null doc_id stays null. An empty table gives no rows; other columns are not looked at.
+repeat a doc_id are packed each for itself. Added tokens of the tokenizer are cut out of a text first and
+have their own ids; without any (a rank file has none) their strings are ordinary text. A null doc_id stays null. An empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -59,14 +59,33 @@ def token_bytes(text: str, words: WordTokens, pattern) -> bytes:
     return b"".join(parts)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer's JSON, which it recognises inside a text, with their ids."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    if any(t[k] for t in found for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take blanks or word bounds into account aren't covered")
+    return {t["content"]: t["id"] for t in found}
+
+
+def split_bytes(text: str, words: WordTokens, pattern, added: dict[str, int], cut) -> bytes:
+    """All ids of a text whose added tokens, found by ``cut``, have their own."""
+    if not any(a in text for a in added):
+        return token_bytes(text, words, pattern)
+    return b"".join([added[t].to_bytes(4, "little") if t in added else token_bytes(t, words, pattern) for t in cut.split(text)])
+
+
 def piece_lengths(tokens: int, longest: int) -> list[int]:
     """Powers of two that add up to ``tokens``, none over ``longest`` (itself a power of two)."""
     rest = tokens % longest
     return [longest] * (tokens // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-def pieces(documents: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece with its place in its document, checksum and, if asked for, its ids."""
+    own = added or {}
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator) -> Iterator:
@@ -76,10 +95,11 @@ def pieces(documents: DataFrame, tokenizer: str, longest: int = 2048, end_id: in
 
         words = WordTokens(tokenizer)
         pattern, end = regex.compile(words.pattern), int(end_id).to_bytes(4, "little")
+        cut = regex.compile("(" + "|".join(map(regex.escape, sorted(own, key=len, reverse=True))) + ")")
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                data = token_bytes(text or "", words, pattern) + end
+                data = split_bytes(text or "", words, pattern, own, cut) + end
                 n, at = len(data) // 4, 0
                 for size in piece_lengths(n, longest):
                     part = data[4 * at : 4 * (at + size)]
@@ -93,13 +113,13 @@ def pieces(documents: DataFrame, tokenizer: str, longest: int = 2048, end_id: in
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
 
-def pack(documents: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; ``length`` is the bucket of a sequence.
 
     The ids number the rows within partitions of the scan and are unique; they don't follow one
     another without gaps, because that would need a pass for counting first.
     """
-    return pieces(documents, tokenizer, longest, end_id, with_ids).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return pieces(documents, tokenizer, longest, end_id, with_ids, added).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
 def buckets(packed: DataFrame) -> DataFrame:
@@ -109,8 +129,8 @@ def buckets(packed: DataFrame) -> DataFrame:
 
 def op3_packing(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """The contract's columns."""
-    if tokenizer is None:
-        import public_tokenizers
+    import public_tokenizers
 
+    if tokenizer is None:
         tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return pack(documents, tokenizer)
+    return pack(documents, tokenizer, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))

@@ -48,3 +48,19 @@ def test_long_text(monkeypatch):
 
 def test_empty(spark):
     assert packing.op3_packing(frame(spark, []).where("false")).count() == 0
+
+
+def test_added_tokens(spark):
+    """The operator's ids are those of the tokenizer as it comes, which knows its added tokens inside a text."""
+    end = "<|endoftext|>"
+    rows = [(1, f"one {end} two"), (2, end * 3), (3, f"{end} x\n\n{end}'s"), (4, "<|endoftext| > plain"), (5, f"a  {end}  b <{end}>")]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = defaultdict(list)
+    for r in sorted(packing.op3_packing(frame(spark, rows)).collect(), key=lambda r: r["start"]):
+        got[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+    for doc, text in rows:
+        ids, at = tokenizer.encode(text, add_special_tokens=False).ids + [1], 0
+        assert (50256 in ids) == (end in text)
+        for n, found in zip(packing.piece_lengths(len(ids), 2048), got[doc], strict=True):
+            assert found == (at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()), len(ids))
+            at += n
