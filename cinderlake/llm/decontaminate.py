@@ -2,10 +2,11 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; shingles have five words, repeats count
 (fewer words: the whole sequence). A window has as many words as the item it is compared with (the
-whole document if that is shorter). A window can only reach the similarity if it shares a shingle
-with the item, so windows are taken around such hits, all starts at which that much could still
-overlap. Their fingerprints are looked up in multi-index blocks: 64 bits in ``RADIUS`` + 1 blocks, of
-which at least one agrees for fingerprints within RADIUS bits. Candidates within RADIUS are verified
+whole document if that is shorter). A window can only reach the similarity if enough of its shingles
+occur in the item, wherever they lie there, so an index of shingles names the items and a rolling count
+all starts with that many. The windows' fingerprints are compared by multi-index blocks: 64 bits in
+``RADIUS`` + 1 blocks, of which at least one agrees for fingerprints within RADIUS bits. Candidates
+within RADIUS are verified
 by the weighted-shingle similarity, sum of minima over sum of maxima of the shingles' counts, and
 count from ``SIMILARITY`` on. At 0.8 fingerprints differ by 10 bits in the mean with a deviation of 3;
 RADIUS is over three deviations more, and several windows cover each passage.
@@ -20,6 +21,7 @@ Columns besides doc_id and text, item_id and text are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -66,8 +68,8 @@ class Items:
             self.words.append(len(words))
             self.counts.append(Counter(shingles(words)))
             self.vocabulary.update(words)
-            for at, s in enumerate(shingles(words)):
-                self.by_shingle[s].append((k, at))
+            for s in self.counts[k]:
+                self.by_shingle[s].append(k)
             prints.append(self.fingerprints(shingles(words), [0], len(shingles(words)), {})[0])
         self.prints = np.array(prints, np.uint64)
         self.blocks = np.array_split(np.arange(64), RADIUS + 1)
@@ -108,19 +110,18 @@ class Items:
         words = words_of(text)
         if not words or self.vocabulary.isdisjoint(words):
             return {}
-        runs, hits = shingles(words), defaultdict(set)
+        runs, hits = shingles(words), defaultdict(list)
         get = self.by_shingle.get
         for p, found in [(p, x) for p, x in enumerate(map(get, runs)) if x]:
-            for k, at in found:
-                hits[k].add(p - at)
+            for k in found:
+                hits[k].append(p)
         best: dict = {}
         cache: dict = {}
-        for k, begins in hits.items():
+        for k, places in hits.items():
             size = max(1, self.words[k] - SHINGLE + 1)
-            # a window moved by d shingles from the best alignment has d shingles less in common and d more of its own
-            slack = int(size * (1 - SIMILARITY)) + 1
-            last = max(0, len(runs) - size)
-            starts = sorted({min(max(b + d, 0), last) for b in begins for d in range(-slack, slack + 1)})
+            starts = self.full_starts(places, size, len(runs))
+            if not starts:
+                continue
             near = []
             for part in self.close_parts(starts, size):
                 prints = self.fingerprints(runs, part, size, cache)
@@ -136,6 +137,23 @@ class Items:
                     best[self.ids[k]] = sim
         return best
 
+    @staticmethod
+    def full_starts(places: list[int], size: int, total: int) -> list[int]:
+        """Starts of windows that hold enough of ``places``, where a text of ``total`` shingles has one of the item, for SIMILARITY.
+
+        The sum of minima is at most that count, and the sum of maxima is both sizes less the sum of minima.
+        """
+        import numpy as np
+
+        window = min(size, total)
+        need = max(1, math.ceil(SIMILARITY * (window + size) / (1 + SIMILARITY) - 1e-9))
+        if len(places) < need:
+            return []
+        held = np.zeros(total + 1, np.int64)
+        held[np.array(places) + 1] = 1
+        held = np.cumsum(held)
+        return np.flatnonzero(held[window:] - held[: total + 1 - window] >= need).tolist()
+
     @staticmethod
     def close_parts(starts: list[int], size: int) -> list[list[int]]:
         """Starts in groups whose windows touch, so that sums run over covered parts only."""

@@ -59,3 +59,16 @@ def test_empty(spark):
     assert D.op10_decontaminate(frame(spark, []).where("false"), bench).count() == 0
     none = D.op10_decontaminate(frame(spark, [(1, "a b")]), bench.where("false")).collect()
     assert not none[0]["contaminated"]
+
+
+def test_moved_parts():
+    """Passages whose parts are in another order are found as by brute force, with the same similarity."""
+    rnd = random.Random(7)
+    word = lambda: f"m{rnd.randrange(5000)}"
+    items = [(k, [word() for _ in range(100)]) for k in range(6)]
+    index = D.Items([(k, " ".join(w)) for k, w in items])
+    for k, w in items:
+        cut = 50 if k < 3 else 20 + 10 * k
+        text = " ".join([word() for _ in range(300)] + w[cut:] + w[:cut] + [word() for _ in range(300)])
+        want = brute([(k, " ".join(w)) for k, w in items], text)
+        assert set(want) == {k} and index.matches(text) == want
