@@ -348,7 +348,7 @@ def prefixes(documents: DataFrame, size: int, similarity: float, common) -> Data
             out = []
             for text in batch["text"]:
                 own = shingle_set(text, size)
-                last = np.isin(own, common)
+                last = common[np.searchsorted(common, own).clip(max=len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
                 most = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
                 out.append((set_name(own), len(own), np.concatenate([own[~last], own[last]])[:most].view(np.int64)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "node": [o[0] for o in out], "n": [o[1] for o in out], "points": [o[2] for o in out]})
