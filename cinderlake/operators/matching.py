@@ -71,7 +71,7 @@ def watch_fuzzy(victims: DataFrame, row_id: str, name: str, domain: str, watch:
     return joined.select("m.watch_id", row_id, "m.match")
 
 
-def resolve(names: DataFrame, name: str, actors: DataFrame, actor_id: str, actor_name: str, aliases: DataFrame, threshold: int = 90) -> DataFrame:
+def resolve(names: DataFrame, name: str, actors: DataFrame, actor_id: str, actor_name: str, aliases: DataFrame, threshold: int = 85) -> DataFrame:
     """Ladder of exact name, approved alias (alias, actor_id), fuzzy ratio; more than one hit on a rung is ambiguous.
 
     The fuzzy rung compares what is left with the actors in parts of SMALL_ROWS, by length: texts whose lengths
@@ -85,7 +85,7 @@ def resolve(names: DataFrame, name: str, actors: DataFrame, actor_id: str, actor
     two = todo.join(one, "k", "left_anti").join(alias, "k").withColumn("rung", F.lit("alias"))
     rest = todo.join(one, "k", "left_anti").join(two, "k", "left_anti")
     by_length = actors.select(F.col(actor_id).alias("id"), key(actor_name).alias("other")).withColumn("len", F.length("other"))
-    reach = (2 * 100 / threshold - 1)
+    reach = 2 * 100 / (threshold - 0.5) - 1 + 1e-9  # the score is rounded before it is compared
     probe = rest.withColumn("len", F.explode(F.sequence(F.ceil(F.length("k") / reach).cast("int"), F.floor(F.length("k") * reach).cast("int"))))
     scored = probe.join(by_length, "len").withColumn("score", fuzzy.ratio_column("ratio", F.col("k"), F.col("other"))).where(F.col("score") >= threshold)
     best = scored.groupBy("k").agg(F.max(F.struct("score", F.lit(1))).alias("_m"), F.collect_list(F.struct("score", "id")).alias("all"))

@@ -44,7 +44,8 @@ def tfidf_pairs(weights: DataFrame, threshold: float, slack: float = 0.15) -> Da
 
     Prefix filter: terms are ordered from rare to frequent. The leading terms of a document are those before
     the norm of the rest falls below ``threshold - slack``. The cosine of a pair is at most what its leading terms
-    add up to plus the smaller rest, so pairs without enough in common among leading terms are
+    add up to plus the rest of the one
+    whose leading terms end first, hence the larger rest at most; so pairs without enough in common among leading terms are
     dropped; frequent terms don't join at all, and the cosine of the others is computed exactly.
     """
     rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
@@ -53,7 +54,7 @@ def tfidf_pairs(weights: DataFrame, threshold: float, slack: float = 0.15) -> Da
     lead = weights.withColumn("_upto", upto).withColumn("_after", after).where(F.col("_upto") >= threshold - slack - 1e-9)
     lead = lead.withColumn("_rest", F.min("_after").over(Window.partitionBy("id"))).select("id", "term", "weight", "_rest")
     side = lambda n: lead.select(F.col("id").alias(n), "term", F.col("weight").alias(f"w{n}"), F.col("_rest").alias(f"r{n}"))
-    met = side("a").join(side("b"), "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.first(F.least("ra", "rb")).alias("r"))
+    met = side("a").join(side("b"), "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.first(F.greatest("ra", "rb")).alias("r"))
     pairs = written(met.where(F.col("s") + F.col("r") >= threshold - 1e-9).select("a", "b"), "tfidf-candidates")
     wa = weights.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
     wb = weights.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))

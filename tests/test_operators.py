@@ -180,3 +180,21 @@ def test_tfidf_pairs_as_brute_force(spark):
     want = {(a, b) for a in vectors for b in vectors if a < b and sum(x * vectors[b].get(t, 0) for t, x in vectors[a].items()) >= 0.7}
     got = X.tfidf_pairs(spark.createDataFrame(w), 0.7).collect()
     assert {(r["a"], r["b"]) for r in got} == want and want
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.35])
+def test_tfidf_pairs_with_repeated_terms(spark, threshold):
+    """Short texts against texts with repeated lines: a term in the rest of one may lead the other."""
+    rnd = random.Random(4)
+    words = [f"term{k}" for k in range(30)]
+    docs = [(k, " ".join(rnd.choices(words, k=12))) for k in range(40)]
+    for k in range(20):
+        rare, often = f"rare{k}", words[k]
+        docs += [(100 + 2 * k, f"{rare} {often}"), (101 + 2 * k, f"{rare} " + f"{often} " * 15)]
+    w = X.tfidf(spark.createDataFrame(docs, "id long, t string"), "id", F.col("t")).collect()
+    vectors: dict = {}
+    for r in w:
+        vectors.setdefault(r["id"], {})[r["term"]] = r["weight"]
+    want = {(a, b) for a in vectors for b in vectors if a < b and sum(x * vectors[b].get(t, 0) for t, x in vectors[a].items()) >= threshold}
+    got = X.tfidf_pairs(spark.createDataFrame(w), threshold).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and (100, 101) in want
