@@ -198,3 +198,14 @@ def test_tfidf_pairs_with_repeated_terms(spark, threshold):
     want = {(a, b) for a in vectors for b in vectors if a < b and sum(x * vectors[b].get(t, 0) for t, x in vectors[a].items()) >= threshold}
     got = X.tfidf_pairs(spark.createDataFrame(w), threshold).collect()
     assert {(r["a"], r["b"]) for r in got} == want and (100, 101) in want
+
+
+def test_resolve_rounded_score(spark):
+    """Lengths 13 and 16 score round(89.66) = 90; without a threshold names count from 85 on."""
+    long, nearly = "abcdefghijklmnop", "q" * 17 + "rst"
+    actors = spark.createDataFrame([(1, long), (2, nearly)], "actor_id int, name string")
+    aliases = spark.createDataFrame([], "alias string, actor_id int")
+    names = spark.createDataFrame([(long[:13],), ("q" * 17 + "uvw",)], "n string")
+    found = lambda **kw: {r["k"]: r["id"] for r in matching.resolve(names, "n", actors, "actor_id", "name", aliases, **kw).collect()}
+    assert found(threshold=90) == {long[:13]: 1, "q" * 17 + "uvw": None}
+    assert found() == {long[:13]: 1, "q" * 17 + "uvw": 2}
