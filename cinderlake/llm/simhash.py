@@ -332,10 +332,11 @@ def common_shingles(documents: DataFrame, size: int):
 
 
 def prefixes(documents: DataFrame, size: int, similarity: float, common) -> DataFrame:
-    """``doc_id, node, n, points`` for each row: name and size of its shingle set, and its first shingles.
+    """``doc_id, node, n, grade, points`` for each row: name, size and grade of its shingle set, and its first shingles.
 
     All sets are taken in one order, those of ``common`` last. Sets of a similarity have that share of the
-    larger one in common, so they share one of their first ``n - ceil(similarity * n) + 1``.
+    larger one in common, so they share one of their first ``n - ceil(similarity * n) + 1``, and their sizes are
+    of one grade or of two that follow each other.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -344,6 +345,7 @@ def prefixes(documents: DataFrame, size: int, similarity: float, common) -> Data
         import numpy as np
         import pandas as pd
 
+        step = math.log(1 / similarity) + 1e-9
         for batch in batches:
             out = []
             for text in batch["text"]:
@@ -351,10 +353,10 @@ def prefixes(documents: DataFrame, size: int, similarity: float, common) -> Data
                 last = common[np.searchsorted(common, own).clip(max=len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
                 most = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
                 out.append((set_name(own), len(own), np.concatenate([own[~last], own[last]])[:most].view(np.int64)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": [o[0] for o in out], "n": [o[1] for o in out], "points": [o[2] for o in out]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": [o[0] for o in out], "n": [o[1] for o in out], "grade": [int(math.log(o[1]) / step) for o in out], "points": [o[2] for o in out]})
 
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInPandas(run, "doc_id string, node long, n long, points array<long>")
+    out = rows.mapInPandas(run, "doc_id string, node long, n long, grade int, points array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
 
 
@@ -448,13 +450,16 @@ def similar_links(documents: DataFrame, dealt: DataFrame, size: int, similarity:
 def similar(documents: DataFrame, size: int, similarity: float) -> DataFrame:
     """``doc_id, component_id``: components of all pairs of documents whose shingle sets have the Jaccard similarity.
 
-    Exact: sets that share a prefix shingle are linked to the smallest with that shingle, so that similar sets
-    are in one candidate component; in there links are verified on complete sets.
+    Exact: sets that share a prefix shingle are linked to the smallest with that shingle and grade, so that similar
+    sets are in one candidate component; in there links are verified on complete sets.
     """
     rows = written(prefixes(documents, size, similarity, common_shingles(documents, size)), "similar-prefixes")
-    points = rows.select("node", F.explode("points").alias("point"))
-    ends = points.groupBy("point").agg(F.min("node").alias("dst"), F.max("node").alias("most")).where("dst < most").select("point", "dst")
-    edges = points.join(ends, "point").where("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
+    points = rows.select("node", F.col("grade").cast("byte").alias("grade"), F.explode("points").alias("point"))
+    several = points.groupBy("point").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("point")
+    met = points.join(several, "point").select("node", "point", F.explode(F.array(F.col("grade").cast("int"), F.col("grade") + 1)).alias("grade"))
+    met = written(met, "similar-met")
+    ends = met.groupBy("point", "grade").agg(F.min("node").alias("dst"), F.max("node").alias("most")).where("dst < most").drop("most")
+    edges = met.join(ends, ["point", "grade"]).where("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
     candidates = connected_components(written(edges, "similar-edges"))
     nodes = rows.select("node", "n").distinct().join(candidates, "node")
     blocks = nodes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks"))
