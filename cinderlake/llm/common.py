@@ -36,16 +36,27 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     return documents.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
 
 
-#: Ids that are broadcast to drop rows, at most (about 100 MB as a hash table); more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+#: Rows of a small table that are broadcast, at most (about 100 MB as a hash table); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small`` marked for broadcast if it has ``rows`` rows at most. It should be a written table, since it is counted."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+
+
+def free_name(documents: DataFrame, name: str) -> str:
+    """``name``, with underscores appended while the table has a column of that name."""
+    taken = {c.lower() for c in documents.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def without(documents: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """``documents`` without the ids of ``gone`` (one column, distinct); texts aren't shuffled for few ids."""
-    ids = gone.toDF("_gone")
-    if not ids.where("_gone IS NULL").isEmpty():
+    own = free_name(documents, "_gone")
+    ids = gone.toDF(own)
+    if not ids.where(F.col(own).isNull()).isEmpty():
         documents = documents.where(F.col(id_col).isNotNull())
-    ids = ids.where("_gone IS NOT NULL")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return documents.join(ids, F.col(id_col) == F.col("_gone"), "left_anti")
+    return documents.join(bounded(ids.where(F.col(own).isNotNull())), F.col(id_col) == F.col(own), "left_anti")

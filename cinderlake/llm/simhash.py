@@ -35,7 +35,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import BROADCAST_IDS, without
+from cinderlake.llm.common import bounded, without
 from cinderlake.operators.graph import connected_components
 from cinderlake.session import written
 
@@ -438,8 +438,7 @@ def similar_links(documents: DataFrame, dealt: DataFrame, size: int, similarity:
         linked()
         yield pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
 
-    held = F.broadcast(dealt) if dealt.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else dealt
-    sets = documents.select(F.col("text").cast("string").alias("text")).mapInPandas(hashed, "node long, own array<long>").join(held, "node")
+    sets = documents.select(F.col("text").cast("string").alias("text")).mapInPandas(hashed, "node long, own array<long>").join(bounded(dealt), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>")))
     task = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("task")
