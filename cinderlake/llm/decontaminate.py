@@ -1,34 +1,51 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; shingles have five words, repeats count
-(fewer words: the whole sequence). A window has as many words as the item it is compared with (the
-whole document if that is shorter). A window can only reach the similarity if enough of its shingles
-occur in the item, wherever they lie there, so an index of shingles names the items and a rolling count
-all starts with that many. The windows' fingerprints are compared by multi-index blocks: 64 bits in
-``RADIUS`` + 1 blocks, of which at least one agrees for fingerprints within RADIUS bits. Candidates
-within RADIUS are verified
-by the weighted-shingle similarity, sum of minima over sum of maxima of the shingles' counts, and
-count from ``SIMILARITY`` on. At 0.8 fingerprints differ by 10 bits in the mean with a deviation of 3;
-RADIUS is over three deviations more, and several windows cover each passage.
-
-Items are the query set: they are sent to the tasks in parts of ``ITEM_WORDS`` words at most, so what is
-broadcast has a bound, and every part meets all documents.
+(fewer words: the whole sequence). A window has as many words as the items it is compared with (the
+whole document if that is shorter).
+
+1. The shingles of all items of one length are one set. A window that reaches the similarity with any item of
+   that length has at least ``needed`` of its shingles in this set; windows with fewer are passed over.
+   The set says nothing about which item a window is like.
+2. The others get their SimHash from rolling sums and look it up in the tables of their length. Fingerprints
+   have ``SEGMENTS`` segments; each item is entered under all points of the Hamming ball of radius ``BALL``
+   around each of its segments. Fingerprints within ``RADIUS`` = 20 bits agree in one of seven segments up to two
+   bits, so all items within RADIUS are found, and only candidates with that complete distance go on.
+3. Candidates are verified by the weighted-shingle similarity, sum of minima over sum of maxima of the
+   shingles' counts, and count from ``SIMILARITY`` on.
+
+At a similarity of 0.8 fingerprints differ by 10 bits in the mean with a deviation of 3. RADIUS is three
+deviations more; the tests measure what it loses.
+
+Items are the query set, taken in parts of ``ITEM_WORDS`` words. A part's items are sent to the tasks, and all documents
+are matched with it; after ``PARTS_AT_ONCE`` parts the result is written, so that neither the driver nor a
+plan holds more than those.
 
 Defined results: null and blank texts and items match nothing. Rows that repeat a doc_id are judged each for
-itself; so are repeated items. Ties go to the smallest item_id. Empty tables give no rows, or no match.
-Columns besides doc_id and text, item_id and text are not looked at.
+itself; so are repeated items, and an item_id with several texts is one item with all of them. Ties go to the
+smallest item_id. Empty tables give no rows, or no match. Very long texts are taken whole: the sums run over the
+covered stretches only. Columns besides doc_id and text, item_id and text are not looked at, and none is replaced.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, SIMILARITY, RADIUS, ITEM_WORDS, SEED = 5, 0.8, 20, 200_000, 42
+from cinderlake.llm.common import free_name
+from cinderlake.session import written
+
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+SEGMENTS, BALL = 7, 2
+RADIUS = SEGMENTS * (BALL + 1) - 1
+ITEM_WORDS, PARTS_AT_ONCE = 200_000, 4
+LEAKS = "array<struct<item_id:long,similarity:double>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,104 +66,124 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / max(1, a.total() + b.total() - both)
 
 
+def needed(window: int, size: int) -> int:
+    """Shingles that a window of ``window`` shares with an item of ``size`` at least, if they have SIMILARITY."""
+    return max(1, math.ceil(SIMILARITY * (window + size) / (1 + SIMILARITY) - 1e-9))
+
+
+def fingerprints(runs: list[tuple], starts, size: int, cache: dict):
+    """Fingerprints of the windows of ``size`` shingles that begin at ``starts``, from one rolling sum."""
+    import numpy as np
+    import xxhash
+
+    lo, hi = int(starts[0]), min(int(starts[-1]) + size, len(runs))
+    for s in runs[lo:hi]:
+        if s not in cache:
+            cache[s] = xxhash.xxh64_digest(b" ".join(s), SEED)
+    digests = np.frombuffer(b"".join([cache[s] for s in runs[lo:hi]]), np.uint8).reshape(-1, 8)
+    ones = np.zeros((hi - lo + 1, 64), np.int32)
+    np.cumsum(np.unpackbits(digests, axis=1), axis=0, out=ones[1:])
+    a = np.asarray(starts) - lo
+    b = np.minimum(a + size, hi - lo)
+    return np.packbits(2 * (ones[b] - ones[a]) > (b - a)[:, None], axis=1).view(">u8").astype(np.uint64)[:, 0]
+
+
+def segments(prints) -> list:
+    """The values of each segment of 64-bit fingerprints, and the segment's width."""
+    import numpy as np
+
+    edges = [64 * k // SEGMENTS for k in range(SEGMENTS + 1)]
+    return [((prints >> np.uint64(a) & np.uint64((1 << (b - a)) - 1)).astype(np.int64), b - a) for a, b in zip(edges, edges[1:])]
+
+
+class Tables:
+    """Multi-index of the fingerprints of items of one length: per segment a table from point to items."""
+
+    def __init__(self, prints):
+        import numpy as np
+
+        self.prints, self.tables = prints, []
+        for values, width in segments(prints):
+            ball = [sum(1 << p for p in points) for n in range(BALL + 1) for points in combinations(range(width), n)]
+            points = (values[:, None] ^ np.array(ball, np.int64)).ravel()
+            owner = np.repeat(np.arange(len(values)), len(ball))
+            order = np.argsort(points, kind="stable")
+            first = np.searchsorted(points[order], np.arange((1 << width) + 1))
+            self.tables.append((first, owner[order]))
+
+    def within(self, prints) -> list[tuple[int, int]]:
+        """Pairs (row of ``prints``, item) of a complete distance of RADIUS at most."""
+        import numpy as np
+
+        rows, items = [], []
+        for (values, _), (first, owner) in zip(segments(prints), self.tables):
+            begin, n = first[values], first[values + 1] - first[values]
+            at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            rows.append(np.repeat(np.arange(len(values)), n))
+            items.append(owner[at])
+        row, item = np.concatenate(rows), np.concatenate(items)
+        near = np.bitwise_count(prints[row] ^ self.prints[item]) <= RADIUS
+        return sorted(set(zip(row[near].tolist(), item[near].tolist())))
+
+
 class Items:
-    """Index of one part of the items: by shingle, by length, and by block of the fingerprint."""
+    """One part of the items: by number of shingles, their set of shingles and their tables."""
 
     def __init__(self, rows: list[tuple]):
         import numpy as np
 
-        self.ids, self.words, self.counts = [], [], []
-        self.by_shingle: dict = defaultdict(list)
-        self.vocabulary: set = set()
+        self.ids: list = []
+        self.counts: list[Counter] = []
+        by_size: dict = defaultdict(list)
+        self.sizes: dict = defaultdict(set)
         prints = []
         for item, text in sorted(rows):
-            words = words_of(text)
-            if not words:
+            runs = shingles(words_of(text))
+            if not runs:
                 continue
-            k = len(self.ids)
+            by_size[len(runs), len(runs[0])].append(len(self.ids))
             self.ids.append(item)
-            self.words.append(len(words))
-            self.counts.append(Counter(shingles(words)))
-            self.vocabulary.update(words)
-            for s in self.counts[k]:
-                self.by_shingle[s].append(k)
-            prints.append(self.fingerprints(shingles(words), [0], len(shingles(words)), {})[0])
-        self.prints = np.array(prints, np.uint64)
-        self.blocks = np.array_split(np.arange(64), RADIUS + 1)
-        self.tables: list[dict] = []
-        for block in self.blocks:
-            table: dict = defaultdict(list)
-            for k, v in enumerate(self.block_values(self.prints, block).tolist()):
-                table[v].append(k)
-            self.tables.append({v: frozenset(x) for v, x in table.items()})
-
-    @staticmethod
-    def block_values(prints, block):
-        import numpy as np
-
-        return prints >> np.uint64(block[0]) & np.uint64((1 << len(block)) - 1)
-
-    @staticmethod
-    def fingerprints(runs: list[tuple], starts: list[int], size: int, cache: dict):
-        """Fingerprints of the windows of ``size`` shingles that begin at ``starts``."""
-        import numpy as np
-        import xxhash
-
-        lo, hi = min(starts), min(max(starts) + size, len(runs))
-        for s in runs[lo:hi]:
-            if s not in cache:
-                cache[s] = xxhash.xxh64_digest(b" ".join(s), SEED)
-        digests = np.frombuffer(b"".join([cache[s] for s in runs[lo:hi]]), np.uint8).reshape(-1, 8)
-        ones = np.zeros((hi - lo + 1, 64), np.int32)
-        np.cumsum(np.unpackbits(digests, axis=1), axis=0, out=ones[1:])
-        a = np.array(starts) - lo
-        b = np.minimum(a + size, hi - lo)
-        return np.packbits(2 * (ones[b] - ones[a]) > (b - a)[:, None], axis=1).view(">u8").astype(np.uint64)[:, 0]
+            self.counts.append(Counter(runs))
+            for s in runs:
+                self.sizes[s].add(len(runs))
+            prints.append(fingerprints(runs, [0], len(runs), {})[0])
+        all_prints = np.array(prints, np.uint64)
+        grouped: dict = defaultdict(list)
+        for (size, _), own in by_size.items():
+            grouped[size] += own
+        self.by_size = {size: (own, Tables(all_prints[own])) for size, own in grouped.items()}
+        self.vocabulary = {w for s in self.sizes for w in s}
 
     def matches(self, text: str | None) -> dict:
         """Best similarity by item of one text."""
-        import numpy as np
-
         words = words_of(text)
         if not words or self.vocabulary.isdisjoint(words):
             return {}
-        runs, hits = shingles(words), defaultdict(list)
-        get = self.by_shingle.get
+        runs, places = shingles(words), defaultdict(list)
+        get = self.sizes.get
         for p, found in [(p, x) for p, x in enumerate(map(get, runs)) if x]:
-            for k in found:
-                hits[k].append(p)
+            for size in found:
+                places[size].append(p)
         best: dict = {}
         cache: dict = {}
-        for k, places in hits.items():
-            size = max(1, self.words[k] - SHINGLE + 1)
-            starts = self.full_starts(places, size, len(runs))
-            if not starts:
-                continue
-            near = []
-            for part in self.close_parts(starts, size):
-                prints = self.fingerprints(runs, part, size, cache)
-                found = np.zeros(len(part), bool)
-                for block, table in zip(self.blocks, self.tables):
-                    own = {v for v, x in table.items() if k in x}
-                    found |= np.isin(self.block_values(prints, block), np.array(list(own), np.uint64))
-                found &= np.bitwise_count(prints ^ self.prints[k]) <= RADIUS
-                near += [s for s, f in zip(part, found) if f]
-            for s in near:
-                sim = similarity(Counter(runs[s : s + size]), self.counts[k])
-                if sim >= SIMILARITY and sim > best.get(self.ids[k], 0):
-                    best[self.ids[k]] = sim
+        for size, held in places.items():
+            own, tables = self.by_size[size]
+            for starts in self.stretches(self.full_starts(held, size, len(runs)), size):
+                for row, k in tables.within(fingerprints(runs, starts, size, cache)):
+                    s = starts[row]
+                    item = own[k]
+                    sim = similarity(Counter(runs[s : s + size]), self.counts[item])
+                    if sim >= SIMILARITY and sim > best.get(self.ids[item], 0):
+                        best[self.ids[item]] = sim
         return best
 
     @staticmethod
     def full_starts(places: list[int], size: int, total: int) -> list[int]:
-        """Starts of windows that hold enough of ``places``, where a text of ``total`` shingles has one of the item, for SIMILARITY.
-
-        The sum of minima is at most that count, and the sum of maxima is both sizes less the sum of minima.
-        """
+        """Starts of windows of ``size`` that hold enough of ``places``, in a text of ``total`` shingles."""
         import numpy as np
 
         window = min(size, total)
-        need = max(1, math.ceil(SIMILARITY * (window + size) / (1 + SIMILARITY) - 1e-9))
+        need = needed(window, size)
         if len(places) < need:
             return []
         held = np.zeros(total + 1, np.int64)
@@ -155,33 +192,34 @@ class Items:
         return np.flatnonzero(held[window:] - held[: total + 1 - window] >= need).tolist()
 
     @staticmethod
-    def close_parts(starts: list[int], size: int) -> list[list[int]]:
-        """Starts in groups whose windows touch, so that sums run over covered parts only."""
-        out = [[starts[0]]]
-        for s in starts[1:]:
-            if s - out[-1][-1] > size:
+    def stretches(starts: list[int], size: int, most: int = 20_000) -> list[list[int]]:
+        """Starts in groups of ``most`` whose windows touch, so that sums run over covered parts only."""
+        out: list[list[int]] = []
+        for s in starts:
+            if not out or s - out[-1][-1] > size or len(out[-1]) == most:
                 out.append([])
             out[-1].append(s)
         return out
 
 
-def item_parts(benchmark: DataFrame) -> list[list[tuple]]:
-    """The items in parts of ITEM_WORDS words at most (one item at least)."""
-    rows = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator()]
-    out: list = [[]]
+def item_parts(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The items in parts of ITEM_WORDS words at most (one item at least), one part after another."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    part: list = []
     size = 0
-    for item, text in sorted(rows):
-        n = len(words_of(text))
-        if out[-1] and size + n > ITEM_WORDS:
-            out.append([])
-            size = 0
-        out[-1].append((item, text))
+    for r in items.where("item_id is not null and text is not null").toLocalIterator():
+        n = len(words_of(r["text"]))
+        if part and size + n > ITEM_WORDS:
+            yield part
+            part, size = [], 0
+        part.append((r["item_id"], r["text"]))
         size += n
-    return out
+    if part:
+        yield part
 
 
 def match_column(part: list[tuple], text: Column) -> Column:
-    """``array<struct<item_id, similarity>>`` for the items of one part."""
+    """``LEAKS`` for the items of one part."""
     kept: list = []
 
     def match(texts: pd.Series) -> pd.Series:
@@ -189,19 +227,42 @@ def match_column(part: list[tuple], text: Column) -> Column:
             kept.append(Items(part))
         return pd.Series([[{"item_id": int(i), "similarity": float(s)} for i, s in sorted(kept[0].matches(t).items())] for t in texts])
 
-    return F.pandas_udf(match, "array<struct<item_id:long,similarity:double>>")(text)
+    return F.pandas_udf(match, LEAKS)(text)
+
+
+def _merged(leaks: Column) -> Column:
+    """Each item once, with its best similarity."""
+    ids = F.array_distinct(F.transform(leaks, lambda x: x["item_id"]))
+    best = lambda i: F.array_max(F.transform(F.filter(leaks, lambda x: x["item_id"] == i), lambda x: x["similarity"]))
+    return F.transform(ids, lambda i: F.struct(i.alias("item_id"), best(i).alias("similarity")))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, str]:
+    """``documents`` with one more column, and its name: array of item_id and best similarity of any window.
+
+    The name is ``leaks``, with underscores appended while ``documents`` has such a column.
+    """
+    name = free_name(documents, "leaks")
+    out, found, parts, text = documents, None, 0, F.col("text").cast("string")
+    for part in item_parts(benchmark):
+        if parts and parts % PARTS_AT_ONCE == 0:
+            out = written(out.withColumn(name, found), "leaks")
+            found = F.col(name)
+        own = match_column(part, text)
+        found, parts = own if found is None else F.concat(found, own), parts + 1
+    out = out.withColumn(name, F.array().cast(LEAKS) if found is None else found)
+    return out if parts < 2 else written(out, "leaks").withColumn(name, _merged(F.col(name))), name
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` with ``leaks``: array of item_id and best similarity of any window."""
-    text = F.col("text").cast("string")
-    found = [match_column(part, text) for part in item_parts(benchmark)]
-    return documents.withColumn("leaks", F.concat(*found))
+def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that no item was found in, all columns as they are."""
+    found, name = contamination(documents, benchmark)
+    return found.where(F.size(F.col(name)) == 0).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op10_decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: contaminated, n_items, the best item and its similarity, and all items found."""
-    out = contamination(documents.select("doc_id", "text"), benchmark)
+    out, _ = contamination(documents.select("doc_id", "text"), benchmark)
     best = F.array_max(F.transform("leaks", lambda x: F.struct(x["similarity"].alias("s"), (-x["item_id"]).alias("i"))))
     return out.select(
         "doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").alias("n_items"), (-best["i"]).alias("best_item"),

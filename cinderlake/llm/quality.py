@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import held_out, labelled_sample
+from cinderlake.llm.common import free_name, held_out, labelled_sample
 
 #: Labelled documents per class at most; hashed terms; latent dimensions; neighbours that vote.
 PER_CLASS, TERMS, LATENT, NEIGHBOURS = 2000, 512, 40, 25
@@ -150,13 +150,18 @@ def score_column(space: Space, text: Column) -> Column:
     return F.pandas_udf(score, "double")(text)
 
 
-def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``documents`` with score and predicted added."""
-    scored = documents.withColumn("score", score_column(fit(documents, labels), F.col("text").cast("string")))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> tuple[DataFrame, str]:
+    """``documents`` with one more column, a struct of score and predicted, and its name.
+
+    The name is ``quality``, with underscores appended while ``documents`` has such a column.
+    """
+    name = free_name(documents, "quality")
+    score = score_column(fit(documents, labels), F.col("text").cast("string"))
+    scored = documents.withColumn(name, F.struct(score.alias("score")))
+    return scored.withColumn(name, F.struct(F.col(f"{name}.score"), (F.col(f"{name}.score") >= threshold).cast("int").alias("predicted"))), name
 
 
 def op4_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns."""
-    out = quality(documents.select("doc_id", "text"), labels)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    out, _ = quality(documents.select("doc_id", "text"), labels)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "quality.score", "quality.predicted")

@@ -13,14 +13,13 @@ the points of the ball of radius 2 around the complete fingerprint. Two fingerpr
 point exactly if they are within 4 bits, so linking each to the smallest at the point needs no
 comparison.
 
-``keep_one``, the pipeline's stage, doesn't go by fingerprints: it links exactly the documents whose
-sets of five-word shingles have a Jaccard similarity of ``SIMILAR``, by a prefix filter and verification.
-
-A larger radius takes more segments (three for 8 bits: of 8 differing bits one third has 2 at most),
-and several fingerprints from independent mixes of the shingle hashes: candidates agree closely in
-one of them and are verified on all. Crowded points are then worked off in pairs of blocks. With
-segments of 21 bits candidates per document grow with the corpus, up to about a terabyte of text
-at bearable cost; the halves of the radius 4 carry on to 100 TB.
+``keep_one``, the pipeline's stage, links documents whose sets of five-word shingles have a Jaccard similarity of
+``SIMILAR``. Such sets differ in 39 of 256 bits in the mean with a deviation of 6, so it takes ``PRINTS`` = 4 fingerprints, from
+independent mixes of the shingle hashes, each in three segments of 21 bits. Of such a pair one segment of twelve is within two
+bits, and all bits together are within ``MOST_BITS``, with a probability of 0.99 by the binomial distribution; the tests measure it. These
+components are candidates: in there links are verified on complete sets. With segments of 21 bits candidates per document
+grow with the corpus, up to about a terabyte of text at bearable cost; the halves of the radius 4 carry on to 100 TB.
+Crowded points of such fingerprints are worked off in pairs of blocks.
 
 Defined results: null and empty texts, and texts of blanks, have the fingerprint zero, and link like
 any other. Texts with fewer words than a shingle are one shingle. Rows that repeat a doc_id
@@ -35,7 +34,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderlake.llm.chunks import Chunk, by_range, cuts, join_arrays, make_chunks, over_chunks, ranges
 from cinderlake.llm.common import bounded, without
+from cinderlake.llm.substring_words import Words
 from cinderlake.operators.graph import connected_components
 from cinderlake.session import written
 
@@ -43,8 +44,11 @@ RADIUS, MOST_AT_POINT = 4, 4096
 #: Members of a point that are compared each with each across points; rows taken together.
 EACH_WITH_EACH, AT_ONCE = 512, 100_000
 SEED = 42
-#: Jaccard similarity of near copies; shingles of a block of sets that are compared; sampled documents and shingles put last.
-SIMILAR, BLOCK_SHINGLES, SAMPLE_DOCS, COMMON = 0.8, 2_000_000, 10_000, 100_000
+#: Near copies: Jaccard similarity; shingles of a block of sets that are compared; keys that a range has in the mean.
+SIMILAR, BLOCK_SHINGLES, RANGE_KEYS = 0.8, 1_000_000, 2_000_000
+#: Fingerprints for near copies, the radius that gives each three segments, and bits in which all together may differ.
+PRINTS, WIDE, MOST_BITS = 4, 8, 56
+RUN_BASE = 0x9E3779B97F4A7C15
 
 
 def _bits():
@@ -71,14 +75,13 @@ def shingle_digests(data: bytes, size: int) -> bytes:
     return b"".join([digest(line[a:b], SEED) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)])
 
 
-def fingerprint(text: str | None, size: int, bits, prints: int = 1) -> list[int]:
-    """Signed 64-bit fingerprints: a bit is 1 if set in over half of the shingle hashes.
+def digest_prints(data: bytes, bits, prints: int = 1) -> list[int]:
+    """Signed 64-bit fingerprints of shingle digests: a bit is 1 if set in over half of them.
 
     Fingerprints after the first take the hashes mixed with other constants.
     """
     import numpy as np
 
-    data = shingle_digests((text or "").encode("utf-8", "surrogatepass").lower(), size)
     n = len(data) // 8
     if not n:
         return [0] * prints
@@ -93,6 +96,11 @@ def fingerprint(text: str | None, size: int, bits, prints: int = 1) -> list[int]
     return out
 
 
+def fingerprint(text: str | None, size: int, bits, prints: int = 1) -> list[int]:
+    """Fingerprints of a text's shingles, repeats included."""
+    return digest_prints(shingle_digests((text or "").encode("utf-8", "surrogatepass").lower(), size), bits, prints)
+
+
 def fingerprints(documents: DataFrame, size: int = 4, prints: int = 1) -> DataFrame:
     """``doc_id, fp`` for each row, and ``fp1`` ... if there are more; whole texts, in Arrow batches."""
     names = ["fp", *[f"fp{k}" for k in range(1, prints)]]
@@ -294,11 +302,10 @@ def op6_simhash(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None, size: int):
-    """Sorted distinct shingle hashes of a text; a text without words has the one hash 0."""
+def distinct_hashes(data: bytes):
+    """Sorted distinct shingle hashes of digests; without any the one hash 0."""
     import numpy as np
 
-    data = shingle_digests((text or "").encode("utf-8", "surrogatepass").lower(), size)
     return np.unique(np.frombuffer(data, ">u8").astype(np.uint64)) if data else np.zeros(1, np.uint64)
 
 
@@ -309,55 +316,93 @@ def set_name(hashes) -> int:
     return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), SEED), "big", signed=True)
 
 
-def common_shingles(documents: DataFrame, size: int):
-    """Sorted hashes of shingles that several documents of a bounded sample have, COMMON at most.
-
-    They only decide the order in which shingles are taken, so any choice gives the same result.
-    """
-    import numpy as np
+class _Shingles:
+    """Shingles of a chunk: 64-bit keys of all places in ascending order, with their documents."""
 
-    share = max(1, documents.count() // SAMPLE_DOCS)
-    text = F.col("text").cast("string").alias("text")
-
-    def run(batches: Iterator) -> Iterator:
+    def __init__(self, chunk: Chunk, size: int):
         import numpy as np
-        import pandas as pd
 
-        for batch in batches:
-            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.int64), *[shingle_set(t, size).view(np.int64) for t in batch["text"]]])})
+        lower = np.arange(256, dtype=np.uint8)
+        lower[65:91] += 32
+        chunk.data = lower[chunk.data]
+        words = Words(chunk)
+        key, inside = words.runs(size, np.uint64(RUN_BASE))
+        place = np.flatnonzero(inside)
+        order = np.argsort(key[place], kind="stable")
+        self.key, self.doc = key[place][order], words.doc[place][order]
+        self.words = words.ends - words.begins
+        self.new = np.ones(len(order), bool)
+        self.new[1:] = self.key[1:] != self.key[:-1]
+        self.other = np.zeros(len(order), bool)  # the key before, in another document of the chunk
+        self.other[1:] = ~self.new[1:] & (self.doc[1:] != self.doc[:-1])
+
+    def distinct(self):
+        """Keys, each once, and whether several documents of the chunk have it."""
+        import numpy as np
 
-    few = documents.select(text).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    often = few.mapInPandas(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(COMMON)
-    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+        return self.key[self.new], np.bincount(np.cumsum(self.new) - 1, self.other, int(self.new.sum())) > 0
 
 
-def prefixes(documents: DataFrame, size: int, similarity: float, common) -> DataFrame:
-    """``doc_id, node, n, grade, points`` for each row: name, size and grade of its shingle set, and its first shingles.
+def suspects(documents: DataFrame, size: int, similarity: float, prints: int) -> DataFrame:
+    """``doc_id, node, n, fp ..., own`` of the documents that can have a near copy: name, size and fingerprints of the
+    shingle set, and the set.
 
-    All sets are taken in one order, those of ``common`` last. Sets of a similarity have that share of the
-    larger one in common, so they share one of their first ``n - ceil(similarity * n) + 1``, and their sizes are
-    of one grade or of two that follow each other.
+    A document with a near copy shares ``similarity`` of its own shingles with it at least, so all others, most of a
+    corpus, are left out without loss: those with fewer shingles that occur in a second document. Keys are
+    shuffled for that, packed, and no texts. Documents of fewer words than a shingle always go on.
     """
+    chunks = make_chunks(documents)
+    total = chunks.agg(F.sum("words")).first()[0] or 0
+    parts = max(1, -(-total // RANGE_KEYS))
+    names = ["fp", *[f"fp{k}" for k in range(1, prints)]]
 
-    def run(batches: Iterator) -> Iterator:
-        import math
-
+    def send(chunk: Chunk, _: dict) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        step = math.log(1 / similarity) + 1e-9
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                own = shingle_set(text, size)
-                last = common[np.searchsorted(common, own).clip(max=len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
-                most = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
-                out.append((set_name(own), len(own), np.concatenate([own[~last], own[last]])[:most].view(np.int64)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": [o[0] for o in out], "n": [o[1] for o in out], "grade": [int(math.log(o[1]) / step) for o in out], "points": [o[2] for o in out]})
+        key, several = _Shingles(chunk, size).distinct()
+        low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        rows = [(chunk.id, r, low[a:b].tobytes(), np.packbits(several[a:b]).tobytes()) for r, a, b in cuts(ranges(key, parts), parts)]
+        yield pd.DataFrame(rows, columns=["chunk", "range", "keys", "several"])
 
-    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInPandas(run, "doc_id string, node long, n long, grade int, points array<long>")
-    return out.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
+    def judge(rows) -> list[bytes]:
+        import numpy as np
+
+        keys, sizes = join_arrays(rows["keys"], np.uint32)
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows["several"], sizes, strict=True)])
+        order = np.argsort(keys, kind="stable")
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        times = np.add.reduceat(1 + several[order].astype(np.int64), np.flatnonzero(new))
+        shared = np.empty(len(keys), bool)
+        shared[order] = (times > 1)[np.cumsum(new) - 1]
+        return [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(sizes)[:-1])]
+
+    def select(chunk: Chunk, answers: dict) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        own = _Shingles(chunk, size)
+        key, _ = own.distinct()
+        shared = np.zeros(len(key), bool)
+        for r, a, b in cuts(ranges(key, parts), parts):
+            shared[a:b] = np.unpackbits(np.frombuffer(answers[r], np.uint8), count=b - a).astype(bool)
+        once = own.new | own.other  # a shingle of a document counts once
+        docs = len(chunk.ids)
+        has = np.bincount(own.doc[once], minlength=docs)
+        common = np.bincount(own.doc[once], shared[np.cumsum(own.new) - 1][once], docs)
+        bits, rows = _bits(), []
+        for k in np.flatnonzero((own.words <= size) | (common >= similarity * has - 1e-9)).tolist():
+            data = shingle_digests(chunk.body[chunk.begins[k] : chunk.ends[k]].lower(), size)
+            hashes = distinct_hashes(data)
+            rows.append((chunk.ids[k], set_name(hashes), len(hashes), *digest_prints(hashes.astype(">u8").tobytes() if data else b"", bits, prints), hashes.view(np.int64)))
+        frame = pd.DataFrame(rows, columns=["doc_id", "node", "n", *names, "own"])
+        frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
+        yield frame
+
+    shared = by_range(over_chunks(chunks, send, "chunk long, range long, keys binary, several binary"), judge, "near-shared")
+    out = over_chunks(chunks, select, "doc_id long, node long, n long, " + ", ".join(f"{n} long" for n in names) + ", own array<long>", shared)
+    return written(out.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType)), "near-suspects")
 
 
 def similar_rows(sets: list, similarity: float) -> tuple[list[int], list[int]]:
@@ -400,74 +445,61 @@ def similar_rows(sets: list, similarity: float) -> tuple[list[int], list[int]]:
     return src, dst
 
 
-def similar_links(documents: DataFrame, dealt: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``src, dst``: links between shingle sets of one candidate component (``node, component, blocks``), all verified.
+def similar_links(sets: DataFrame, dealt: DataFrame, similarity: float) -> DataFrame:
+    """``src, dst``: links between shingle sets (``node, own``) of one candidate component (``node, component, blocks``), all verified.
 
     Sets of a large component are dealt into blocks of about BLOCK_SHINGLES, and each pair of blocks is a task of its own.
     """
 
-    def hashed(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            sets = [shingle_set(t, size) for t in batch["text"]]
-            yield pd.DataFrame({"node": np.array([set_name(x) for x in sets], np.int64), "own": [x.view(np.int64) for x in sets]})
-
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
         def linked():
-            found = similar_rows(sets, similarity) if len(sets) > 1 else ([], [])
+            found = similar_rows(held, similarity) if len(held) > 1 else ([], [])
             src.extend(nodes[k] for k in found[0])
             dst.extend(nodes[k] for k in found[1])
 
-        task, nodes, sets = None, [], []
+        task, nodes, held = None, [], []
         src, dst = [], []
         for batch in batches:
             for t, node, own in zip(batch["task"], batch["node"], batch["own"], strict=True):
                 if t != task:
                     linked()
-                    task, nodes, sets = t, [], []
-                if not nodes or nodes[-1] != node:  # copies of a set follow each other
-                    nodes.append(node)
-                    sets.append(np.array(own).view(np.uint64))
+                    task, nodes, held = t, [], []
+                nodes.append(node)
+                held.append(np.array(own).view(np.uint64))
             yield pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
             src, dst = [], []
         linked()
         yield pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
 
-    sets = documents.select(F.col("text").cast("string").alias("text")).mapInPandas(hashed, "node long, own array<long>").join(bounded(dealt), "node")
+    once = sets.join(bounded(dealt), "node").groupBy("node", "component", "blocks").agg(F.first("own").alias("own"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    pairs = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>")))
+    pairs = once.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>")))
     task = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("task")
-    spread = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return pairs.select(task, "node", "own").repartition(spread, "task").sortWithinPartitions("task", "node").mapInPandas(compare, "src long, dst long")
 
 
-def similar(documents: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``doc_id, component_id``: components of all pairs of documents whose shingle sets have the Jaccard similarity.
+def similar(documents: DataFrame, size: int, similarity: float, prints: int = PRINTS, radius: int = WIDE, most: int = MOST_BITS) -> DataFrame:
+    """``doc_id, component_id`` of the documents that can have a near copy: components of the pairs whose shingle sets have
+    the Jaccard similarity.
 
-    Exact: sets that share a prefix shingle are linked to the smallest with that shingle and grade, so that similar
-    sets are in one candidate component; in there links are verified on complete sets.
+    Candidate components come from multi-index hashing of ``prints`` fingerprints; in there links are verified on complete sets.
     """
-    rows = written(prefixes(documents, size, similarity, common_shingles(documents, size)), "similar-prefixes")
-    points = rows.select("node", F.col("grade").cast("byte").alias("grade"), F.explode("points").alias("point"))
-    several = points.groupBy("point").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("point")
-    met = points.join(several, "point").select("node", "point", F.explode(F.array(F.col("grade").cast("int"), F.col("grade") + 1)).alias("grade"))
-    met = written(met, "similar-met")
-    ends = met.groupBy("point", "grade").agg(F.min("node").alias("dst"), F.max("node").alias("most")).where("dst < most").drop("most")
-    edges = met.join(ends, ["point", "grade"]).where("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
-    candidates = connected_components(written(edges, "similar-edges"))
-    nodes = rows.select("node", "n").distinct().join(candidates, "node")
-    blocks = nodes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks"))
-    dealt = written(nodes.select("node", "component").join(blocks, "component"), "similar-dealt")
-    linked = connected_components(written(similar_links(documents, dealt, size, similarity), "similar-links"))
-    per_set = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left")
-    per_set = written(per_set.select("node", "least", F.coalesce("component", "node").alias("label")), "similar-labels")
-    names = per_set.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(per_set.join(names, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+    rows = suspects(documents, size, similarity, prints)
+    names = [c for c in rows.columns if c.startswith("fp")]
+    linked = components(rows.select(*names), radius, most)
+    nodes = rows.select("node", "n", "fp").distinct().join(linked, "fp", "left").select("node", "n", F.coalesce("component", "fp").alias("component"))
+    nodes = written(nodes, "near-candidates")
+    blocks = nodes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    dealt = written(nodes.select("node", "component").join(blocks.drop("sets"), "component"), "near-dealt")
+    found = connected_components(written(similar_links(rows.select("node", "own"), dealt, similarity), "near-links"))
+    per_set = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left")
+    per_set = written(per_set.select("node", "least", F.coalesce("component", "node").alias("label")), "near-labels")
+    least = per_set.groupBy("label").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "node").join(per_set.join(least, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_one(documents: DataFrame, size: int = 5, similarity: float = SIMILAR) -> DataFrame:
@@ -475,9 +507,9 @@ def keep_one(documents: DataFrame, size: int = 5, similarity: float = SIMILAR) -
 
     A doc_id that names both the smallest and another member of components keeps all its rows.
     """
-    found = written(similar(documents, size, similarity), "simhash-found")
+    found = written(similar(documents, size, similarity), "near-found")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     stay = found.where(kept).select(F.col("doc_id").alias("_stay")).distinct()
     gone = found.where(~kept).select(F.col("doc_id").alias("_gone")).distinct()
     gone = gone.join(stay, F.col("_gone").eqNullSafe(F.col("_stay")), "left_anti")
-    return without(documents, written(gone, "simhash-gone"), "doc_id")
+    return without(documents, written(gone, "near-gone"), "doc_id")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import held_out, labelled_sample
+from cinderlake.llm.common import free_name, held_out, labelled_sample
 
 #: Documents per class that the machine is fitted on, at most; slots selected, at most.
 PER_CLASS, SELECTED = 2500, 1536
@@ -135,13 +135,24 @@ def score_column(machine: Machine, text: Column) -> Column:
     return F.pandas_udf(score, "double")(text)
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``documents`` with score and predicted added."""
-    scored = documents.withColumn("score", score_column(fit(documents, labels), F.col("text").cast("string")))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, str]:
+    """``documents`` with one more column, a struct of score and predicted, and its name.
+
+    The name is ``toxicity``, with underscores appended while ``documents`` has such a column.
+    """
+    name = free_name(documents, "toxicity")
+    score = score_column(fit(documents, labels), F.col("text").cast("string"))
+    scored = documents.withColumn(name, F.struct(score.alias("score")))
+    return scored.withColumn(name, F.struct(F.col(f"{name}.score"), (F.col(f"{name}.score") >= threshold).cast("int").alias("predicted"))), name
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` that aren't predicted to be toxic, all columns as they are."""
+    scored, name = toxicity(documents, labels, threshold)
+    return scored.where(F.col(f"{name}.predicted") == 0).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op9_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns."""
-    out = toxicity(documents.select("doc_id", "text"), labels)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    out, _ = toxicity(documents.select("doc_id", "text"), labels)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "toxicity.score", "toxicity.predicted")

@@ -1,8 +1,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from fixtures import corpus, frame
+from pyspark.sql import functions as F
 
 from cinderlake.llm import decontaminate as D
 
@@ -38,8 +40,9 @@ def test_as_brute_force(spark, seed):
     items, docs = items_and_docs(seed)
     docs += corpus(seed)
     bench = spark.createDataFrame([*items, (77, None), (78, " ")], "item_id long, text string")
-    got = D.contamination(frame(spark, docs), bench).collect()
-    assert len(got) == len(docs)
+    out, name = D.contamination(frame(spark, docs).withColumn("leaks", F.lit("mine")), bench)
+    got = out.select("doc_id", F.col(name).alias("leaks"), F.col("leaks").alias("own")).collect()
+    assert len(got) == len(docs) and {r["own"] for r in got} == {"mine"}
     want = Counter((d, tuple(sorted(brute(items, t)))) for d, t in docs)
     assert Counter((r["doc_id"], tuple(sorted(x["item_id"] for x in r["leaks"]))) for r in got) == want
     assert sum(1 for _, x in want if x) > 4
@@ -49,9 +52,10 @@ def test_parts_of_items(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEM_WORDS", 30)
     items, docs = items_and_docs(4)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert len(D.item_parts(bench)) > 3
+    bench = bench.unionByName(bench.where("item_id = 3"))  # an item of two parts counts once
+    assert len(list(D.item_parts(bench))) > D.PARTS_AT_ONCE
     got = D.op10_decontaminate(frame(spark, docs), bench).collect()
-    assert {r["doc_id"] for r in got if r["contaminated"]} == {d for d, t in docs if brute(items, t)}
+    assert {r["doc_id"]: r["n_items"] for r in got} == {d: len(brute(items, t)) for d, t in docs}
 
 
 def test_empty(spark):
@@ -72,3 +76,43 @@ def test_moved_parts():
         text = " ".join([word() for _ in range(300)] + w[cut:] + w[:cut] + [word() for _ in range(300)])
         want = brute([(k, " ".join(w)) for k, w in items], text)
         assert set(want) == {k} and index.matches(text) == want
+
+
+def test_tables_find_all_within_the_radius():
+    """The block tables return every fingerprint within RADIUS, as comparing with each does."""
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, 300, np.uint64)
+    near = prints.copy()
+    for k in range(300):
+        for bit in rng.choice(64, k % 26, replace=False):
+            near[k] ^= np.uint64(1) << np.uint64(bit)
+    want = {(a, b) for a in range(300) for b in range(300) if (int(near[a]) ^ int(prints[b])).bit_count() <= D.RADIUS}
+    assert set(D.Tables(prints).within(near)) == want and len(want) > 200
+
+
+def test_recall_of_the_radius():
+    """Of edited passages at a similarity from 0.8 to 0.85, which fingerprints tell least, 0.99 are found."""
+    rnd = random.Random(9)
+    word = lambda: f"m{rnd.randrange(10**6)}"
+    items = [(k, [word() for _ in range(rnd.randrange(30, 120))]) for k in range(150)]
+    index, found, all_of = D.Items([(k, " ".join(w)) for k, w in items]), 0, 0
+    for k, w in items:
+        for _ in range(6):
+            own = list(w)
+            for at in rnd.sample(range(len(own)), max(1, len(own) // 48)):
+                own[at] = word()
+            text = " ".join([word() for _ in range(9)] + own + [word() for _ in range(9)])
+            best = brute([(k, " ".join(w))], text).get(k, 0)
+            if 0.8 <= best < 0.85:
+                all_of += 1
+                found += k in index.matches(text)
+    assert all_of > 150 and found >= 0.99 * all_of
+
+
+def test_without_leaks_keeps_columns(spark):
+    items, docs = items_and_docs(6)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    given = frame(spark, docs + [(9, None), (9, ""), (10, "w " * 100_000)]).withColumn("leaks", F.lit(5)).withColumn("similarity", F.lit("s"))
+    left = D.without_leaks(given, bench)
+    assert left.columns == given.columns and {(r["leaks"], r["similarity"], r["score"]) for r in left.collect()} == {(5, "s", 2.0)}
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted([9, 9, 10] + [d for d, t in docs if not brute(items, t)])

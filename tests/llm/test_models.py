@@ -41,8 +41,9 @@ def test_awkward_rows(spark, tables):
     lang = language.identify(rows, docs).select("doc_id", "lang_pred").collect()
     assert {r["lang_pred"] for r in lang if r["doc_id"] in (0, 1, 2, 700)} == {"und"} and len(lang) == rows.count()
     for op in (toxicity.toxicity, quality.quality):
-        out = op(rows, labels).where("score between 0 and 1 and predicted in (0, 1)")
-        assert out.count() == rows.count()
+        out, name = op(rows.withColumn("toxicity", F.lit(5)).withColumn("quality", F.lit(6)), labels)
+        assert out.where(f"{name}.score between 0 and 1 and {name}.predicted in (0, 1)").count() == rows.count()
+        assert {(r["score"], r["toxicity"], r["quality"]) for r in out.select("score", "toxicity", "quality").collect()} == {(2.0, 5, 6)}
 
 
 def test_without_labels(spark, tables):
