@@ -6,13 +6,14 @@ reads it back for the next. SQL can't express the stages (a trained model, finge
 ORACLE_SQL is None and the tests hold each stage against a plain version.
 
 Defined results: rows with a null or empty text are not toxic, one of them stays after exact
-deduplication, and it is packed as one closing id. Rows without a doc_id are kept or dropped like any other.
+deduplication, and it is packed as one closing id. Rows without a doc_id are kept or dropped like any other. Columns
+of any name pass through unchanged, those included that an operator uses for its own results. Of equal texts the largest doc_id stays, of
+near copies the smallest. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cinderlake.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from cinderlake.session import table, written
@@ -20,8 +21,7 @@ from cinderlake.session import table, written
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the factorization machine doesn't predict to be toxic."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +30,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that fingerprints link."""
+    """One document of each group that SimHash finds and five-word shingles confirm."""
     return simhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
