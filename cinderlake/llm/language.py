@@ -1,35 +1,39 @@
 """Language by cross-parsing entropy.
 
-A suffix automaton is built of a bounded sample of labelled text per language. A text is parsed
-against each automaton from left to right into phrases, each the longest match that starts there;
-the language that needs fewest phrases, normalised by the logarithm of its sample's length, wins.
+A suffix automaton is built of a bounded sample of labelled text per language, of all languages that are
+labelled. A text is parsed against each automaton from left to right into phrases, each the longest match
+that starts there, or one byte that the sample doesn't have; the language that needs fewest phrases,
+normalised by the logarithm of its sample's length, wins.
 
-Before parsing, letters are lower-cased and all ASCII bytes but letters become one blank. Texts
-are parsed in blocks of ``BLOCK`` bytes, whole texts throughout; a phrase ends where its block ends,
-for every language alike. All blocks of a batch advance together, one byte a step.
+Before parsing, letters are lower-cased and all ASCII bytes but letters become one blank. All texts
+of a batch are parsed together, whole: they are cut into stretches of ``STRETCH`` bytes, which advance a byte a
+step as if a phrase began with each of them. Then the phrase that really runs into a stretch is followed until a phrase begins
+where one had begun before; from there on both parsings are the same. So phrases run on over the ends of stretches.
+
+An automaton takes about a megabyte, and the tasks get those of all languages: their memory grows with the number of
+different labels, and with nothing else.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text if no
 language was learned. Ties go to the language whose name is first. Rows that repeat a doc_id are
-predicted each for itself. An empty table gives no rows; besides doc_id and text, and lang when
-learning, columns are not looked at.
+predicted each for itself. An empty table gives no rows; very long texts are parsed whole; besides doc_id and text, and
+lang when learning, columns are not looked at, and none is replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import held_out
+from cinderlake.llm.common import bounded, free_name, held_out
+from cinderlake.session import written
 
-#: Bytes of sample text per language, and documents they are taken from, at most.
-SAMPLE_BYTES, SAMPLE_DOCS = 24_000, 400
-#: Languages learned at most, those with most documents; bytes of a block.
-LANGUAGES, BLOCK = 64, 256
+#: Bytes of sample text per language at most, and different texts that they are pieces of.
+SAMPLE_BYTES, SAMPLE_TEXTS = 24_000, 100
+STRETCH = 512
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -77,141 +81,250 @@ def suffix_automaton(data: bytes) -> list[dict]:
 
 
 @dataclass
-class Languages:
-    """One table of all automata: ``move[state * width + letter]``, 0 where a match ends."""
+class Automaton:
+    """A language's automaton as one array: state s goes by byte c to ``target[base[s] + c]`` if ``owner`` there is s.
+
+    State 0 has no way on; ``first`` is the state after one byte, 0 for a byte that the sample doesn't have.
+    """
 
-    names: list
-    letters: object
-    width: int
-    move: object
-    roots: object
+    name: str
+    size: int
+    base: object
+    owner: object
+    target: object
     first: object
-    scale: object
+
+    @classmethod
+    def build(cls, name: str, data: bytes):
+        """From sample text: states with several ways are fitted between each other, the others fill the gaps."""
+        import numpy as np
+
+        moves = suffix_automaton(data)
+        total = sum(map(len, moves)) + 512
+        taken, base = bytearray(4 * total + 1024), [0] * (len(moves) + 1)
+        gap = 256
+        for state in sorted((s for s in range(len(moves)) if len(moves[s]) > 1), key=lambda s: -len(moves[s])):
+            ways = list(moves[state])
+            low, at = min(ways), gap
+            while taken[at] or any(taken[at - low + c] for c in ways):
+                at += 1
+            base[state + 1] = at - low
+            for c in ways:
+                taken[at - low + c] = 1
+            while taken[gap]:
+                gap += 1
+        for state, ways in enumerate(moves):
+            if len(ways) == 1:
+                while taken[gap]:
+                    gap += 1
+                taken[gap] = 1
+                base[state + 1] = gap - next(iter(ways))
+        size = max(base) + 257
+        owner, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        for state, ways in enumerate(moves):
+            for c, to in ways.items():
+                owner[base[state + 1] + c], target[base[state + 1] + c] = state + 1, to + 1
+        first = np.zeros(256, np.int32)
+        for c, to in moves[0].items():
+            first[c] = to + 1
+        return cls(name, len(data), np.array(base, np.int32), owner, target, first)
+
+    def step(self, state, c):
+        """States after a byte each, and where the phrase went on."""
+        import numpy as np
+
+        at = self.base[state] + c
+        on = self.owner[at] == state
+        return np.where(on, self.target[at], self.first[c]), on
+
+    def phrases(self, grid, length, follows):
+        """True number of phrases that begin in each stretch.
+
+        ``grid`` has a stretch per column, shorter ones last; ``follows`` is the column that precedes each in its text, or -1.
+        """
+        import numpy as np
+
+        steps, columns = grid.shape
+        active = np.searchsorted(-length, -np.arange(steps), side="left")
+        begins = np.zeros((steps, columns), bool)
+        begins[0] = True
+        state = self.first[grid[0]]
+        for t in range(1, steps):
+            n = active[t]
+            if not n:
+                break
+            state[:n], on = self.step(state[:n], grid[t, :n])
+            begins[t, :n] = ~on
+        upto = np.cumsum(begins, axis=0, dtype=np.int32)
+        count, lost = upto[-1].copy(), []
+        own = np.flatnonzero(follows >= 0)
+        now, more = state[follows[own]], np.zeros(len(own), np.int32)
+        for t in range(steps):
+            ended = length[own] <= t
+            for column, extra, s in zip(own[ended].tolist(), more[ended].tolist(), now[ended].tolist()):
+                count[column] = extra
+                lost.append((column, s))
+            own, now, more = own[~ended], now[~ended], more[~ended]
+            if not len(own):
+                break
+            now, on = self.step(now, grid[t, own])
+            met = ~on & begins[t, own]
+            count[own[met]] = more[met] + upto[-1, own[met]] - upto[t, own[met]] + 1
+            more += ~on
+            own, now, more = own[~met], now[~met], more[~met]
+        for column, extra, s in zip(own.tolist(), more.tolist(), now.tolist()):
+            count[column] = extra
+            lost.append((column, s))
+        if lost:
+            self._settle(grid, length, follows, begins, upto, count, dict(lost))
+        return count
+
+    def _settle(self, grid, length, follows, begins, upto, count, end: dict) -> None:
+        """Parse on after a stretch in which the phrases never met those that began with it; ``end`` has its last state."""
+        import numpy as np
+
+        after = np.full(len(follows), -1)
+        after[follows[follows >= 0]] = np.flatnonzero(follows >= 0)
+        done: set = set()
+        for column in sorted(end, key=lambda c: self._place(follows, c)):
+            state, column = end[column], column if column in done else int(after[column])
+            while column >= 0 and column not in done:
+                done.add(column)
+                extra, met = 0, False
+                for t, c in enumerate(grid[: length[column], column].tolist()):
+                    at = self.base[state] + c
+                    if self.owner[at] == state:
+                        state = int(self.target[at])
+                    elif begins[t, column]:
+                        extra, met = extra + int(upto[-1, column] - upto[t, column]) + 1, True
+                        break
+                    else:
+                        extra, state = extra + 1, int(self.first[c])
+                count[column] = extra
+                column = -1 if met else int(after[column])
+
+    @staticmethod
+    def _place(follows, column: int) -> int:
+        """Stretches before this one in its text."""
+        n = 0
+        while (column := int(follows[column])) >= 0:
+            n += 1
+        return n
+
+
+@dataclass
+class Languages:
+    """The automata, by name."""
+
+    automata: list
 
     def phrases(self, texts: list):
-        """Phrases per text and language, and bytes per text."""
+        """Phrases per text and language."""
         import numpy as np
 
-        coded = [self.letters[normal_bytes(t)] for t in texts]
+        coded = [normal_bytes(t) for t in texts]
         sizes = np.array([len(c) for c in coded])
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        total = int(blocks.sum())
-        counts = np.zeros((len(texts), len(self.names)), np.int64)
+        stretches = -(-sizes // STRETCH)
+        owner, total = np.repeat(np.arange(len(texts)), stretches), int(stretches.sum())
+        counts = np.zeros((len(texts), len(self.automata)), np.int64)
         if not total:
-            return counts, sizes
-        grid = np.zeros((total, BLOCK), np.int32)
-        flat, at = grid.reshape(-1), 0
-        for c, b in zip(coded, blocks, strict=True):
+            return counts
+        flat, at = np.zeros(total * STRETCH, np.uint8), 0
+        for c, n in zip(coded, stretches.tolist(), strict=True):
             flat[at : at + len(c)] = c
-            at += b * BLOCK
-        length = np.full(total, BLOCK)
-        ends = np.cumsum(blocks)[blocks > 0] - 1
-        length[ends] = sizes[blocks > 0] - (blocks[blocks > 0] - 1) * BLOCK
+            at += n * STRETCH
+        length = np.full(total, STRETCH)
+        length[np.cumsum(stretches)[stretches > 0] - 1] = (sizes - (stretches - 1) * STRETCH)[stretches > 0]
         order = np.argsort(-length, kind="stable")
-        steps, length = np.ascontiguousarray(grid[order].T), length[order]
-        active = np.searchsorted(-length, -np.arange(BLOCK), side="left")
-        done = np.ones((len(self.names), total), np.int32)
-        for k in range(len(self.names)):
-            state = np.full(total, self.roots[k], np.int32)
-            first, own = self.first[k], done[k]
-            for t in range(BLOCK):
-                n = active[t]
-                if not n:
-                    break
-                c = steps[t, :n]
-                to = self.move[state[:n] * self.width + c]
-                ended = to == 0
-                own[:n] += ended
-                state[:n] = np.where(ended, first[c], to)
-        for k in range(len(self.names)):
-            counts[:, k] = np.bincount(owner[order], done[k], len(texts))
-        return counts, sizes
+        place = np.empty(total, np.int64)
+        place[order] = np.arange(total)
+        before = np.where(np.append(-1, owner[:-1]) == owner, np.arange(total) - 1, -1)[order]
+        follows = np.where(before >= 0, place[before], -1)
+        grid = np.ascontiguousarray(flat.reshape(total, STRETCH)[order].T)
+        for k, automaton in enumerate(self.automata):
+            counts[:, k] = np.bincount(owner[order], automaton.phrases(grid, length[order], follows), len(texts))
+        return counts
 
     def predict(self, texts: list) -> tuple[list, list]:
-        """Names and scores; about 2 MB of text are parsed at a time."""
+        """Names and scores; about 2 MB of text are parsed at a time, one text at least."""
         import numpy as np
 
         names, scores, a = ["und"] * len(texts), [0.0] * len(texts), 0
-        if not self.names:
+        if not self.automata:
             return names, scores
+        scale = np.log2([max(x.size, 2) for x in self.automata])
         todo = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
         while a < len(todo):
             b, size = a, 0
             while b < len(todo) and (b == a or size < 2_000_000):
                 size += len(texts[todo[b]])
                 b += 1
-            counts, _ = self.phrases([texts[i] for i in todo[a:b]])
-            cost = counts * self.scale
-            best = cost.argmin(1)
-            for i, k, row in zip(todo[a:b], best, cost, strict=True):
+            cost = self.phrases([texts[i] for i in todo[a:b]]) * scale
+            for i, k, row in zip(todo[a:b], cost.argmin(1), cost, strict=True):
                 rest = np.delete(row, k)
-                names[i] = self.names[k]
+                names[i] = self.automata[k].name
                 scores[i] = float(rest.min() / (rest.min() + row[k])) if len(rest) and row[k] > 0 else 1.0
             a = b
         return names, scores
 
 
-def learn(documents: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_docs: int = SAMPLE_DOCS) -> Languages:
-    """Automata of at most ``sample_bytes`` per language, LANGUAGES languages at most.
+def samples(documents: DataFrame, sample_bytes: int, sample_texts: int) -> DataFrame:
+    """``lang, slot, piece``: an equal share of ``sample_bytes`` characters of each of at most ``sample_texts`` different texts.
 
-    Documents that are not held out are taken in the order of a hash of doc_id, ``sample_docs`` per
-    language at most; the limit per language is taken in each task first, so no language meets whole
-    in one task.
+    Texts are dealt by their hash into that many slots, of which each takes the text with the smallest hash: the choice doesn't depend
+    on the layout, copies count once, and each task passes on one row per slot and language.
     """
+    text = F.col("text").cast("string")
+    known = documents.where(F.col("lang").isNotNull() & text.isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.select(F.col("lang").cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h"))
+    known = known.withColumn("slot", F.pmod("h", F.lit(sample_texts)))
+    picked = written(known.groupBy("lang", "slot").agg(F.min("h").alias("h")), "language-picked")
+    share = picked.groupBy("lang").agg(F.ceil(F.lit(sample_bytes) / F.count(F.lit(1))).cast("int").alias("share"))
+    picked = written(picked.join(share, "lang"), "language-shares")
+    begin = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - F.col("share"), F.lit(0)) + 1).cast("int") + 1
+    pieces = known.join(bounded(picked), ["lang", "slot", "h"]).select("lang", "slot", F.substring("text", begin, F.col("share")).alias("piece"))
+    return pieces.groupBy("lang", "slot").agg(F.min("piece").alias("piece"))
+
+
+def learn(documents: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_texts: int = SAMPLE_TEXTS) -> Languages:
+    """An automaton of ``sample_bytes`` at most for every language, each built in a task."""
     import numpy as np
 
-    known = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    most = [r["lang"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    if not most:
-        return Languages([], None, 0, None, None, None, None)
-    rank = F.xxhash64("doc_id")
-    ids = known.where(F.col("lang").isin(most)).select("lang", "doc_id", rank.alias("r")).withColumn("salt", F.pmod("r", F.lit(64)))
-    near = Window.partitionBy("lang", "salt").orderBy("r", "doc_id")
-    ids = ids.withColumn("k", F.row_number().over(near)).where(F.col("k") <= sample_docs)
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("r", "doc_id"))).where(F.col("k") <= sample_docs)
-    ids = ids.select(F.col("doc_id").alias("_id"), "k")
-    rows = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("lang", "k", F.substring("text", 1, 2 * sample_bytes).alias("text")).collect()
-    texts: dict = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["k"])):
-        own = texts.setdefault(r["lang"], [])
-        if sum(map(len, own)) < sample_bytes:
-            own.append(normal_bytes(r["text"]).tobytes())
-    names = sorted(texts)
-    samples = [b" ".join(texts[n])[:sample_bytes] for n in names]
-    letters = np.zeros(256, np.int32)
-    used = sorted(set(b"".join(samples)))
-    letters[used] = np.arange(1, len(used) + 1)
-    width = len(used) + 1
-    automata = [suffix_automaton(s) for s in samples]
-    roots = np.cumsum([1] + [len(a) for a in automata])
-    move = np.zeros((int(roots[-1]), width), np.int32)
-    first = np.zeros((len(names), width), np.int32)
-    for k, (root, automaton) in enumerate(zip(roots, automata)):
-        for state, to in enumerate(automaton):
-            for c, target in to.items():
-                move[root + state, letters[c]] = root + target
-        first[k] = np.where(move[root] > 0, move[root], root)
-    scale = np.log2([max(len(s), 2) for s in samples])
-    return Languages(names, letters, width, move.reshape(-1), roots[:-1].astype(np.int32), first, scale)
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        texts = [normal_bytes(p).tobytes() for p in rows.sort_values("slot")["piece"]]
+        a = Automaton.build(rows["lang"].iloc[0], b" ".join(texts)[:sample_bytes])
+        return pd.DataFrame({"name": [a.name], "size": [a.size], "base": [a.base.tobytes()], "owner": [a.owner.tobytes()], "target": [a.target.tobytes()], "first": [a.first.tobytes()]})
+
+    rows = samples(documents, sample_bytes, sample_texts).groupBy("lang").applyInPandas(build, "name string, size long, base binary, owner binary, target binary, first binary")
+    return Languages([
+        Automaton(r["name"], r["size"], *[np.frombuffer(r[c], np.int32) for c in ("base", "owner", "target", "first")])
+        for r in sorted(rows.collect(), key=lambda r: r["name"])
+    ])
 
 
 def predict_columns(languages: Languages, text: Column) -> Column:
     """A struct of lang_pred and score."""
+    from pyspark.sql import SparkSession
+
+    shared = SparkSession.active().sparkContext.broadcast(languages)
+
     def predict(texts: pd.Series) -> pd.DataFrame:
-        names, scores = languages.predict([None if t is None else str(t) for t in texts])
+        names, scores = shared.value.predict([None if t is None else str(t) for t in texts])
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return F.pandas_udf(predict, "lang_pred string, score double")(text)
 
 
-def identify(documents: DataFrame, learn_from: DataFrame) -> DataFrame:
-    """``documents`` with lang_pred and score added."""
-    out = documents.withColumn("_p", predict_columns(learn(learn_from), F.col("text").cast("string")))
-    return out.withColumn("lang_pred", F.col("_p.lang_pred")).withColumn("score", F.col("_p.score")).drop("_p")
+def identify(documents: DataFrame, learn_from: DataFrame) -> tuple[DataFrame, str]:
+    """``documents`` with one more column, a struct of lang_pred and score, and its name.
+
+    The name is ``language``, with underscores appended while ``documents`` has such a column.
+    """
+    name = free_name(documents, "language")
+    return documents.withColumn(name, predict_columns(learn(learn_from), F.col("text").cast("string"))), name
 
 
 def op8_language(documents: DataFrame) -> DataFrame:
     """The contract's columns."""
-    out = identify(documents.select("doc_id", "text"), documents)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    out, _ = identify(documents.select("doc_id", "text"), documents)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")

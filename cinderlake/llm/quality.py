@@ -9,7 +9,8 @@ them by exact cosine products in blocks, and its nearest ones vote with their si
 
 Defined results: null, empty and blank texts have one term of their own and are scored like any
 other. Rows that repeat a doc_id are scored each for itself. Without labelled documents every score is 0.5.
-Equal similarities are resolved by the order of the sample. An empty table gives no rows; columns
+Equal similarities are resolved by the order of the sample; a text unlike all of them is scored by the first. Very long texts
+are taken whole. An empty table gives no rows; columns
 besides doc_id and text (labels: doc_id, quality) are not looked at.
 """
 
@@ -28,6 +29,8 @@ from cinderlake.llm.common import free_name, held_out, labelled_sample
 
 #: Labelled documents per class at most; hashed terms; latent dimensions; neighbours that vote.
 PER_CLASS, TERMS, LATENT, NEIGHBOURS = 2000, 512, 40, 25
+#: Similarity that a neighbour counts with at least, so that texts unlike all others have a score too.
+LEAST = 0.01
 
 
 def _shapes():
@@ -106,8 +109,11 @@ class Space:
         out, k = np.empty(len(texts)), min(NEIGHBOURS, len(self.labels))
         for a in range(0, len(texts), block):
             near = self.project(texts[a : a + block]) @ self.vectors.T
-            at = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(near), 1))
-            weight = np.maximum(np.take_along_axis(near, at, 1), 1e-6) ** 8
+            at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            least = np.take_along_axis(near, at, 1).min(1, keepdims=True)
+            for row in np.flatnonzero((near >= least).sum(1) > k):  # ties at the edge: the first of the sample count
+                at[row] = np.argsort(-near[row], kind="stable")[:k]
+            weight = np.maximum(np.take_along_axis(near, at, 1), LEAST).astype(np.float64) ** 8
             out[a : a + block] = (weight * self.labels[at]).sum(1) / weight.sum(1)
         return np.clip(out, 0, 1)
 

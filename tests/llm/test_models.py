@@ -38,7 +38,9 @@ def test_language_held_out(tables):
 def test_awkward_rows(spark, tables):
     docs, labels = tables
     rows = frame(spark, corpus(1) + [(700, "12 34 !!"), (701, "é" * 5)])
-    lang = language.identify(rows, docs).select("doc_id", "lang_pred").collect()
+    out, name = language.identify(rows.withColumn("language", F.lit(7)), docs)
+    lang = out.select("doc_id", f"{name}.lang_pred", "language", "score").collect()
+    assert {(r["language"], r["score"]) for r in lang} == {(7, 2.0)}
     assert {r["lang_pred"] for r in lang if r["doc_id"] in (0, 1, 2, 700)} == {"und"} and len(lang) == rows.count()
     for op in (toxicity.toxicity, quality.quality):
         out, name = op(rows.withColumn("toxicity", F.lit(5)).withColumn("quality", F.lit(6)), labels)
@@ -82,22 +84,77 @@ def test_automaton():
     assert ord("d") not in moves[moves[0][ord("b")]]
 
 
-def test_phrases_as_plain_parsing(spark, tables):
+def plain_phrases(data: bytes, sample: bytes) -> int:
+    """Longest matches one after another, found by searching the sample."""
+    n = at = 0
+    while at < len(data):
+        size = 1
+        while at + size < len(data) and data[at : at + size + 1] in sample:
+            size += 1
+        n, at = n + 1, at + size
+    return n
+
+
+@pytest.mark.parametrize("stretch", [512, 16, 3])
+def test_phrases_as_plain_parsing(spark, tables, monkeypatch, stretch):
+    """Phrases are the longest matches, across stretches too, also where texts are copies of the sample."""
+    monkeypatch.setattr(language, "STRETCH", stretch)
+    docs, _ = tables
+    texts = [r["text"] for r in docs.where("length(text) < 3000").limit(25).collect()]
+    normal = lambda t: language.normal_bytes(t).tobytes()
+    kept = [b" ".join(normal(t) for t in texts[k : k + 3])[:4000] for k in (0, 7)] + [b"ab" * 300]
+    learned = language.Languages([language.Automaton.build(str(k), x) for k, x in enumerate(kept)])
+    texts += ["", "ab" * 700, "q", "xyz!" * 50, texts[0] + texts[1] + texts[2], "ab" * 40 + texts[7] + "ab" * 290, texts[0][50:] * 3]
+    got = learned.phrases(texts)
+    assert got.tolist() == [[plain_phrases(normal(t), x) for x in kept] for t in texts]
+
+
+def test_all_languages_are_learned(spark):
+    """However many labels there are; a language with copies of one text and one long text is learned from both."""
+    rows = [(100 * k + j, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in ("ona", "tir", "lek", "mus")), f"l{k:02}", "s") for k in range(70) for j in range(4)]
+    rows += [(9000 + k, "zzz yyy " * 5000 if k in (3, 4, 5) else "kopie text " * 30, "zz", "s") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    learned = language.learn(docs)
+    assert len(learned.automata) == 71
+    names, _ = learned.predict([r[1] for r in rows])
+    assert names == [r[2] for r in rows]
+
+
+def test_sample_doesnt_depend_on_layout(spark, tables):
     docs, _ = tables
-    learned = language.learn(docs, sample_bytes=2000)
-    texts = [r["text"] for r in docs.where("length(text) < 3000").limit(30).collect()]
-    counts, sizes = learned.phrases(texts)
-    for t, row, n in zip(texts, counts, sizes):
-        coded = learned.letters[language.normal_bytes(t)].tolist()
-        assert len(coded) == n
-        for k in range(len(learned.names)):
-            total = 0
-            for a in range(0, len(coded), language.BLOCK):
-                state, total = int(learned.roots[k]), total + 1
-                for c in coded[a : a + language.BLOCK]:
-                    to = int(learned.move[state * learned.width + c])
-                    if to == 0:
-                        total += 1
-                        to = int(learned.first[k][c])
-                    state = to
-            assert total == row[k]
+    a, b = (language.samples(d, 24_000, 100).orderBy("lang", "slot").collect() for d in (docs, docs.repartition(7)))
+    assert a == b and len(a) > 100
+
+
+def test_votes_as_brute_force(tables):
+    """Scores are the similarity-weighted share of label 1 among the nearest vectors, found one by one."""
+    docs, labels = tables
+    space = quality.fit(docs, labels)
+    texts = [r["text"] for r in docs.limit(40).collect()] + [None, "", "x"]
+    got, vectors = space.scores(texts, block=7), space.project(texts)
+    for vector, score in zip(vectors, got, strict=True):
+        near = sorted((-float(vector @ v), k) for k, v in enumerate(space.vectors))[: quality.NEIGHBOURS]
+        weight = [max(-s, quality.LEAST) ** 8 for s, _ in near]
+        assert abs(score - sum(w * space.labels[k] for w, (_, k) in zip(weight, near)) / sum(weight)) < 1e-3
+
+
+def test_machine_as_pair_sums(spark, tables):
+    """Scores are the logistic of bias, weights and the products of all pairs' factors."""
+    docs, labels = tables
+    machine = toxicity.fit(docs, labels)
+    texts = [r["text"] for r in docs.limit(30).collect()] + [None, "", "123"]
+    for text, score in zip(texts, machine.scores(texts), strict=True):
+        rows = [machine.table[machine.place[s]] for s in toxicity.slots(text) if s in machine.place]
+        logit = machine.bias + sum(float(r[0]) for r in rows)
+        logit += sum(float(rows[a][1:] @ rows[b][1:]) for a in range(len(rows)) for b in range(a))
+        assert abs(score - 1 / (1 + np.exp(-np.clip(logit, -30, 30)))) < 1e-4
+
+
+def test_contradictory_labels(spark):
+    """A document labelled both ways counts as 1, one labelled twice counts once."""
+    from cinderlake.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(1, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)] * 2 + [(4, 1), (6, None), (None, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["y"] for r in labelled_sample(docs, labels, "toxic", 100).collect()}
+    assert got.get(4, 1) == 1 and all(y == (d % 2 or d == 4) for d, y in got.items()) and len(got) > 15
