@@ -2,7 +2,7 @@
 
 Operators that compare places all over the corpus would have to move the texts to every step that
 needs them. Instead the documents are written once as chunks of about two megabytes of
-compressed text, bucketed by chunk id. A step reads the chunks where they are, sends out keys of
+text, compressed, in one file per bucket of chunk ids; buckets grow in number with the corpus, not in size. A step reads the chunks where they are, sends out keys of
 places in packed rows, one per chunk and key range, and gets back an answer per row: only keys
 and answers are shuffled. A key that a chunk has many times is sent once, so frequent keys are
 pre-aggregated. Key ranges grow in number with the corpus, not in size.
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from cinderlake.session import shared_folder, written
 
-CHUNK_BYTES = 2_000_000
+#: Bytes of text of a chunk, and of a bucket of chunks in the mean.
+CHUNK_BYTES, BUCKET_BYTES = 2_000_000, 64_000_000
 CHUNK_SCHEMA = "chunk long, ids array<long>, ends array<long>, words long, body binary"
 
 
@@ -65,8 +66,9 @@ def make_chunks(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFra
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.mapInPandas(deal, CHUNK_SCHEMA)
     name, path = f"chunks_{uuid.uuid4().hex}", shared_folder(spark, "chunks")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt.write.option("path", path).bucketBy(buckets, "chunk").saveAsTable(name)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    dealt.repartition(buckets, "chunk").write.option("path", path).bucketBy(buckets, "chunk").saveAsTable(name)
     chunks = spark.table(name)
     chunks.schema  # resolves the table while its name exists; the files stay
     spark.sql(f"DROP TABLE {name}")
