@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlake.functions.indicators import anchor, indicators
+from cinderlake.functions.indicators import HINT, anchor, indicators
 from cinderlake.functions.text import refang
 
 
 def candidates(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """One row per indicator that an article has."""
-    return docs.select(id_col, F.explode(indicators(F.col(text))).alias("i")).select(id_col, "i.*")
+    """One row per indicator that an article has. Articles without a hint of any don't pass through Python."""
+    return docs.where(F.col(text).rlike(HINT)).select(id_col, F.explode(indicators(F.col(text))).alias("i")).select(id_col, "i.*")
 
 
 def reconcile(proposed: DataFrame, found: DataFrame, id_col: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlake.session import written
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key, the first by ``order``; null keys are equal to each other.
@@ -46,7 +48,8 @@ def get_or_create(dim: DataFrame, key: str, id_col: str, natural: DataFrame) ->
     The numbering counts per partition first, so no task meets all new keys.
     """
     new = natural.select(key).where(F.col(key).isNotNull()).distinct().join(dim.select(key), key, "left_anti")
-    new = new.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    # written once: the partitions that rows are counted by are those that they are numbered in
+    new = written(new.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "new-ranges")
     nth = F.row_number().over(Window.partitionBy("_p").orderBy(key))
     new = new.withColumn("_n", nth)
     sizes = new.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))

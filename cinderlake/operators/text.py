@@ -12,50 +12,107 @@ from cinderlake.session import written
 
 #: Words that say nothing about a report.
 STOPWORDS = (
-    "the and for that with this from have has been are was were will would can could should may might not but they their there then than "
-    "when what which who whom whose how why all any some each other into over under about after before during through between more most such "
-    "only own same also its his her our your you using used use new news said says according report reports reported research researchers "
-    "blog post article read however while where these those them via out per get"
-).split()
+    "the", "and", "for", "that", "with", "this", "from", "have", "has", "been", "are", "was", "were", "will", "would", "can", "could", "should", "may", "might", "not", "but", "they", "their",
+    "there", "then", "than", "when", "what", "which", "who", "whom", "whose", "how", "why", "all", "any", "some", "each", "other", "into", "over", "under", "about", "after", "before", "during",
+    "through", "between", "more", "most", "such", "only", "own", "same", "also", "its", "his", "her", "our", "your", "you", "using", "used", "use", "new", "news", "said", "says", "according",
+    "report", "reports", "reported", "research", "researchers", "blog", "post", "article", "read", "however", "while", "where", "these", "those", "them", "via", "out", "per", "get",
+)
 
 
-def tokens(text: Column, stop: list[str] = STOPWORDS) -> Column:
+#: Words of three or more of a-z, 0-9, hyphen and dot that begin with a letter or digit.
+TOKEN = r"([a-z0-9][a-z0-9\-.]{2,})"
+
+
+def tokens(text: Column, stop: tuple[str, ...] = STOPWORDS) -> Column:
     """Words of three or more of a-z, 0-9, hyphen and dot that begin with a letter or digit, stop words left out."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9][a-z0-9\-.]{2,})"))
-    return F.filter(found, lambda t: ~t.isin(stop))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN)), lambda t: ~t.isin(*stop))
 
 
 def tfidf(docs: DataFrame, id_col: str, text: Column, min_tokens: int = 0) -> DataFrame:
     """``id, term, weight``: (1 + ln tf)(ln((1 + n) / (1 + df)) + 1), of length 1 per document.
 
-    ``df`` is aggregated per term before it is joined; n counts all documents.
+    Texts are cut once: counts per document and term are written, and all that follows reads them. ``df`` is aggregated per term
+    before it is joined; n counts all documents, those with fewer than ``min_tokens`` included.
     """
-    words = docs.select(F.col(id_col).alias("id"), tokens(text).alias("t"))
-    n = words.agg(F.count(F.lit(1)).alias("n"))
-    tf = words.where(F.size("t") >= min_tokens).select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN))).alias("term"))
+    tf = words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")).where(~F.col("term").isin(*STOPWORDS))
+    tf = written(tf, "tfidf-counts")
+    if min_tokens:
+        enough = tf.groupBy("id").agg(F.sum("tf").alias("_t")).where(F.col("_t") >= min_tokens).select("id")
+        tf = tf.join(enough, "id", "left_semi")
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"), "df", "n")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.select("id", "term", (F.col("w") / norm).alias("weight"), "df", "n")
+
+
+def _products(part: pd.DataFrame, least: float, dense: int) -> pd.DataFrame:
+    """Pairs of one pair of blocks whose product reaches ``least``, in single precision.
+
+    Terms that ``dense`` pairs have are columns of a matrix product, the others add up their pairs.
+    """
+    import numpy as np
+
+    x, y = int(part["x"].iloc[0]), int(part["y"].iloc[0])
+    sides = [part[part["own"] == k] for k in (x, y)]
+    ids = [s["id"].to_numpy() for s in sides]
+    none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    if not all(map(len, ids)):
+        return none
+    terms = [np.concatenate([np.asarray(v, np.int64) for v in s["terms"]]) for s in sides]
+    weights = [np.concatenate([np.asarray(v, np.float32) for v in s["weights"]]) for s in sides]
+    owner = [np.repeat(np.arange(len(s)), s["terms"].map(len)) for s in sides]
+    both = np.intersect1d(*terms)
+    keep = [np.isin(t, both) for t in terms]
+    column, weights, owner = ([np.searchsorted(both, t[k]) for t, k in zip(terms, keep)], [w[k] for w, k in zip(weights, keep)], [o[k] for o, k in zip(owner, keep)])
+    count = [np.bincount(c, minlength=len(both)) for c in column]
+    common = count[0] * count[1] >= dense
+    at = np.cumsum(common) - 1
+    matrix = [np.zeros((len(i), int(common.sum())), np.float32) for i in ids]
+    for m, c, w, o in zip(matrix, column, weights, owner):
+        own = common[c]
+        m[o[own], at[c[own]]] = w[own]
+    dots = (matrix[0] @ matrix[1].T).ravel()
+    rare = [~common[c] for c in column]
+    order = [np.argsort(c[r], kind="stable") for c, r in zip(column, rare)]
+    c0, w0, o0 = column[0][rare[0]][order[0]], weights[0][rare[0]][order[0]], owner[0][rare[0]][order[0]]
+    w1, o1 = weights[1][rare[1]][order[1]], owner[1][rare[1]][order[1]]
+    size = np.where(common, 0, count[1])
+    begin = np.cumsum(size) - size
+    for a in range(0, len(c0), 200_000):
+        c = c0[a : a + 200_000]
+        n = size[c]
+        other = np.repeat(begin[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place = np.repeat(o0[a : a + 200_000], n) * len(ids[1]) + o1[other]
+        dots += np.bincount(place, np.repeat(w0[a : a + 200_000], n) * w1[other], len(dots)).astype(np.float32)
+    i, j = np.divmod(np.flatnonzero(dots >= least), len(ids[1]))
+    a, b = ids[0][i], ids[1][j]
+    keep = (a < b) if x == y else np.ones(len(a), bool)
+    return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
+
+def in_block_pairs(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` (with ``id``) dealt into blocks, each block to all pairs that it is in: columns x, y and own besides.
+
+    A pair of blocks is a task of bounded size, so no group meets whole in one task.
+    """
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return own.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
 
 
-def tfidf_pairs(weights: DataFrame, threshold: float, slack: float = 0.15) -> DataFrame:
+def tfidf_pairs(weights: DataFrame, threshold: float, block: int = 1500, dense: int = 5000) -> DataFrame:
     """``a, b, cosine`` of document pairs at or over ``threshold``, each once.
 
-    Prefix filter: terms are ordered from rare to frequent. The leading terms of a document are those before
-    the norm of the rest falls below ``threshold - slack``. The cosine of a pair is at most what its leading terms
-    add up to plus the rest of the one
-    whose leading terms end first, hence the larger rest at most; so pairs without enough in common among leading terms are
-    dropped; frequent terms don't join at all, and the cosine of the others is computed exactly.
+    At a threshold of 0.35 nearly all pairs share one of their leading terms, so no filter on terms would save work. Documents
+    are compared by products of pairs of blocks, which emit what comes within rounding of the threshold; the cosine of
+    those is then added up in double precision. The work is quadratic in the number of documents, ``block`` a side and task.
     """
-    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
-    upto = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest.rowsBetween(Window.unboundedPreceding, 0)))
-    after = F.sqrt(F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    lead = weights.withColumn("_upto", upto).withColumn("_after", after).where(F.col("_upto") >= threshold - slack - 1e-9)
-    lead = lead.withColumn("_rest", F.min("_after").over(Window.partitionBy("id"))).select("id", "term", "weight", "_rest")
-    side = lambda n: lead.select(F.col("id").alias(n), "term", F.col("weight").alias(f"w{n}"), F.col("_rest").alias(f"r{n}"))
-    met = side("a").join(side("b"), "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.first(F.greatest("ra", "rb")).alias("r"))
-    pairs = written(met.where(F.col("s") + F.col("r") >= threshold - 1e-9).select("a", "b"), "tfidf-candidates")
+    packed = weights.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("weight").cast("float").alias("w"))).alias("v"))
+    packed = written(packed.select(F.col("id").cast("long").alias("id"), F.col("v.t").alias("terms"), F.col("v.w").alias("weights")), "tfidf-vectors")
+    dealt = in_block_pairs(packed, max(1, -(-packed.count() // block)))
+    found = dealt.groupBy("x", "y").applyInPandas(lambda part: _products(part, threshold - 1e-4, dense), "a long, b long")
+    pairs = written(found, "tfidf-candidates")
     wa = weights.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
     wb = weights.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
     dot = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
@@ -84,10 +141,7 @@ def dense_pairs(vectors: DataFrame, id_col: str, vector: str, threshold: float,
     as the exact answer of a dense join without pruning is; what is emitted are matches only.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    count = rows.count()
-    blocks = max(1, -(-count // block))
-    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = own.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "v")
+    dealt = in_block_pairs(rows, max(1, -(-rows.count() // block)))
 
     def compare(part):
         import numpy as np
@@ -107,16 +161,22 @@ def dense_pairs(vectors: DataFrame, id_col: str, vector: str, threshold: float,
 
 
 def near_pairs(prints: DataFrame, id_col: str, fp: str, most: int = 6) -> DataFrame:
-    """``a, b``: fingerprints of up to ``most`` differing bits, by ``most`` + 1 bands of which one must agree.
+    """``a, b``: fingerprints of up to ``most`` differing bits, by multi-index hashing.
+
+    Of ``most // 3 + 1`` segments one differs in two bits at most, so both fingerprints have a point within one bit of it; they
+    meet at the points of the Hamming balls of radius 1, 22 per segment of 21 bits.
 
     Equal fingerprints are collapsed: a pair links the smallest ids of two fingerprints, and members of one
     fingerprint link to its smallest id.
     """
     groups = prints.groupBy(fp).agg(F.min(id_col).alias("id"))
-    bands = most + 1
-    cuts = [64 * i // bands for i in range(bands + 1)]
-    keys = [F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(F.col(fp), cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("v")) for i in range(bands)]
-    held = groups.select("id", fp, F.explode(F.array(*keys)).alias("k"))
+    segments = most // 3 + 1
+    cuts = [64 * i // segments for i in range(segments + 1)]
+    points = []
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        part = F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).bitwiseOR(F.lit(i << 40))
+        points.append(F.transform(F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b for b in range(hi - lo)))]), lambda x, part=part: part.bitwiseXOR(x)))
+    held = groups.select("id", fp, F.explode(F.concat(*points)).alias("k"))
     a, b = held.select("k", F.col("id").alias("a"), F.col(fp).alias("_fa")), held.select("k", F.col("id").alias("b"), F.col(fp).alias("_fb"))
     pairs = a.join(b, "k").where((F.col("a") < F.col("b")) & (hamming(F.col("_fa"), F.col("_fb")) <= most)).select("a", "b").distinct()
     same = prints.join(groups.withColumnRenamed("id", "_least"), fp).where(F.col(id_col) != F.col("_least")).select(F.col("_least").alias("a"), F.col(id_col).alias("b"))

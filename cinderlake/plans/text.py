@@ -9,7 +9,8 @@ from cinderlake.functions import text as T
 from cinderlake.operators import text as X
 from cinderlake.session import table, written
 
-COSINE, DENSE = 0.7, 0.4
+#: Cosines from which articles belong together: by terms, and by embeddings.
+COSINE, DENSE = 0.35, 0.85
 
 
 def _weights(spark, d, min_tokens=0):
