@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 
 from cinderlake.functions import fuzzy
 from cinderlake.functions.text import host, normal_name
+from cinderlake.session import written
 
-#: Rows of a side that may be sent to every task; beyond it joins are shuffled or done in parts.
-SMALL_ROWS = 100_000
 #: Domains that host other people's things, in the order in which they are tried.
 PLATFORM_DOMAINS = (
-    "microsoft.com windows.net azureedge.net apple.com google.com googleapis.com github.com githubusercontent.com gitlab.com supabase.co "
-    "amazonaws.com cloudfront.net workers.dev pages.dev dropbox.com mediafire.com discord.com discordapp.com pastebin.com t.me "
-    "talosintelligence.com welivesecurity.com unit42.paloaltonetworks.com sentinelone.com trendmicro.com securelist.com cisa.gov "
-    "bleepingcomputer.com thedfirreport.com"
-).split()
+    "microsoft.com", "windows.net", "azureedge.net", "apple.com", "google.com", "googleapis.com", "github.com", "githubusercontent.com", "gitlab.com", "supabase.co", "amazonaws.com",
+    "cloudfront.net", "workers.dev", "pages.dev", "dropbox.com", "mediafire.com", "discord.com", "discordapp.com", "pastebin.com", "t.me", "talosintelligence.com", "welivesecurity.com",
+    "unit42.paloaltonetworks.com", "sentinelone.com", "trendmicro.com", "securelist.com", "cisa.gov", "bleepingcomputer.com", "thedfirreport.com",
+)
 
 
 def match_names(left: DataFrame, left_id: str, names: str, right: DataFrame, right_id: str, right_name: str) -> DataFrame:
@@ -71,11 +69,47 @@ def watch_fuzzy(victims: DataFrame, row_id: str, name: str, domain: str, watch:
     return joined.select("m.watch_id", row_id, "m.match")
 
 
+def _letter_pairs(texts: DataFrame, text: str) -> DataFrame:
+    """``text, pair``: neighbouring letters with the number of their occurrence; a single letter stands for itself."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
+    cut = texts.select(text, F.explode(F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(2)))).alias("pair"))
+    counted = cut.groupBy(text, "pair").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.select(text, F.explode(F.sequence(F.lit(1), "_n")).alias("_k"), "pair").select(text, F.concat_ws("#", "pair", "_k").alias("pair"))
+
+
+def _leading_pairs(pairs: DataFrame, text: str, frequency: DataFrame, share: float, reach: float) -> DataFrame:
+    """The rarest letter pairs of each text, as many as make sure that any text within reach has one among its own.
+
+    Texts of m and n letters differ by d <= share (m + n) insertions and deletions, of which one breaks a pair of the text and
+    the other two: (3 d + m - n) / 2 at most, with n from m / reach. All other pairs are common.
+    """
+    m = F.length(text)
+    lost = F.floor(((1 + 3 * share) * m - (1 - 3 * share) * F.ceil(m / F.lit(reach) - 1e-9)) / 2 + 1e-9)
+    nth = F.row_number().over(Window.partitionBy(text).orderBy(F.coalesce("_f", F.lit(0)), "pair"))
+    return pairs.join(frequency, "pair", "left").withColumn("_nth", nth).where(F.col("_nth") <= lost + 1).select(text, "pair")
+
+
+def _near_texts(names: DataFrame, name: str, others: DataFrame, other: str, threshold: int) -> DataFrame:
+    """``name, other`` that can have a ratio of ``threshold``, no others being lost.
+
+    From 85 on they share one of their leading letter pairs; a lower threshold goes by lengths only.
+    """
+    reach = 2 * 100 / (threshold - 0.5) - 1 + 1e-9  # the score is rounded before it is compared
+    fits = (F.length(other) <= F.length(name) * reach) & (F.length(name) <= F.length(other) * reach)
+    if threshold < 85:
+        lengths = names.withColumn("_l", F.explode(F.sequence(F.ceil(F.length(name) / reach).cast("int"), F.floor(F.length(name) * reach).cast("int"))))
+        return lengths.join(others.withColumn("_l", F.length(other)), "_l").select(name, other)
+    cut = _letter_pairs(others, other)
+    frequency = cut.groupBy("pair").agg(F.count(F.lit(1)).alias("_f"))
+    share = 1 - (threshold - 0.5) / 100
+    a, b = _leading_pairs(_letter_pairs(names, name), name, frequency, share, reach), _leading_pairs(cut, other, frequency, share, reach)
+    return a.join(b, "pair").where(fits).select(name, other).distinct()
+
+
 def resolve(names: DataFrame, name: str, actors: DataFrame, actor_id: str, actor_name: str, aliases: DataFrame, threshold: int = 85) -> DataFrame:
     """Ladder of exact name, approved alias (alias, actor_id), fuzzy ratio; more than one hit on a rung is ambiguous.
 
-    The fuzzy rung compares what is left with the actors in parts of SMALL_ROWS, by length: texts whose lengths
-    differ too much can't reach the threshold and aren't compared.
+    The fuzzy rung compares what is left with the distinct names of actors that share a leading letter pair.
     """
     key = lambda c: F.lower(F.trim(F.col(c)))
     todo = names.select(key(name).alias("k")).where("k <> ''").distinct()
@@ -84,10 +118,9 @@ def resolve(names: DataFrame, name: str, actors: DataFrame, actor_id: str, actor
     one = todo.join(exact, "k").withColumn("rung", F.lit("exact"))
     two = todo.join(one, "k", "left_anti").join(alias, "k").withColumn("rung", F.lit("alias"))
     rest = todo.join(one, "k", "left_anti").join(two, "k", "left_anti")
-    by_length = actors.select(F.col(actor_id).alias("id"), key(actor_name).alias("other")).withColumn("len", F.length("other"))
-    reach = 2 * 100 / (threshold - 0.5) - 1 + 1e-9  # the score is rounded before it is compared
-    probe = rest.withColumn("len", F.explode(F.sequence(F.ceil(F.length("k") / reach).cast("int"), F.floor(F.length("k") * reach).cast("int"))))
-    scored = probe.join(by_length, "len").withColumn("score", fuzzy.ratio_column("ratio", F.col("k"), F.col("other"))).where(F.col("score") >= threshold)
+    known = actors.select(key(actor_name).alias("other"), F.col(actor_id).alias("id")).where("other <> ''")
+    near = written(_near_texts(rest, "k", known.select("other").distinct(), "other", threshold), "resolve-near")
+    scored = near.withColumn("score", fuzzy.ratio_column("ratio", F.col("k"), F.col("other"))).where(F.col("score") >= threshold).join(known, "other")
     best = scored.groupBy("k").agg(F.max(F.struct("score", F.lit(1))).alias("_m"), F.collect_list(F.struct("score", "id")).alias("all"))
     top = F.filter("all", lambda x: x["score"] == F.col("_m.score"))
     three = best.select("k", F.size(F.array_distinct(F.transform(top, lambda x: x["id"]))).cast("long").alias("n"), F.array_min(F.transform(top, lambda x: x["id"])).alias("id"), F.lit("fuzzy").alias("rung"))
@@ -96,7 +129,7 @@ def resolve(names: DataFrame, name: str, actors: DataFrame, actor_id: str, actor
     return out.select("k", F.coalesce(F.when(F.col("n") > 1, "ambiguous").otherwise(F.col("rung")), F.lit("unknown")).alias("rung"), F.when(F.col("n") == 1, F.col("id")).alias("id"))
 
 
-def suffix_match(rows: DataFrame, url: str, domains: list[str] = PLATFORM_DOMAINS) -> DataFrame:
+def suffix_match(rows: DataFrame, url: str, domains: tuple[str, ...] = PLATFORM_DOMAINS) -> DataFrame:
     """``platform``: the first listed domain that the host is or ends in; onion hosts have none."""
     h = host(F.col(url))
     ends = lambda d: (h == d) | h.endswith("." + d)

@@ -73,8 +73,8 @@ def tolerant_json(spark, d):
 
 
 def context_windows(spark, d):
-    docs = table(spark, d, "documents").where("length(text) > 400").select("doc_id", "text")
-    return docs.select("doc_id", T.window_around(F.col("text"), F.lit(200), F.lit(210), 40).alias("w"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.floor(F.length("text") / 2).cast("int").alias("at"))
+    return docs.select("doc_id", T.window_around(F.col("text"), F.col("at"), F.least(F.col("at") + 10, F.length("text")), 40).alias("w"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -86,7 +86,7 @@ def stix_bundles(spark, d):
 
 
 def notification_events(spark, d):
-    alerts = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_orderkey").alias("alert_id"), F.col("o_custkey").alias("victim_id"), (F.col("o_custkey") % 40).alias("watch_id"))
+    alerts = table(spark, d, "orders").select(F.col("o_orderkey").alias("alert_id"), F.col("o_custkey").alias("victim_id"), (F.col("o_custkey") % 40).alias("watch_id"))
     watch = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("watch_id"), F.col("n_name").alias("watch_name"))
     victims = table(spark, d, "customer").select(F.col("c_custkey").alias("victim_id"), F.col("c_name").alias("victim_name"), F.col("c_nationkey").cast("long").alias("group_id"))
     groups = table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("group_id"), F.col("n_name").alias("group_name"))
@@ -126,7 +126,7 @@ _N = """n AS (SELECT p_partkey, CASE WHEN p_size < 10 THEN 'Storm-' || (p_partke
 WHEN p_size < 25 THEN 'Iron ' || string_split(p_name, ' ')[2] WHEN p_size < 35 THEN p_name || ' Group' ELSE p_name END AS name FROM part)"""
 _DES = "CASE WHEN regexp_matches(lower(name), '^storm-\\d{3,5}$') THEN 'Microsoft' WHEN regexp_matches(lower(name), '^unc\\d{3,5}$') THEN 'Mandiant' ELSE '' END"
 _EVENTS = """SELECT o_orderkey AS alert_id, w.n_name AS watch_name, c_name AS victim_name, coalesce(g.n_name, '') AS group_name FROM orders JOIN customer ON o_custkey = c_custkey
-JOIN nation w ON w.n_nationkey = o_custkey % 40 LEFT JOIN nation g ON g.n_nationkey = c_nationkey AND g.n_regionkey < 3 WHERE o_totalprice > 400000"""
+JOIN nation w ON w.n_nationkey = o_custkey % 40 LEFT JOIN nation g ON g.n_nationkey = c_nationkey AND g.n_regionkey < 3"""
 _SHELL, _WRAP = '{"alert_id":,"watch_name":"","victim_name":"","group_name":""}', '{"events":[]}'
 ORACLES = {
     "designators": f"WITH {_N} SELECT p_partkey, name, {_DES} AS authority FROM n",

@@ -35,7 +35,7 @@ def ioc_reconcile(spark, d):
 
 def quote_grounding(spark, d):
     """The third to sixth word of each document, looked up as a quotation."""
-    docs = table(spark, d, "documents").where("length(text) > 40").select("doc_id", "text", F.array_join(F.slice(F.split("text", r"\s+"), 3, 4), " ").alias("q"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.array_join(F.slice(F.split("text", r"\s+"), 3, 4), " ").alias("q"))
     at = docs.select("doc_id", anchor(F.col("text"), F.col("q"), True).alias("at"))
     return at.select("doc_id", F.col("at.start").alias("start"), F.col("at.end").alias("end"))
 
@@ -49,7 +49,7 @@ def ttp_ladder(spark, d):
 
 
 def claim_quality(spark, d):
-    claims = table(spark, d, "conversations").select("conv_id", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("claim"), (F.length("text") % 3).alias("label"))
+    claims = table(spark, d, "conversations").select("conv_id", F.coalesce("text", F.lit("")).alias("claim"), (F.length("text") % 3).alias("label"))
     return X.distinct_claims(claims, "conv_id", "claim", F.col("label")).select("conv_id", "claims", F.round("share", 6).alias("share"), "quality")
 
 
@@ -151,7 +151,7 @@ ORACLES = {
 f AS (SELECT *, known AND len >= 16 AND anch AS good, row_number() OVER (PARTITION BY l_suppkey, l_partkey, known AND len >= 16 AND anch ORDER BY seq) = 1 AS first FROM r),
 b AS (SELECT *, coalesce(sum(CASE WHEN good AND first THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
 SELECT l_suppkey, CASE WHEN before >= 10 THEN 'cap' WHEN NOT known THEN 'unknown' WHEN len < 16 THEN 'weak' WHEN NOT anch THEN 'unanchored' WHEN NOT first THEN 'duplicate' ELSE 'kept' END AS state, count(*) AS n FROM b GROUP BY 1, 2""",
-    "claim_quality": r"""WITH c AS (SELECT conv_id, regexp_replace(lower(trim(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '\s+', ' ', 'g'))), '[.;:!? ]+$', '') AS c, max(length(text) % 3) AS worst FROM conversations GROUP BY 1, 2),
+    "claim_quality": r"""WITH c AS (SELECT conv_id, regexp_replace(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[.;:!? ]+$', '') AS c, max(length(text) % 3) AS worst FROM conversations GROUP BY 1, 2),
 q AS (SELECT conv_id, count(*) AS claims, avg(CASE WHEN worst = 0 THEN 1.0 ELSE 0.0 END) AS share FROM c GROUP BY 1)
 SELECT conv_id, claims, round(share, 6) AS share, CASE WHEN share > 0.8 THEN 'high' WHEN share >= 0.5 THEN 'moderate' ELSE 'low' END AS quality FROM q""",
     "composite_gate": f"WITH {_GATE} SELECT doc_id, kind, score_raw, round(score_total, 6) AS score_total, unjudgeable, decision FROM g",
