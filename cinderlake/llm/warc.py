@@ -4,13 +4,14 @@ Two datasets in the shared folder: ``payloads`` (digest, payload) has every dist
 ``headers`` has the exact header block of every record and the digest of its payload. Payloads are
 bucketed by digest when they are written, so that the join on the digest that rebuilds the records
 moves headers only; what is read back is checked: the digest is computed again
-from the stored bytes and compared with the one in the header, as is the length.
+from the stored bytes and compared with the one in the header, as is the length. All that is known of a record, its page and the
+record that it refers to included, is read from its header.
 
 Defined results: a null payload counts as empty. A null URL leaves out WARC-Target-URI; control
 characters and blanks in a URL are percent-encoded, so that no URL can break a header. Of rows
 that repeat a page_id and a payload of ``min_bytes`` or more one is the response, the others are
 revisits that refer to it. A null page_id is larger than any other. An empty table gives an empty
-archive. Other columns are not looked at.
+archive. A payload of any length is one value. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -63,6 +64,7 @@ def _header(date: str) -> Column:
         F.lit("WARC/1.1" + CRLF),
         field("WARC-Type", F.col("record_type")),
         field("WARC-Record-ID", _record_id(F.col("page_id"), F.col("nth"))),
+        F.coalesce(field("X-Page-ID", F.col("page_id").cast("string")), F.lit("")),
         field("WARC-Date", F.lit(date)),
         F.coalesce(field("WARC-Target-URI", url), F.lit("")),
         some(revisit, field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
@@ -95,33 +97,33 @@ def write_archive(pages: DataFrame, min_bytes: int = 100, date: str = "2001-01-0
     small = small.withColumn("nth", nth).join(first.where("copies > 1").select(F.col("digest").alias("_d"), "first_id"), F.col("digest") == F.col("_d"), "left")
     revisit = F.col("_d").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("nth") == 1))
     small = small.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
-    small.select("page_id", "refers_to", "digest", "record_type", _header(date).alias("header")).write.option("compression", "zstd").parquet(archive.headers)
+    small.select("digest", "record_type", _header(date).alias("header")).write.option("compression", "zstd").parquet(archive.headers)
     return archive
 
 
 def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
-    """``page_id, refers_to, header, block``: every record as archived; a revisit's block is empty."""
+    """``header, block``: every record as archived; a revisit's block is empty."""
     headers = spark.read.parquet(archive.headers)
     with _table(spark) as name:
         spark.sql(f"CREATE TABLE {name} (digest STRING, payload BINARY) USING parquet OPTIONS (path '{archive.payloads}') CLUSTERED BY (digest) INTO {archive.buckets} BUCKETS")
         payloads = spark.table(name)
         payloads.schema  # resolves the table while its name exists
-    full = headers.where("record_type = 'response'").join(payloads, "digest").select("page_id", "refers_to", "header", "payload")
-    empty = headers.where("record_type = 'revisit'").select("page_id", "refers_to", "header", F.lit("").cast("binary").alias("payload"))
+    full = headers.where("record_type = 'response'").join(payloads, "digest").select("header", "payload")
+    empty = headers.where("record_type = 'revisit'").select("header", F.lit("").cast("binary").alias("payload"))
     return full.unionByName(empty).withColumnRenamed("payload", "block")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
-    """``page_id, record``: the bytes of each WARC record, ready to be concatenated to a file."""
-    return records.select("page_id", F.concat(F.col("header").cast("binary"), F.col("block"), F.lit(CRLF * 2).cast("binary")).alias("record"))
+    """``record``: the bytes of each WARC record, ready to be concatenated to a file."""
+    return records.select(F.concat(F.col("header").cast("binary"), F.col("block"), F.lit(CRLF * 2).cast("binary")).alias("record"))
 
 
-def parse_records(records: DataFrame) -> DataFrame:
+def parse_records(records: DataFrame, id_type: str = "long") -> DataFrame:
     """Fields read from the header text, and whether a response's block has that digest and length."""
     value = lambda name: F.regexp_extract("header", rf"(?md)^{name}: (.*?)\r$", 1)
     out = records.select(
-        "page_id", "refers_to", value("WARC-Type").alias("record_type"),
-        F.regexp_extract("header", r"(?md)^WARC-Payload-Digest: sha256:([0-9a-f]{64})\r$", 1).alias("payload_digest"),
+        F.nullif(value("X-Page-ID"), F.lit("")).cast(id_type).alias("page_id"), value("WARC-Record-ID").alias("record_id"), F.nullif(value("WARC-Refers-To"), F.lit("")).alias("refers_to_id"),
+        value("WARC-Type").alias("record_type"), F.regexp_extract("header", r"(?md)^WARC-Payload-Digest: sha256:([0-9a-f]{64})\r$", 1).alias("payload_digest"),
         value("Content-Length").cast("long").alias("length"),
         F.sha2("block", 256).alias("found"), F.octet_length("block").cast("long").alias("found_bytes"),
     )
@@ -130,15 +132,20 @@ def parse_records(records: DataFrame) -> DataFrame:
 
 
 def op2_warc(pages: DataFrame) -> DataFrame:
-    """Archive the pages and report what is read back; ``verified`` says that the bytes agree."""
+    """Archive the pages and report what is read back; ``verified`` says that the bytes agree.
+
+    A revisit finds its response by the record that its header refers to, and is verified if digest and bytes of that one agree.
+    """
     spark = pages.sparkSession
-    got = written(parse_records(read_records(spark, write_archive(pages))), "warc-parsed")
+    got = written(parse_records(read_records(spark, write_archive(pages)), pages.schema["page_id"].dataType.simpleString()), "warc-parsed")
     response = got.where("record_type = 'response'")
-    sizes = response.where("found_bytes >= 100").groupBy(F.col("payload_digest").alias("_d")).agg(F.max("found_bytes").alias("full_bytes"), F.min("verified").alias("full_ok"))
-    revisit = got.where("record_type = 'revisit'").join(sizes, F.col("payload_digest") == F.col("_d"), "left")
-    out = response.select("page_id", F.col("found_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "verified")
-    more = revisit.select("page_id", F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.col("full_ok").alias("verified"))
-    return out.unionByName(more)
+    target = response.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("found_bytes").alias("payload_bytes"), F.col("payload_digest").alias("_d"), F.col("verified").alias("_ok"))
+    wanted = got.where("record_type = 'revisit'").select("refers_to_id").distinct()
+    target = target.join(wanted, "refers_to_id", "left_semi")
+    revisit = got.where("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_to_id").join(target, "refers_to_id", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"]
+    out = response.select("page_id", F.col("found_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"), "verified")
+    return out.unionByName(revisit.withColumn("verified", F.coalesce(F.col("_ok") & (F.col("_d") == F.col("payload_digest")), F.lit(False))).select(*columns))
 
 
 ORACLE = """

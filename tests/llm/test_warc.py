@@ -43,9 +43,18 @@ def test_round_trip(spark):
 
 def test_damage_is_seen(spark):
     records = warc.read_records(spark, warc.write_archive(pages(spark)))
-    damaged = records.withColumn("block", F.when(F.col("page_id") == 3, F.lit("shorx").cast("binary")).otherwise(F.col("block")))
+    damaged = records.withColumn("block", F.when(F.col("header").contains("X-Page-ID: 3\r"), F.lit("shorx").cast("binary")).otherwise(F.col("block")))
     assert [r["page_id"] for r in warc.parse_records(damaged).where("not verified").collect()] == [3]
 
 
 def test_empty(spark):
     assert warc.op2_warc(pages(spark).where("false")).count() == 0
+
+
+def test_damaged_response_of_revisits(spark, monkeypatch):
+    """Revisits are verified by the record that they refer to."""
+    read = warc.read_records
+    damage = lambda s, a: read(s, a).withColumn("block", F.when(F.length("block") > 100, F.concat("block", F.lit("x").cast("binary"))).otherwise(F.col("block")))
+    monkeypatch.setattr(warc, "read_records", damage)
+    bad = warc.op2_warc(pages(spark)).where("not verified").collect()
+    assert {r["record_type"] for r in bad} == {"response", "revisit"} and len(bad) == 6
