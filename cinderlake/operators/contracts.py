@@ -104,3 +104,13 @@ def dataset_structure(rows: DataFrame, by: list[str], payload: str, order: str)
 def health(counts: DataFrame, n: str, floor_ok: int, floor_degraded: int) -> DataFrame:
     """Status by row counts."""
     return counts.withColumn("status", F.when(F.col(n) >= floor_ok, "ok").when(F.col(n) >= floor_degraded, "degraded").otherwise("down"))
+
+
+def drift(rows: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """``key, path, what``: how a structure (JSON) differs from another of its row."""
+
+    def run(olds: pd.Series, news: pd.Series) -> pd.Series:
+        return pd.Series([[{"path": p, "what": w} for p, w in diff(json.loads(a), json.loads(b))] for a, b in zip(olds, news)])
+
+    found = F.pandas_udf(run, "array<struct<path:string,what:string>>")(F.col(old), F.col(new))
+    return rows.select(key, F.explode(found).alias("d")).select(key, "d.path", "d.what")

@@ -90,7 +90,7 @@ def parsed(spark: SparkSession, path: str, parser: Callable[[str], list[dict]],
 
 def contacts(raw: Column) -> Column:
     """``array<struct<kind, value>>`` of a contact cell: parts between dashes, commas and bars, first kind that fits."""
-    parts = F.filter(F.transform(F.split(raw, r"\s*[-–—]\s*|\s*,\s*|\s*\|\s*"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(raw, r"\s*[-–—]\s*|\s*,\s*|\s*\|\s*"), lambda p: F.trim(p)), lambda p: p != "")
 
     def one(p: Column) -> Column:
         kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
