@@ -101,14 +101,14 @@ class Automaton:
 
         moves = suffix_automaton(data)
         total = sum(map(len, moves)) + 512
-        taken, base = bytearray(4 * total + 1024), [0] * (len(moves) + 1)
-        gap = 256
+        taken, base = bytearray(8 * total + 1024), [0] * (len(moves) + 1)
+        gap, begin = 256, [256] * 257  # states with as many ways are tried from where the last one of them fitted
         for state in sorted((s for s in range(len(moves)) if len(moves[s]) > 1), key=lambda s: -len(moves[s])):
             ways = list(moves[state])
-            low, at = min(ways), gap
+            low, at = min(ways), max(gap, begin[len(ways)])
             while taken[at] or any(taken[at - low + c] for c in ways):
                 at += 1
-            base[state + 1] = at - low
+            base[state + 1], begin[len(ways)] = at - low, at
             for c in ways:
                 taken[at - low + c] = 1
             while taken[gap]:
