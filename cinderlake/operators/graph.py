@@ -32,9 +32,8 @@ def _forest(batches):
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """Fewer edges (u, v) with the same components. Each task takes TASK_EDGES edges at most in the mean."""
-    tasks = -(-edges.count() // TASK_EDGES)
-    return edges.coalesce(max(1, tasks)).mapInPandas(_forest, edges.schema)
+    """Fewer edges (u, v) with the same components. Edges are dealt evenly, so each task takes about TASK_EDGES at most."""
+    return edges.repartition(max(1, -(-edges.count() // TASK_EDGES))).mapInPandas(_forest, edges.schema)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -123,7 +123,7 @@ def test_quotes(body, quote, found):
 
 
 @pytest.mark.parametrize(("body", "values", "found"), [
-    ("see evil.com.br and evil.com.", ("evil.com",), "evil.com"), ("see evil.com.br", ("evil.com",), None), ("x hxxp://a[.]b/c y", ("http://a.b/c",), "hxxp://a[.]b/c"), ("only EVIL[.]com", ("nothing", "evil.com"), "EVIL[.]com"), ("a_b", ("b",), None),
+    ("see evil.com.br and evil.com.", ("evil.com",), "evil.com"), ("see evil.com.br", ("evil.com",), None), ("x hxxp://a[.]b/c y", ("http://a.b/c",), "hxxp://a[.]b/c"), ("only EVIL[.]com", ("nothing", "evil.com"), "EVIL[.]com"), ("a_b", ("b",), None), ("in İstanbul: evil.com", ("evil.com",), "evil.com"),
 ])
 def test_values(body, values, found):
     at = indicators.Anchored(body).find(*values)
