@@ -13,8 +13,13 @@ from cinderlake.session import table, written
 COSINE, DENSE = 0.35, 0.85
 
 
+def _articles(spark, d):
+    """Articles dealt out to all cores: their file may be a single row group, and cutting texts is most of the work."""
+    return table(spark, d, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+
+
 def _weights(spark, d, min_tokens=0):
-    return X.tfidf(table(spark, d, "documents"), "doc_id", F.coalesce("text", F.lit("")), min_tokens)
+    return X.tfidf(_articles(spark, d), "doc_id", F.coalesce("text", F.lit("")), min_tokens)
 
 
 def tfidf_top_terms(spark, d):
@@ -59,7 +64,7 @@ def simhash_near_pairs(spark, d):
 
 
 def simhash_greedy(spark, d):
-    return X.greedy_kept(table(spark, d, "documents"), "doc_id", F.coalesce("text", F.lit("")), 6)
+    return X.greedy_kept(_articles(spark, d), "doc_id", F.coalesce("text", F.lit("")), 6)
 
 
 def canonical_urls(spark, d):
