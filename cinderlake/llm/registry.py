@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlake.llm import decontaminate, exact_dedup, language, packing, quality, simhash, substring_words, suffix_dedup, toxicity, warc
+from cinderlake.llm import decontaminate, exact_dedup, filter_audit, language, packing, quality, simhash, substring_words, suffix_dedup, toxicity, url_filters, warc, whitening
 from cinderlake.session import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """op1 to op10 over whole tables with production parameters."""
+    """op1 to op13 over whole tables with production parameters."""
     docs = lambda s, d: table(s, d, "documents")
     return {
         "op1_suffix_dedup": lambda s, d: suffix_dedup.op1_suffix_dedup(docs(s, d)),
@@ -24,9 +24,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": lambda s, d: language.op8_language(docs(s, d)),
         "op9_toxicity": lambda s, d: toxicity.op9_toxicity(docs(s, d), table(s, d, "labels")),
         "op10_decontaminate": lambda s, d: decontaminate.op10_decontaminate(docs(s, d), table(s, d, "benchmark")),
+        "op11_url_filters": lambda s, d: url_filters.op11_url_filters(table(s, d, "pages")),
+        "op12_filter_audit": lambda s, d: filter_audit.op12_filter_audit(docs(s, d), table(s, d, "labels")),
+        "op13_whitening": lambda s, d: whitening.op13_whitening(table(s, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express."""
-    return {"op2_warc": warc.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_substring": substring_words.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_substring": substring_words.ORACLE, "op11_url_filters": url_filters.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
