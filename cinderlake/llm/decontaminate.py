@@ -18,11 +18,12 @@ At a similarity of 0.8 fingerprints differ by 10 bits in the mean with a deviati
 deviations more; the tests measure what it loses.
 
 Items are the query set, taken in parts of ``ITEM_WORDS`` words. A part's items are sent to the tasks, and all documents
-are matched with it; after ``PARTS_AT_ONCE`` parts the result is written, so that neither the driver nor a
-plan holds more than those.
+are matched with it, so neither the driver nor a task holds more than a few parts. With several parts what is found is written per
+``PARTS_AT_ONCE`` of them: digests of texts and their leaks, no texts; the documents find theirs by digest in the end.
 
 Defined results: null and blank texts and items match nothing. Rows that repeat a doc_id are judged each for
-itself; so are repeated items, and an item_id with several texts is one item with all of them. Ties go to the
+itself; so are repeated items, and an item_id with several texts is one item with all of them. An item_id may have any type that has an
+order; items without one are left out. Ties go to the
 smallest item_id. Empty tables give no rows, or no match. Very long texts are taken whole: the sums run over the
 covered stretches only. Columns besides doc_id and text, item_id and text are not looked at, and none is replaced.
 """
@@ -38,14 +39,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import free_name
+from cinderlake.llm.common import bounded, free_name
 from cinderlake.session import written
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 SEGMENTS, BALL = 7, 2
 RADIUS = SEGMENTS * (BALL + 1) - 1
 ITEM_WORDS, PARTS_AT_ONCE = 200_000, 4
-LEAKS = "array<struct<item_id:long,similarity:double>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -204,7 +204,7 @@ class Items:
 
 def item_parts(benchmark: DataFrame) -> Iterator[list[tuple]]:
     """The items in parts of ITEM_WORDS words at most (one item at least), one part after another."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     part: list = []
     size = 0
     for r in items.where("item_id is not null and text is not null").toLocalIterator():
@@ -218,16 +218,21 @@ def item_parts(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield part
 
 
-def match_column(part: list[tuple], text: Column) -> Column:
-    """``LEAKS`` for the items of one part."""
+def leaks_type(benchmark: DataFrame) -> str:
+    """Type of what is found in a document: items and their best similarity."""
+    return f"array<struct<item_id:{benchmark.schema['item_id'].dataType.simpleString()},similarity:double>>"
+
+
+def match_column(part: list[tuple], text: Column, kind: str) -> Column:
+    """Leaks of the items of one part."""
     kept: list = []
 
     def match(texts: pd.Series) -> pd.Series:
         if not kept:
             kept.append(Items(part))
-        return pd.Series([[{"item_id": int(i), "similarity": float(s)} for i, s in sorted(kept[0].matches(t).items())] for t in texts])
+        return pd.Series([[{"item_id": i, "similarity": float(s)} for i, s in sorted(kept[0].matches(t).items())] for t in texts])
 
-    return F.pandas_udf(match, LEAKS)(text)
+    return F.pandas_udf(match, kind)(text)
 
 
 def _merged(leaks: Column) -> Column:
@@ -242,16 +247,29 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame
 
     The name is ``leaks``, with underscores appended while ``documents`` has such a column.
     """
-    name = free_name(documents, "leaks")
-    out, found, parts, text = documents, None, 0, F.col("text").cast("string")
+    name, kind = free_name(documents, "leaks"), leaks_type(benchmark)
+    texts, groups, held = documents.select(F.col("text").cast("string").alias("text")), [], []
+
+    def close() -> None:
+        found = texts.select(F.sha2("text", 256).alias("digest"), F.concat(*held).alias("leaks")).where(F.size("leaks") > 0)
+        groups.append(written(found.groupBy("digest").agg(F.first("leaks").alias("leaks")), "leaks"))
+        held.clear()
+
     for part in item_parts(benchmark):
-        if parts and parts % PARTS_AT_ONCE == 0:
-            out = written(out.withColumn(name, found), "leaks")
-            found = F.col(name)
-        own = match_column(part, text)
-        found, parts = own if found is None else F.concat(found, own), parts + 1
-    out = out.withColumn(name, F.array().cast(LEAKS) if found is None else found)
-    return out if parts < 2 else written(out, "leaks").withColumn(name, _merged(F.col(name))), name
+        if len(held) == PARTS_AT_ONCE:
+            close()
+        held.append(match_column(part, F.col("text").cast("string"), kind))
+    if not groups and len(held) < 2:
+        return documents.withColumn(name, held[0] if held else F.array().cast(kind)), name
+    close()
+    every = groups[0]
+    for one in groups[1:]:
+        every = every.unionByName(one)
+    digest, leaks = free_name(documents, "_digest"), free_name(documents, "_leaks")
+    every = every.groupBy("digest").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    every = written(every.select(F.col("digest").alias(digest), _merged(F.col("leaks")).alias(leaks)), "leaks")
+    out = documents.join(bounded(every), F.sha2(F.col("text").cast("string"), 256) == F.col(digest), "left").drop(digest)
+    return out.withColumn(name, F.coalesce(F.col(leaks), F.array().cast(kind))).drop(leaks), name
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -263,8 +281,8 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op10_decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: contaminated, n_items, the best item and its similarity, and all items found."""
     out, _ = contamination(documents.select("doc_id", "text"), benchmark)
-    best = F.array_max(F.transform("leaks", lambda x: F.struct(x["similarity"].alias("s"), (-x["item_id"]).alias("i"))))
+    best = F.array_min(F.transform("leaks", lambda x: F.struct((-x["similarity"]).alias("s"), x["item_id"].alias("i"))))
     return out.select(
-        "doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").alias("n_items"), (-best["i"]).alias("best_item"),
-        best["s"].alias("similarity"), F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",").alias("items"),
+        "doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").alias("n_items"), best["i"].alias("best_item"),
+        (-best["s"]).alias("similarity"), F.array_join(F.transform(F.array_sort(F.transform("leaks", lambda x: x["item_id"])), lambda i: i.cast("string")), ",").alias("items"),
     )

@@ -6,12 +6,13 @@ elsewhere is found by probing the blocks with every rolling window of 10 words:
 exchange. A probe hits if its key is that of a block and occurs more than once. Hits are then
 extended: each window of 20 words around a hit is looked up by its complete key in the second
 exchange, where the smallest doc_id with that key is found; neighbouring windows join to maximal
-repeats. Keys of the second exchange have 64 bits besides those of the range.
+repeats. The key of a window comes from keyed 128-bit digests (BLAKE2b) of its words, one half for its range and the other
+for the 64 bits that are compared there, so words of no shape are taken for each other; the words themselves aren't sent.
 
 Both exchanges send each distinct key of a chunk once, however often it occurs, so a passage that
 a third of the documents share costs a range one entry per chunk. Nothing is linked pairwise.
 
-Defined results: null, empty and blank texts have no words. Rows that repeat a doc_id don't count as
+Defined results: null, empty and blank texts have no words. Texts and words of any length are taken whole. Rows that repeat a doc_id don't count as
 earlier than each other. A null doc_id is smaller than any other. An empty table gives no rows;
 columns besides doc_id and text are not looked at.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -40,10 +42,14 @@ def _mixed(x):
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(base: np.uint64, n: int):
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+def _digest(word: bytes) -> bytes:
+    """128 bits of a word; those of long ones aren't kept."""
+    return _kept(word) if len(word) <= 32 else _kept.__wrapped__(word)
+
+
+@lru_cache(200_000)
+def _kept(word: bytes) -> bytes:
+    return hashlib.blake2b(word, digest_size=16, key=b"words").digest()
 
 
 class Words:
@@ -62,19 +68,24 @@ class Words:
         self.doc = np.searchsorted(chunk.ends, self.first, "right")
         self.begins = np.searchsorted(self.doc, np.arange(len(chunk.ids)))
         self.ends = np.searchsorted(self.doc, np.arange(len(chunk.ids)), "right")
-        # sums of bytes times powers, made independent of the place by the inverse power
-        value = _mixed(data.astype(np.uint64) + np.uint64(1))
-        power, back = _powers(_A, len(data)), _powers(np.uint64(pow(int(_A), -1, 1 << 64)), len(data))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power)])
-        self.key = _mixed((total[self.last + 1] - total[self.first]) * back[self.first] + (self.last - self.first).astype(np.uint64))
-
-    def runs(self, size: int, base: np.uint64):
-        """Key of the run of ``size`` words that begins at each word, and whether it stays in its document."""
-        n = len(self.key)
+        # two halves of a keyed digest of each distinct word: no shape of words makes them agree
+        body, places, own = data.tobytes(), {}, np.empty(len(self.first), np.int64)
+        for k, (begin, end) in enumerate(zip(self.first.tolist(), (self.last + 1).tolist())):
+            own[k] = places.setdefault(body[begin:end], len(places))
+        halves = np.frombuffer(b"".join([_digest(w) for w in places]), np.uint64).reshape(-1, 2)
+        self.key, self.second = (np.ascontiguousarray(halves[own, k]) for k in (0, 1))
+
+    def runs(self, size: int, base: np.uint64, second: bool = False):
+        """Key of the run of ``size`` words that begins at each word, and whether it stays in its document.
+
+        ``second`` builds it from the other halves of the words' digests, so two keys of a run are independent.
+        """
+        keys = self.second if second else self.key
+        n = len(keys)
         if n < size:
             return np.empty(0, np.uint64), np.empty(0, bool)
         # runs of 1, 2, 4 ... words are put together by the binary digits of size
-        have, width, built, length = None, 0, self.key, 1
+        have, width, built, length = None, 0, keys, 1
         while True:
             if size & length:
                 if have is None:
@@ -115,11 +126,10 @@ def _windows(words: Words, block: int, window: int, parts: int, answers: dict):
     key, inside = words.runs(window, _A)
     at = np.flatnonzero(inside)
     at = at[hits[at + window - block + 1] > hits[at]]
-    other, _ = words.runs(window, _C)
+    other, _ = words.runs(window, _C, second=True)
     key, other = key[at], other[at]
-    own = (key & np.uint64(0xFFFFFFFF)) | (other & np.uint64(0xFFFFFFFF00000000))
-    order = np.lexsort((own, ranges(key, parts)))
-    r, k = ranges(key, parts)[order], own[order]
+    order = np.lexsort((other, ranges(key, parts)))
+    r, k = ranges(key, parts)[order], other[order]
     new = np.ones(len(order), bool)
     new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
     return at[order], np.cumsum(new) - 1, r[new], k[new]

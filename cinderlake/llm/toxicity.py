@@ -2,12 +2,14 @@
 
 Terms are the letter-only words of a text, lower-cased, and their beginnings of five letters, each
 hashed into 2 ** ``HASH_BITS`` slots; a text is the set of its slots. From a bounded sample of
-labelled documents the slots that differ most between the classes are selected in Spark; the
+labelled documents two kinds of slots are selected: those that differ between the classes by themselves, and of the ``FREQUENT`` most frequent
+slots the pairs whose interaction differs from what both have alone, whether or not either differs by itself. The
 machine (bias, weight and ``FACTORS`` factors per selected slot) is fitted on them by Adam. The
 factors carry pairwise interactions, so that two terms can count together what neither does alone.
 
 Defined results: null, empty and letterless texts get the score of the bias alone. Very long texts are taken whole, as the
-set of their slots. Slots that differ equally are taken by number. Rows that repeat a doc_id are scored each for itself. Without labelled documents of
+set of their slots. Slots that differ equally are taken by number. Rows that repeat a doc_id are scored each for itself. If neither a slot nor a pair
+stands out, every score is the share of label 1 in the sample. Without labelled documents of
 both classes every score is 0. An empty table gives no rows; columns besides doc_id and text
 (labels: doc_id, toxic) are not looked at.
 """
@@ -27,8 +29,10 @@ from cinderlake.llm.common import free_name, held_out, labelled_sample
 
 #: Documents per class that the machine is fitted on, at most; slots selected, at most.
 PER_CLASS, SELECTED = 2500, 1536
-#: A slot's difference between the classes in standard errors, at least.
-DIFFERENCE = 4.0
+#: A slot's difference between the classes in standard errors, and a pair's interaction, at least.
+DIFFERENCE, INTERACTION = 4.0, 6.5
+#: Slots whose pairs are tested, at most, and documents that each of a pair's four cells has, at least.
+FREQUENT, CELL = 2048, 20
 HASH_BITS, FACTORS, EPOCHS = 20, 4, 120
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -54,7 +58,7 @@ class Machine:
         import numpy as np
 
         if not self.place:
-            return np.zeros(len(texts))
+            return np.full(len(texts), 1 / (1 + np.exp(-self.bias)) if np.isfinite(self.bias) else 0.0)
         get, rows, owner = self.place.get, [], []
         for k, text in enumerate(texts):
             own = [r for r in map(get, slots(text)) if r is not None]
@@ -93,10 +97,34 @@ def train(x, y, epochs: int = EPOCHS, factors: int = FACTORS, l2: float = 1e-4,
     return bias, table
 
 
+def interacting(x, y, most: int, least: float = INTERACTION, cell: int = CELL) -> list[int]:
+    """Columns of the 0/1 matrix ``x`` in pairs whose interaction is ``least`` standard errors or more, strongest first, ``most`` at most.
+
+    The interaction of a pair is the share of label 1 with both, less that with either alone, plus that with neither.
+    """
+    import numpy as np
+
+    n, p = len(y), float(y.mean())
+    both, ones = x.T @ x, x.T @ (x * y[:, None])
+    each, own = x.sum(0), x.T @ y
+    count = [both, each[:, None] - both, each[None, :] - both, n - each[:, None] - each[None, :] + both]
+    label = [ones, own[:, None] - ones, own[None, :] - ones, float(y.sum()) - own[:, None] - own[None, :] + ones]
+    error, effect = np.zeros_like(both), np.zeros_like(both)
+    for sign, c, k in zip((1, -1, -1, 1), count, label, strict=True):
+        effect += sign * k / np.maximum(c, 1)
+        error += 1 / np.maximum(c, 1)
+    z = np.abs(effect) / np.sqrt(max(p * (1 - p), 1e-9) * error)
+    z[np.minimum.reduce(count) < cell] = 0
+    strongest = np.triu(z, 1).max(initial=0, axis=1)
+    strongest = np.maximum(strongest, np.triu(z, 1).max(initial=0, axis=0))
+    order = np.argsort(-strongest, kind="stable")
+    return [int(k) for k in order[:most] if strongest[k] >= least]
+
+
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, selected: int = SELECTED) -> Machine:
     """Fit on at most ``per_class`` documents of each class that are not held out.
 
-    To the driver come at most ``selected`` slots and, per sampled document, its slots among them.
+    To the driver come at most ``selected`` + ``FREQUENT`` slots and, per sampled document, its slots among them.
     """
     import numpy as np
 
@@ -111,20 +139,28 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sel
     sample = written(labelled_sample(documents, labels, "toxic", per_class).mapInPandas(run, "doc string, y int, slots array<int>"), "toxic-sample")
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
-        return Machine({}, 0.0, None)
+        return Machine({}, -np.inf, None)
     seen = sample.select("y", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a + b >= 5")
     p, q = F.col("a") / n[1], F.col("b") / n[0]
     both = (F.col("a") + F.col("b")) / (n[0] + n[1])
     z = F.abs(p - q) / F.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + F.lit(1e-9))
-    best = [r["slot"] for r in seen.where(z >= DIFFERENCE).orderBy(z.desc(), "slot").limit(selected).select("slot").collect()]
-    place = {s: i for i, s in enumerate(best)}
-    wanted = F.array(*[F.lit(s) for s in best]) if best else F.array().cast("array<int>")
-    rows = sample.select("doc", "y", F.array_intersect("slots", wanted).alias("slots")).orderBy("doc").collect()
-    x = np.zeros((len(rows), len(best)), np.float32)
+    seen = written(seen.select("slot", z.alias("z"), F.least(F.col("a") + F.col("b"), n[0] + n[1] - F.col("a") - F.col("b")).alias("both")), "toxic-slots")
+    best = [r["slot"] for r in seen.where(F.col("z") >= DIFFERENCE).orderBy(F.desc("z"), "slot").limit(selected).select("slot").collect()]
+    often = [r["slot"] for r in seen.where(F.col("both") >= 2 * CELL).orderBy(F.desc("both"), "slot").limit(FREQUENT).select("slot").collect()]
+    wanted = list(dict.fromkeys(best + often))
+    known = sample.sparkSession.createDataFrame([(s,) for s in wanted], "slot int")
+    cut = sample.select("doc", "y", F.explode("slots").alias("slot")).join(F.broadcast(known), "slot").groupBy("doc", "y").agg(F.collect_list("slot").alias("slots"))
+    rows = sample.select("doc", "y").distinct().join(cut, ["doc", "y"], "left").orderBy("doc", "y").collect()
+    y, place = np.array([r["y"] for r in rows], np.float32), {s: i for i, s in enumerate(wanted)}
+    x = np.zeros((len(rows), len(wanted)), np.float32)
     for i, r in enumerate(rows):
-        x[i, [place[s] for s in r["slots"]]] = 1
-    bias, table = train(x, np.array([r["y"] for r in rows], np.float32))
-    return Machine(place, bias, table)
+        x[i, [place[s] for s in r["slots"] or ()]] = 1
+    pairs = [often[k] for k in interacting(x[:, [place[s] for s in often]], y, selected)]
+    chosen = list(dict.fromkeys(best + pairs))
+    if not chosen:
+        return Machine({}, float(np.log(n[1] / n[0])), None)
+    bias, table = train(x[:, [place[s] for s in chosen]], y)
+    return Machine({s: i for i, s in enumerate(chosen)}, bias, table)
 
 
 def score_column(machine: Machine, text: Column) -> Column:

@@ -58,6 +58,25 @@ def test_parts_of_items(spark, monkeypatch):
     assert {r["doc_id"]: r["n_items"] for r in got} == {d: len(brute(items, t)) for d, t in docs}
 
 
+@pytest.mark.parametrize("words", [200_000, 30])
+def test_names_as_ids(spark, monkeypatch, words):
+    """Ids of any type; the best item, its similarity and all items are those of brute force, in one part and in many."""
+    monkeypatch.setattr(D, "ITEM_WORDS", words)
+    items, docs = items_and_docs(5)
+    docs += docs[:3] + [(500, docs[0][1] + " " + docs[1][1]), (501, None), (501, docs[2][1])]
+    named = [(f"mmlu-{k}", t) for k, t in items]
+    bench = spark.createDataFrame([*named, (None, items[0][1])], "item_id string, text string")
+    given = spark.createDataFrame([(d, t, "d", "l") for d, t in docs], "doc_id long, text string, _digest string, _leaks string").repartition(3)
+    want = []
+    for d, t in docs:
+        found = {f"mmlu-{k}": v for k, v in brute(items, t).items()}
+        best = min(((-v, k) for k, v in found.items()), default=(None, None))
+        want.append((d, bool(found), len(found), best[1], None if best[0] is None else round(-best[0], 9), ",".join(sorted(found))))
+    got = [(r["doc_id"], r["contaminated"], r["n_items"], r["best_item"], None if r["similarity"] is None else round(r["similarity"], 9), r["items"]) for r in D.op10_decontaminate(given, bench).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and sum(r[1] for r in got) > 4
+    assert D.contamination(given, bench)[0].select("_digest", "_leaks").distinct().collect() == [("d", "l")]
+
+
 def test_empty(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert D.op10_decontaminate(frame(spark, []).where("false"), bench).count() == 0

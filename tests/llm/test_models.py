@@ -158,3 +158,32 @@ def test_contradictory_labels(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)] * 2 + [(4, 1), (6, None), (None, 1)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["y"] for r in labelled_sample(docs, labels, "toxic", 100).collect()}
     assert got.get(4, 1) == 1 and all(y == (d % 2 or d == 4) for d, y in got.items()) and len(got) > 15
+
+
+def _decided_by_a_pair(n: int, seed: int = 3) -> tuple[list, list]:
+    """Label 1 if a text has one of two words but not both; neither word differs between the classes."""
+    import random
+
+    rnd, docs, labels = random.Random(seed), [], []
+    for k in range(n):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        words = [f"filler{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(12))}" for _ in range(30)] + ["insult"] * a + ["group"] * b
+        rnd.shuffle(words)
+        docs.append((k, " ".join(words)))
+        labels.append((k, int(a != b)))
+    return docs, labels
+
+
+def test_a_pair_of_words_decides(spark):
+    docs, labels = _decided_by_a_pair(3000)
+    got = toxicity.op9_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    truth = dict(labels)
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in got) > 0.95 * len(got) > 400
+
+
+def test_nothing_stands_out(spark):
+    """Labels without any relation to the words: every score is the share of label 1."""
+    docs, _ = _decided_by_a_pair(400)
+    labels = [(k, int(k % 4 == 0)) for k, _ in docs]
+    got = {round(r["score"], 9) for r in toxicity.op9_toxicity(spark.createDataFrame([(k, "same words here") for k, _ in docs], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert len(got) == 1 and 0.15 < got.pop() < 0.35
