@@ -8,6 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderlake.operators.sweep import covered_points, merged_spans
+
+_BYTE = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: An address of version 4, alone or as a block.
+_PLAIN = rf"^[ \t]*{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}(?:/(3[0-2]|[12]?\d))?[ \t]*$"
+
 
 def _span(entry) -> tuple:
     """Version and ends of an address, block or span; nulls if it can't be read."""
@@ -26,24 +32,35 @@ def _span(entry) -> tuple:
 
 
 def span(entry: Column) -> Column:
-    """``version, lo, hi`` of an address, CIDR block or first-last span."""
+    """``version, lo, hi`` of an address, CIDR block or first-last span. Plain ones of version 4 don't pass through Python."""
 
     def run(entries: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_span(e) for e in entries], columns=["version", "lo", "hi"]).astype({"version": "Int32"})
+        none = (None, None, None)
+        return pd.DataFrame([none if e is None else _span(e) for e in entries], columns=["version", "lo", "hi"]).astype({"version": "Int32"})
 
-    return F.pandas_udf(run, "version int, lo string, hi string")(entry)
+    kind = "struct<version:int,lo:string,hi:string>"
+    part = lambda k: F.regexp_extract(entry, _PLAIN, k)
+    bits = F.try_to_number(part(5), F.lit("99")).cast("int")
+    number = sum((part(k).try_cast("long") * (1 << 8 * (4 - k)) for k in range(2, 5)), part(1).try_cast("long") * (1 << 24))
+    wide = F.expr("power(2, 32)").cast("long")
+    for n in range(33):
+        wide = F.when(F.coalesce(bits, F.lit(32)) == n, F.lit(1 << 32 - n)).otherwise(wide)
+    lo = number - F.pmod(number, wide)
+    hexed = lambda x: F.lpad(F.lower(F.hex(x)), 32, "0")
+    plain = F.coalesce(entry.rlike(_PLAIN), F.lit(False))
+    native = F.struct(F.lit(4).alias("version"), hexed(lo).alias("lo"), hexed(lo + wide - 1).alias("hi")).cast(kind)
+    other = F.pandas_udf(run, "version int, lo string, hi string")(F.when(~plain, entry))
+    return F.when(plain, native).otherwise(other.cast(kind))
 
 
 def covered(points: DataFrame, at: str, spans: DataFrame) -> DataFrame:
-    """Points with ``covered``: whether any span has their address.
-
-    An equi-join on leading hex digits: a span is entered under the longest of a few prefixes that both its ends
-    share, and a point looks up each of its own prefixes. Equal points collapse before.
-    """
+    """Points with ``covered``: whether any span (version, lo, hi) has their address."""
     p = points.withColumn("_s", span(F.col(at))).withColumn("_v", F.col("_s.version")).withColumn("_x", F.col("_s.lo")).drop("_s")
-    levels = (30, 28, 26, 24, 16, 8, 0)
-    size = F.coalesce(*[F.when(F.substring("lo", 1, n) == F.substring("hi", 1, n), F.lit(n)) for n in levels])
-    held = spans.where("lo IS NOT NULL").withColumn("_n", size).select(F.col("version").alias("_v"), "_n", F.expr("substring(lo, 1, _n)").alias("_k"), "lo", "hi").distinct()
-    keys = p.select("_v", "_x").distinct().withColumn("_n", F.explode(F.array(*map(F.lit, levels)))).withColumn("_k", F.expr("substring(_x, 1, _n)"))
-    hit = keys.join(held, ["_v", "_n", "_k"]).where("_x BETWEEN lo AND hi").select("_v", "_x").distinct().withColumn("_hit", F.lit(True))
+    s = spans.select(F.col("version").alias("_v"), "lo", "hi")
+    hit = covered_points(p.select("_v", "_x"), s, ["_v"], "_x", "lo", "hi").withColumn("_hit", F.lit(True))
     return p.join(hit, ["_v", "_x"], "left").withColumn("covered", F.coalesce("_hit", F.lit(False))).drop("_v", "_x", "_hit")
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """``version, lo, hi``: overlapping spans put together."""
+    return merged_spans(spans.select("version", "lo", "hi"), ["version"], "lo", "hi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cinderlake.functions import fuzzy
 from cinderlake.functions.text import host, normal_name
+from cinderlake.operators.terms import terms_found
 from cinderlake.session import written
 
 #: Domains that host other people's things, in the order in which they are tried.
@@ -35,16 +36,9 @@ def match_two_tier(left: DataFrame, left_id: str, addresses: str, names: str, by
     return out.select(left_id, F.coalesce("_a", "_b").alias("target"), F.when(F.col("_a").isNotNull(), "address").when(F.col("_b").isNotNull(), "name").alias("rung"))
 
 
-def terms_in(text: Column, terms: list[str]) -> Column:
-    """Which lower-case terms a text has. The list is a query set given by the caller."""
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(text), t))
-
-
-def watch_contains(rows: DataFrame, row_id: str, text: str, watch: list[tuple[int, str]], known: DataFrame | None = None) -> DataFrame:
-    """``watch_id, row_id`` where a text has a watched term; known pairs are left out."""
-    terms = F.array(*[F.struct(F.lit(i).alias("watch_id"), F.lit(t.lower()).alias("term")) for i, t in watch])
-    low = rows.select(row_id, F.lower(text).alias("_t"))
-    out = low.select(row_id, F.explode(F.filter(terms, lambda w: F.contains(F.col("_t"), w["term"]))).alias("w")).select(F.col("w.watch_id").alias("watch_id"), row_id)
+def watch_contains(rows: DataFrame, row_id: str, text: Column, watch: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``watch_id, row_id`` where a text has a watched term (``watch_id, term``); known pairs are left out."""
+    out = terms_found(rows, row_id, text, watch, "watch_id", "term")
     return out if known is None else out.join(known, ["watch_id", row_id], "left_anti")
 
 
@@ -163,14 +157,38 @@ def corroboration(findings: DataFrame, value: str, source: str) -> DataFrame:
     return own.join(all_of, value).select(value, source, (F.col("_n") - F.when(F.col(source).isNull(), 0).otherwise(1)).alias("others"))
 
 
-def chain(edges: DataFrame, src: str, dst: str, hops: int = 10) -> DataFrame:
-    """``src, target, n``: where each start ends after following its edge up to ``hops`` times."""
-    e = edges.groupBy(src).agg(F.min(dst).alias("_to"))
-    at = e.select(F.col(src), F.col("_to").alias("target"), F.lit(1).alias("n"))
-    step = e.select(F.col(src).alias("_from"), "_to")
-    for _ in range(hops - 1):
-        at = at.join(step, F.col("target") == F.col("_from"), "left").select(src, F.coalesce("_to", "target").alias("target"), (F.col("n") + F.when(F.col("_to").isNotNull(), 1).otherwise(0)).alias("n"))
-    return at
+def chain(edges: DataFrame, src: str, dst: str, hops: int | None = 10) -> DataFrame:
+    """``src, target, n``: where each start ends after following its edge up to ``hops`` times, and how often it did.
+
+    Of several edges of a start the smallest counts. Pointers double: jumps of 1, 2, 4 ... edges are put together by the
+    binary digits of ``hops``, so 10 hops are four joins. Without ``hops`` chains are followed to their ends, however long; the number of
+    joins is the logarithm of the longest, and a start whose chain runs into a circle has a null target.
+    """
+    e = edges.groupBy(F.col(src).alias("s")).agg(F.min(dst).alias("t")).where("t IS NOT NULL AND s IS NOT NULL").withColumn("n", F.lit(1))
+
+    def after(one: DataFrame, two: DataFrame) -> DataFrame:
+        on = two.select(F.col("s").alias("_s"), F.col("t").alias("_t"), F.col("n").alias("_n"))
+        return one.join(on, F.col("t") == F.col("_s"), "left").select("s", F.coalesce("_t", "t").alias("t"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+
+    if hops is not None:
+        out, jump, left = None, e, hops
+        while left:
+            if left & 1:
+                out = jump if out is None else after(jump, out)
+            left >>= 1
+            if left:
+                jump = written(after(jump, jump), "chain")
+        return out.select(F.col("s").alias(src), F.col("t").alias("target"), "n")
+    jump = written(e.withColumn("n", F.col("n").cast("long")), "chain")
+    starts, longest = jump.count(), 1
+    while longest <= starts:
+        nxt = written(after(jump, jump), "chain")
+        if nxt.where(F.col("n") == 2 * longest).isEmpty():  # nobody used the whole of both jumps: all have arrived
+            jump = nxt
+            break
+        jump, longest = nxt, 2 * longest
+    # on a chain of more edges than there are starts a start has come twice
+    return jump.select(F.col("s").alias(src), F.when(F.col("n") <= starts, F.col("t")).alias("target"), "n")
 
 
 def route_edges(edges: DataFrame, nodes: DataFrame) -> dict[str, DataFrame]:

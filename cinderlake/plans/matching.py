@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cinderlake.functions import text as T
 from cinderlake.operators import ingest as I
 from cinderlake.operators import matching as M
+from cinderlake.operators.terms import terms_found
 from cinderlake.session import table
 
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -107,13 +109,28 @@ def alias_match(spark, d):
 
 def watch_contains_join(spark, d):
     known = table(spark, d, "labels").where("toxic = 0").select(F.lit(2).alias("watch_id"), "doc_id")
-    return M.watch_contains(table(spark, d, "documents"), "doc_id", "text", WATCH, known)
+    watch = spark.createDataFrame(WATCH, "watch_id int, term string")
+    return M.watch_contains(table(spark, d, "documents"), "doc_id", F.col("text"), watch, known)
 
 
 def relevance_terms(spark, d):
-    terms = sorted({t.strip().lower() for t in "license; Idiot, worthless;ab;the".replace(";", ",").split(",") if len(t.strip()) >= 3})
-    docs = table(spark, d, "documents").select("doc_id", M.terms_in(F.coalesce("text", F.lit("")), terms).alias("found"))
-    return docs.select("doc_id", F.array_join("found", ",").alias("found")).where("found <> ''")
+    given = spark.createDataFrame([(t,) for t in "license; Idiot, worthless;ab;the".replace(";", ",").split(",")], "term string")
+    terms = given.select(F.lower(F.trim("term")).alias("term")).where("length(term) >= 3").distinct()
+    found = terms_found(table(spark, d, "documents"), "doc_id", F.col("text"), terms.withColumn("id", F.col("term")), "id", "term")
+    return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("found"))
+
+
+def many_terms(spark, d):
+    """How many documents have each word of the conversations (five letters at least)."""
+    words = table(spark, d, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("term")).distinct()
+    found = terms_found(table(spark, d, "documents"), "doc_id", F.col("text"), words.withColumn("word", F.col("term")), "word", "term")
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
+def whole_chains(spark, d):
+    """Each order leads to the customer's next one; chains are followed to their ends."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return M.chain(o.withColumn("dst", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))), "o_orderkey", "dst", None)
 
 
 def watch_fuzzy_join(spark, d):
@@ -170,7 +187,7 @@ def graph_routes(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     first_wins_dedup, cross_source_duplicates, insert_if_absent, upsert_latest, new_dimension_rows, scd_history, evidence_current, replace_children, retention_purge, cascade_delete,
-    anti_pending, stratified_sample, freshness, name_keys, alias_match_two_tier, alias_match, watch_contains_join, relevance_terms, watch_fuzzy_join, resolve_ladder, corroboration,
+    anti_pending, stratified_sample, freshness, name_keys, alias_match_two_tier, alias_match, watch_contains_join, relevance_terms, many_terms, whole_chains, watch_fuzzy_join, resolve_ladder, corroboration,
     range_join, as_of_join, domain_suffix_join, revocation_chain, graph_routes,
 )}
 
@@ -208,6 +225,10 @@ SELECT p_brand, arg_min(id, p_name) AS p_partkey FROM l JOIN r ON {_NORMAL.forma
     "watch_contains_join": f"""SELECT CAST(w.id AS INTEGER) AS watch_id, doc_id FROM documents JOIN (VALUES {", ".join(f"({i}, '{t}')" for i, t in WATCH)}) w(id, term) ON contains(lower(text), term)
 WHERE NOT (w.id = 2 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0))""",
     "relevance_terms": """SELECT doc_id, string_agg(t, ',' ORDER BY t) AS found FROM documents JOIN (VALUES ('idiot'), ('license'), ('the'), ('worthless')) w(t) ON contains(lower(text), t) GROUP BY doc_id""",
+    "many_terms": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word FROM conversations)
+SELECT word, count(*) AS n, min(doc_id) AS first FROM w JOIN documents ON contains(lower(text), word) GROUP BY word""",
+    "whole_chains": """SELECT o_orderkey, max(o_orderkey) OVER (PARTITION BY o_custkey) AS target, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS n FROM orders
+QUALIFY o_orderkey < max(o_orderkey) OVER (PARTITION BY o_custkey)""",
     "corroboration": "WITH o AS (SELECT DISTINCT sha256(text) AS h, source FROM documents WHERE text IS NOT NULL) SELECT h, source, count(source) OVER (PARTITION BY h) - CASE WHEN source IS NULL THEN 0 ELSE 1 END AS others FROM o",
     "range_join": """WITH s AS (SELECT s_suppkey AS span, s_suppkey * 1000 AS lo, s_suppkey * 1000 + CAST(floor(s_acctbal) AS BIGINT) AS hi FROM supplier)
 SELECT span, count(*) AS n, min(o_orderkey) AS first FROM orders JOIN s ON floor(o_totalprice) BETWEEN lo AND hi WHERE hi >= lo GROUP BY span""",
