@@ -40,15 +40,17 @@ def span(entry: Column) -> Column:
 
     kind = "struct<version:int,lo:string,hi:string>"
     part = lambda k: F.regexp_extract(entry, _PLAIN, k)
-    bits = F.try_to_number(part(5), F.lit("99")).cast("int")
+    bits = F.coalesce(F.nullif(part(5), F.lit("")).try_cast("int"), F.lit(32))
     number = sum((part(k).try_cast("long") * (1 << 8 * (4 - k)) for k in range(2, 5)), part(1).try_cast("long") * (1 << 24))
-    wide = F.expr("power(2, 32)").cast("long")
-    for n in range(33):
-        wide = F.when(F.coalesce(bits, F.lit(32)) == n, F.lit(1 << 32 - n)).otherwise(wide)
-    lo = number - F.pmod(number, wide)
+    wide = F.call_function("shiftleft", F.lit(1).cast("long"), 32 - bits)
     hexed = lambda x: F.lpad(F.lower(F.hex(x)), 32, "0")
+
+    def ends(x: Column) -> Column:
+        lo = x["n"] - F.pmod(x["n"], x["w"])
+        return F.struct(F.lit(4).alias("version"), hexed(lo).alias("lo"), hexed(lo + x["w"] - 1).alias("hi"))
+
     plain = F.coalesce(entry.rlike(_PLAIN), F.lit(False))
-    native = F.struct(F.lit(4).alias("version"), hexed(lo).alias("lo"), hexed(lo + wide - 1).alias("hi")).cast(kind)
+    native = F.get(F.transform(F.array(F.struct(number.alias("n"), wide.alias("w"))), ends), F.lit(0)).cast(kind)
     other = F.pandas_udf(run, "version int, lo string, hi string")(F.when(~plain, entry))
     return F.when(plain, native).otherwise(other.cast(kind))
 

@@ -42,13 +42,25 @@ def farthest_first(rows, k: int):
     return rows[chosen]
 
 
+def worthwhile(sample, k: int, limit: float):
+    """Pivots for a sample, or a single one where they would save under half of the comparisons: then cells only cost."""
+    points = farthest_first(sample, k)
+    every = np.arccos(np.clip(sample @ points.T, -1, 1))
+    home = every.argmin(1)
+    radius = np.array([every[home == c, c].max(initial=0) for c in range(len(points))])
+    visits = (every <= radius + limit) & (np.arange(len(points)) < home[:, None])
+    size = np.bincount(home, minlength=len(points))
+    share = float((size * (size / 2 + visits.sum(0))).sum()) / max(len(sample) ** 2 / 2, 1)
+    return points if share < 0.5 else points[:1]
+
+
 def cells(rows: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
     """Members ``cell, id, v, angle`` (v of length 1), and the visits ``cell, id, v, angle`` to cells of smaller numbers."""
     spark = rows.sparkSession
     some = [r["v"] for r in rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()]
     total = rows.count()
     width = len(some[0]) if some else 0
-    points = farthest_first(_unit(some), min(MOST_PIVOTS, max(1, math.isqrt(total)))) if some else np.empty((0, 0))
+    points = worthwhile(_unit([v for v in some if len(v) == width and any(v)] or [some[0]]), min(MOST_PIVOTS, max(1, math.isqrt(total))), limit) if some else np.empty((0, 0))
     pivots = spark.sparkContext.broadcast(points)
 
     def angles(unit):
@@ -56,6 +68,7 @@ def cells(rows: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
 
     def settle(batches: Iterator) -> Iterator:
         for batch in batches:
+            batch = batch[[limit >= math.pi / 2 or any(v) for v in batch["v"]]]  # zeros are at a right angle to all
             if len(batch):
                 unit = _unit(batch["v"])
                 every = angles(unit)
@@ -74,6 +87,8 @@ def cells(rows: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
                 who, where = np.nonzero((every <= radius + limit + SLACK) & (np.arange(len(points)) < batch["cell"].to_numpy()[:, None]))
                 yield pd.DataFrame({"cell": where, "id": batch["id"].to_numpy()[who], "v": [batch["v"].iloc[k] for k in who], "angle": every[who, where]})
 
+    if len(points) < 2:
+        return members, members.where("false").select("cell", "id", "v", "angle")
     return members, members.mapInPandas(visit, "cell long, id long, v array<double>, angle double")
 
 

@@ -77,11 +77,11 @@ def plan(groups: DataFrame, fp: str, most: int) -> list[tuple[list[int], int]]:
 def meetings(groups: DataFrame, fp: str, chosen: list[tuple[list[int], int]]) -> DataFrame:
     """``a, b, fa, fb``: pairs (a < b) that meet in a segment; a pair can meet more than once."""
     def side(radius, whose: str, print_: str) -> DataFrame:
-        keys: list[Column] = []
-        for no, (bits, r) in enumerate(chosen):
+        def around(no: int, bits: list[int], r: int) -> Column:
             own = F.col(fp).bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-            around = F.array(*[F.lit(m) for m in _ball(bits, radius(r))])
-            keys.append(F.transform(around, lambda m, own=own, no=no: F.struct(F.lit(no).alias("no"), own.bitwiseXOR(m).alias("v"))))
+            return F.transform(F.array(*[F.lit(m) for m in _ball(bits, r)]), lambda m: F.struct(F.lit(no).alias("no"), own.bitwiseXOR(m).alias("v")))
+
+        keys = [around(no, bits, radius(r)) for no, (bits, r) in enumerate(chosen)]
         return groups.select(F.col("id").alias(whose), F.col(fp).alias(print_), F.explode(F.flatten(F.array(*keys))).alias("k"))
 
     left, right = side(lambda r: (r + 1) // 2, "a", "fa"), side(lambda r: r // 2, "b", "fb")

@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlake.functions.text import hamming, series_key, simhash_column
+from cinderlake.functions.text import series_key, simhash_column
 from cinderlake.operators.graph import connected_components
+from cinderlake.operators.near import near_pairs
 from cinderlake.session import written
 
 #: Words that say nothing about a report.
@@ -47,22 +48,54 @@ def tfidf(docs: DataFrame, id_col: str, text: Column, min_tokens: int = 0) -> Da
     return raw.select("id", "term", (F.col("w") / norm).alias("weight"), "df", "n")
 
 
+def _bounded(x: tuple, y: tuple, least: float) -> tuple:
+    """Both sides (terms, weights, owner, documents) without the documents whose weights times the other side's largest stay below ``least``."""
+    import numpy as np
+
+    def reach(one: tuple, two: tuple):
+        terms, weights, owner, n = one
+        vocabulary, place = np.unique(two[0], return_inverse=True)
+        most = np.zeros(len(vocabulary) + 1, np.float32)
+        np.maximum.at(most, place, two[1])
+        at = np.minimum(np.searchsorted(vocabulary, terms), max(len(vocabulary) - 1, 0))
+        known = vocabulary[at] == terms if len(vocabulary) else np.zeros(len(terms), bool)
+        return np.bincount(owner, np.where(known, weights * most[at], 0), n) >= least
+
+    def kept(one: tuple, keep) -> tuple:
+        terms, weights, owner, n = one
+        own = keep[owner]
+        return terms[own], weights[own], (np.cumsum(keep) - 1)[owner[own]], int(keep.sum())
+
+    keep_x = reach(x, y)
+    x = kept(x, keep_x)
+    keep_y = reach(y, x)
+    return x, kept(y, keep_y), keep_x, keep_y
+
+
 def _products(part: pd.DataFrame, least: float, dense: int) -> pd.DataFrame:
-    """Pairs of one pair of blocks whose product reaches ``least``, in single precision.
+    """Pairs of one pair of blocks whose product reaches ``least``, in single precision; a last row (null, null) says how many were multiplied.
 
-    Terms that ``dense`` pairs have are columns of a matrix product, the others add up their pairs.
+    Documents that can't reach ``least`` with any of the other block are left out. Terms that ``dense`` pairs have are columns of a matrix product,
+    the others add up their pairs.
     """
     import numpy as np
 
+    def out(a, b, n: int) -> pd.DataFrame:
+        ends = lambda v: pd.array([*v.tolist(), None], dtype="Int64")
+        return pd.DataFrame({"a": ends(a), "b": ends(b), "n": pd.array([None] * len(a) + [n], dtype="Int64")})
+
     x, y = int(part["x"].iloc[0]), int(part["y"].iloc[0])
     sides = [part[part["own"] == k] for k in (x, y)]
     ids = [s["id"].to_numpy() for s in sides]
-    none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    none = np.empty(0, np.int64)
     if not all(map(len, ids)):
-        return none
-    terms = [np.concatenate([np.asarray(v, np.int64) for v in s["terms"]]) for s in sides]
-    weights = [np.concatenate([np.asarray(v, np.float32) for v in s["weights"]]) for s in sides]
-    owner = [np.repeat(np.arange(len(s)), s["terms"].map(len)) for s in sides]
+        return out(none, none, 0)
+    pack = lambda s: (np.concatenate([np.asarray(v, np.int64) for v in s["terms"]]), np.concatenate([np.asarray(v, np.float32) for v in s["weights"]]), np.repeat(np.arange(len(s)), s["terms"].map(len)), len(s))
+    *both_sides, keep_x, keep_y = _bounded(*map(pack, sides), least)
+    ids = [i[k] for i, k in zip(ids, (keep_x, keep_y))]
+    if not all(map(len, ids)):
+        return out(none, none, 0)
+    terms, weights, owner = ([s[k] for s in both_sides] for k in range(3))
     both = np.intersect1d(*terms)
     keep = [np.isin(t, both) for t in terms]
     column, weights, owner = ([np.searchsorted(both, t[k]) for t, k in zip(terms, keep)], [w[k] for w, k in zip(weights, keep)], [o[k] for o, k in zip(owner, keep)])
@@ -89,34 +122,96 @@ def _products(part: pd.DataFrame, least: float, dense: int) -> pd.DataFrame:
     i, j = np.divmod(np.flatnonzero(dots >= least), len(ids[1]))
     a, b = ids[0][i], ids[1][j]
     keep = (a < b) if x == y else np.ones(len(a), bool)
-    return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+    return out(np.minimum(a, b)[keep], np.maximum(a, b)[keep], len(dots))
 
 
 def in_block_pairs(rows: DataFrame, blocks: int) -> DataFrame:
-    """``rows`` (with ``id``) dealt into blocks, each block to all pairs that it is in: columns x, y and own besides.
+    """``rows`` (with their block in ``own``) to all pairs of blocks that theirs is in: columns x and y besides.
 
     A pair of blocks is a task of bounded size, so no group meets whole in one task.
     """
-    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return own.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
 
 
-def tfidf_pairs(weights: DataFrame, threshold: float, block: int = 1500, dense: int = 5000) -> DataFrame:
-    """``a, b, cosine`` of document pairs at or over ``threshold``, each once.
+def _alike(packed: DataFrame, block: int, topics: int = 16) -> tuple[DataFrame, int]:
+    """``packed`` (id, terms, weights) with a block ``own``, and the number of blocks: documents of one topic share blocks.
+
+    A document's topic is the one of ``topics`` documents that it is most like; those are taken by a hash of their ids. They decide the work only.
+    """
+    spark = packed.sparkSession
+    some = packed.orderBy(F.xxhash64("id")).limit(topics).collect()
+    pivots = spark.sparkContext.broadcast([(r["terms"], r["weights"]) for r in some])
+
+    def settle(batches):
+        import numpy as np
+
+        vocabulary = np.unique(np.concatenate([np.asarray(t, np.int64) for t, _ in pivots.value]))
+        of = np.zeros((len(vocabulary), len(pivots.value)), np.float32)
+        for k, (t, w) in enumerate(pivots.value):
+            of[np.searchsorted(vocabulary, t), k] = w
+        for batch in batches:
+            topic = []
+            for t, w in zip(batch["terms"], batch["weights"]):
+                at = np.minimum(np.searchsorted(vocabulary, t), len(vocabulary) - 1)
+                topic.append(int((of[at] * np.where(vocabulary[at] == t, w, 0).astype(np.float32)[:, None]).sum(0).argmax()))
+            yield batch.assign(topic=topic)
+
+    rows = written(packed.mapInPandas(settle, "id long, terms array<long>, weights array<float>, topic int"), "tfidf-topics") if some else packed.withColumn("topic", F.lit(0))
+    sizes = [(r["topic"], -(-r["n"] // block)) for r in rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).orderBy("topic").collect()]
+    first, begins = 0, []
+    for topic, n in sizes:
+        begins.append((topic, first, n))
+        first += n
+    dealt = rows.join(F.broadcast(spark.createDataFrame(begins, "topic int, first int, n int")), "topic")
+    return dealt.select("id", "terms", "weights", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int").alias("own")), first
+
+
+def leading(weights: DataFrame, threshold: float) -> DataFrame:
+    """``id, term`` of the rarest terms of each document, as many as leave the others a norm below ``threshold``.
+
+    Two documents of that cosine share one of them: the rarer ends of both lists are cut at the same order of terms, and what all other terms have in
+    common is less than the norm of the longer rest.
+    """
+    order = Window.partitionBy("id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order))
+    return weights.withColumn("_rest", rest).where(F.col("_rest") >= threshold - 1e-6).select("id", "term")
+
+
+def tfidf_pairs(weights: DataFrame, threshold: float, block: int = 1500, dense: int = 5000, most_meetings: float = 0.02) -> DataFrame:
+    """``a, b, cosine`` of document pairs at or over ``threshold``, each once, that share a term which is in half of the ``n`` documents at most.
+
+    A term in ``df`` documents counts for that if ``df`` is at most the larger of 2 and n / 2. Without columns ``df`` and ``n`` (how many documents have the
+    term, and there are) any pair counts.
 
-    At a threshold of 0.35 nearly all pairs share one of their leading terms, so no filter on terms would save work. Documents
-    are compared by products of pairs of blocks, which emit what comes within rounding of the threshold; the cosine of
-    those is then added up in double precision. The work is quadratic in the number of documents, ``block`` a side and task.
+    Where topics are many, few documents share a leading term, and those pairs are compared. Where they share more than ``most_meetings`` of all pairs (texts
+    of one language and threshold 0.35), documents are dealt into blocks of one topic and compared by products of pairs of blocks, in which whoever
+    can't reach the threshold is left out; that is quadratic in the documents of a topic. Both emit what comes within rounding of the threshold; the
+    cosine of those is then added up in double precision.
     """
+    if "df" not in weights.columns:
+        weights = weights.join(weights.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").withColumn("n", F.lit(None).cast("long"))
+    index = written(leading(weights, threshold), "tfidf-leading")
+    documents = weights.select("id").distinct().count()
+    met = index.groupBy("term").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+    if met <= most_meetings * documents * documents / 2:
+        pairs = index.select(F.col("id").alias("a"), "term").join(index.select(F.col("id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
+    else:
+        pairs = block_products(weights, threshold, block, dense).where("a IS NOT NULL").select("a", "b")
+    pairs = written(pairs, "tfidf-candidates")
+    few = F.col("n").isNull() | (F.col("df") <= F.greatest(F.lit(2), F.expr("n div 2")))
+    wa = weights.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"), few.alias("few"))
+    wb = weights.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
+    dot = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"), F.max("few").alias("few"))
+    return dot.where((F.col("cosine") >= threshold) & F.col("few")).drop("few")
+
+
+def block_products(weights: DataFrame, threshold: float, block: int, dense: int) -> DataFrame:
+    """``a, b`` of pairs within rounding of the threshold, and rows without ids whose ``n`` is the number of pairs that a task multiplied."""
     packed = weights.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("weight").cast("float").alias("w"))).alias("v"))
     packed = written(packed.select(F.col("id").cast("long").alias("id"), F.col("v.t").alias("terms"), F.col("v.w").alias("weights")), "tfidf-vectors")
-    dealt = in_block_pairs(packed, max(1, -(-packed.count() // block)))
-    found = dealt.groupBy("x", "y").applyInPandas(lambda part: _products(part, threshold - 1e-4, dense), "a long, b long")
-    pairs = written(found, "tfidf-candidates")
-    wa = weights.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
-    wb = weights.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
-    dot = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return dot.where(F.col("cosine") >= threshold)
+    alike, blocks = _alike(packed, block)
+    return in_block_pairs(alike, max(1, blocks)).groupBy("x", "y").applyInPandas(lambda part: _products(part, threshold - 1e-4, dense), "a long, b long, n long")
 
 
 def suppress_series(edges: DataFrame, docs: DataFrame, id_col: str, source: str, title: Column, least: int = 3) -> DataFrame:
@@ -134,49 +229,6 @@ def clusters(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
     return nodes.select(node).join(found, F.col(node) == F.col("_n"), "left").select(node, F.coalesce("component", node).alias("cluster"))
 
 
-def dense_pairs(vectors: DataFrame, id_col: str, vector: str, threshold: float, block: int = 2000) -> DataFrame:
-    """``a, b, cosine`` of all pairs at or over ``threshold``, by blocked products.
-
-    Vectors are dealt into blocks; each pair of blocks is a task of bounded size. The work is quadratic,
-    as the exact answer of a dense join without pruning is; what is emitted are matches only.
-    """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    dealt = in_block_pairs(rows, max(1, -(-rows.count() // block)))
-
-    def compare(part):
-        import numpy as np
-
-        x, y = int(part["x"].iloc[0]), int(part["y"].iloc[0])
-        left, right = part[part["own"] == x].sort_values("id"), part[part["own"] == y].sort_values("id")
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64"})
-        unit = lambda f: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))(np.stack(f["v"].to_list()))
-        dots = unit(left) @ unit(right).T
-        i, j = np.nonzero(dots >= threshold)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = (a < b) if x == y else np.ones(len(a), bool)
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": dots[i, j][keep]})
-
-    return dealt.groupBy("x", "y").applyInPandas(compare, "a long, b long, cosine double")
-
-
-def near_pairs(prints: DataFrame, id_col: str, fp: str, most: int = 6) -> DataFrame:
-    """``a, b``: fingerprints of up to ``most`` differing bits, by ``most`` + 1 bands of which one must agree.
-
-    Equal fingerprints are collapsed: a pair links the smallest ids of two fingerprints, and members of one
-    fingerprint link to its smallest id.
-    """
-    groups = prints.groupBy(fp).agg(F.min(id_col).alias("id"))
-    bands = most + 1
-    cuts = [64 * i // bands for i in range(bands + 1)]
-    keys = [F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(F.col(fp), cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("v")) for i in range(bands)]
-    held = groups.select("id", fp, F.explode(F.array(*keys)).alias("k"))
-    a, b = held.select("k", F.col("id").alias("a"), F.col(fp).alias("_fa")), held.select("k", F.col("id").alias("b"), F.col(fp).alias("_fb"))
-    pairs = a.join(b, "k").where((F.col("a") < F.col("b")) & (hamming(F.col("_fa"), F.col("_fb")) <= most)).select("a", "b").distinct()
-    same = prints.join(groups.withColumnRenamed("id", "_least"), fp).where(F.col(id_col) != F.col("_least")).select(F.col("_least").alias("a"), F.col(id_col).alias("b"))
-    return pairs.unionByName(same)
-
-
 def greedy_kept(docs: DataFrame, id_col: str, text: Column, most: int = 6) -> DataFrame:
     """``id, kept``: in the order of ids, a document is dropped if within ``most`` bits of one kept before.
 

@@ -121,8 +121,8 @@ def relevance_terms(spark, d):
 
 
 def many_terms(spark, d):
-    """How many documents have each word of the conversations (five letters at least)."""
-    words = table(spark, d, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("term")).distinct()
+    """How many documents have each word of the conversations (ten letters at least)."""
+    words = table(spark, d, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,}"), F.lit(0))).alias("term")).distinct()
     found = terms_found(table(spark, d, "documents"), "doc_id", F.col("text"), words.withColumn("word", F.col("term")), "word", "term")
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
 
@@ -225,7 +225,7 @@ SELECT p_brand, arg_min(id, p_name) AS p_partkey FROM l JOIN r ON {_NORMAL.forma
     "watch_contains_join": f"""SELECT CAST(w.id AS INTEGER) AS watch_id, doc_id FROM documents JOIN (VALUES {", ".join(f"({i}, '{t}')" for i, t in WATCH)}) w(id, term) ON contains(lower(text), term)
 WHERE NOT (w.id = 2 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0))""",
     "relevance_terms": """SELECT doc_id, string_agg(t, ',' ORDER BY t) AS found FROM documents JOIN (VALUES ('idiot'), ('license'), ('the'), ('worthless')) w(t) ON contains(lower(text), t) GROUP BY doc_id""",
-    "many_terms": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word FROM conversations)
+    "many_terms": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS word FROM conversations)
 SELECT word, count(*) AS n, min(doc_id) AS first FROM w JOIN documents ON contains(lower(text), word) GROUP BY word""",
     "whole_chains": """SELECT o_orderkey, max(o_orderkey) OVER (PARTITION BY o_custkey) AS target, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS n FROM orders
 QUALIFY o_orderkey < max(o_orderkey) OVER (PARTITION BY o_custkey)""",

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cinderlake.functions import text as T
+from cinderlake.operators import dense as D
+from cinderlake.operators import near as N
 from cinderlake.operators import text as X
 from cinderlake.session import table, written
 
@@ -48,19 +50,19 @@ def cluster_summary(spark, d):
 
 
 def dense_pairs(spark, d):
-    out = X.dense_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", DENSE)
+    out = D.dense_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", DENSE)
     return out.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def dense_clusters(spark, d):
     vectors = table(spark, d, "embeddings")
-    out = X.clusters(written(X.dense_pairs(vectors, "vec_id", "embedding", DENSE), "dense"), vectors, "vec_id")
+    out = X.clusters(written(D.dense_pairs(vectors, "vec_id", "embedding", DENSE), "dense"), vectors, "vec_id")
     return out
 
 
 def simhash_near_pairs(spark, d):
     prints = written(table(spark, d, "documents").select("doc_id", T.simhash_column(F.coalesce("text", F.lit(""))).alias("fp")), "prints")
-    return X.near_pairs(prints, "doc_id", "fp", 6)
+    return N.near_pairs(prints, "doc_id", "fp", 6)
 
 
 def simhash_greedy(spark, d):
@@ -116,9 +118,9 @@ QUERIES = {f.__name__: f for f in (
 
 _TFIDF = f"""w AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9.-]{{2,}}'), lambda t: t NOT IN ({", ".join(repr(t) for t in X.STOPWORDS)})) AS t FROM documents),
 tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM w WHERE len(t) >= MIN_TOKENS) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM w)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term)),
-wt AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS weight FROM raw)"""
-_PAIRS = f"""p AS (SELECT x.id AS a, y.id AS b, sum(x.weight * y.weight) AS cosine FROM wt x JOIN wt y ON x.term = y.term AND x.id < y.id GROUP BY 1, 2 HAVING sum(x.weight * y.weight) >= {COSINE})"""
+raw AS (SELECT id, term, df, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM w)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term)),
+wt AS (SELECT id, term, df, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS weight FROM raw)"""
+_PAIRS = f"""p AS (SELECT x.id AS a, y.id AS b, sum(x.weight * y.weight) AS cosine FROM wt x JOIN wt y ON x.term = y.term AND x.id < y.id GROUP BY 1, 2 HAVING sum(x.weight * y.weight) >= {COSINE} AND bool_or(x.df <= greatest(2, (SELECT count(*) FROM documents) // 2)))"""
 _WORDS = "(?:" + "|".join(T.SERIES_WORDS) + ")"
 _SINGULAR = "CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN w[:-4] || 'y' WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN w[:-2] ELSE w END"
 

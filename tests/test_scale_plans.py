@@ -3,12 +3,14 @@
 import ipaddress
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cinderlake.operators import addresses as A
+from cinderlake.operators import dense, near, sweep, terms
 from cinderlake.operators import matching as M
-from cinderlake.operators import sweep, terms
+from cinderlake.operators import text as X
 
 
 @pytest.mark.parametrize("rows_of_a_range", [7, 2_000_000])
@@ -104,3 +106,91 @@ def test_chains(spark):
     assert whole[1] == (60, 59) and whole[59] == (60, 1) and {whole[k][0] for k in (100, 101, 102, 103)} == {None}
     plan = M.chain(df, "s", "d", 10)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 1  # of four; the jumps of 2, 4 and 8 edges are written tables
+
+
+def _cosines(weights) -> dict:
+    own: dict = {}
+    for r in weights.collect():
+        own.setdefault(r["id"], {})[r["term"]] = (r["weight"], r["df"], r["n"])
+    out = {}
+    for a in own:
+        for b in own:
+            both = own[a].keys() & own[b].keys()
+            if a < b and any(own[a][t][1] <= max(2, own[a][t][2] // 2) for t in both):
+                out[a, b] = sum(own[a][t][0] * own[b][t][0] for t in both)
+    return out
+
+
+def test_pairs_of_common_terms_only(spark):
+    """Documents that share only terms of more than half of all documents are no pair, however alike."""
+    docs = [(k, "alpha beta " * 5 + f"own{k:02}") for k in range(6)] + [(10, "gamma delta"), (11, "gamma delta"), (12, "epsilon zeta")]
+    weights = X.tfidf(spark.createDataFrame(docs, "id long, text string"), "id", F.col("text"))
+    for most in (0.0, 1.0):
+        got = {(r["a"], r["b"]) for r in X.tfidf_pairs(weights, 0.35, most_meetings=most).collect()}
+        assert got == {p for p, c in _cosines(weights).items() if c >= 0.35} == {(10, 11)}
+
+
+@pytest.mark.parametrize("most", [0.0, 1.0])
+def test_many_topics(spark, most):
+    """Both plans give the pairs of brute force; of many topics most pairs of documents are never compared."""
+    rnd = random.Random(6)
+    docs = [(20 * t + k, " ".join(rnd.choices([f"topic{t:02}word{j}" for j in range(30)], k=25) + ["every", "where"])) for t in range(20) for k in range(20)]
+    weights = X.tfidf(spark.createDataFrame(docs, "id long, text string"), "id", F.col("text")).cache()
+    want = {p: c for p, c in _cosines(weights).items() if c >= 0.5}
+    got = {(r["a"], r["b"]): r["cosine"] for r in X.tfidf_pairs(weights, 0.5, block=30, most_meetings=most).collect()}
+    assert got.keys() == want.keys() and all(abs(c - want[p]) < 1e-9 for p, c in got.items()) and len(got) > 100
+    multiplied = X.block_products(weights, 0.5, 30, 5000).where("a IS NULL").agg(F.sum("n")).first()[0]
+    assert multiplied < 0.35 * len(docs) ** 2
+
+
+def test_near_pairs_as_brute_force(spark):
+    """Fingerprints in crowds that agree in many bits, with copies and near copies."""
+    rnd = random.Random(11)
+    flip = lambda v, n: v ^ sum(1 << b for b in rnd.sample(range(64), n))
+    centres = [rnd.getrandbits(64) for _ in range(3)]
+    some = [flip(rnd.choice(centres), rnd.randrange(3, 16)) for _ in range(350)] + [rnd.getrandbits(64) for _ in range(40)]
+    some += [flip(v, rnd.randrange(0, 9)) for v in some[:150]] + [0, (1 << 64) - 1, 63]
+    signed = [v - (1 << 64) if v >> 63 else v for v in some]
+    df = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
+    least: dict = {}
+    for k, v in enumerate(some):
+        least.setdefault(v, k)
+    distinct = list(least.items())
+    want = {tuple(sorted((a, b))) for i, (v, a) in enumerate(distinct) for w, b in distinct[:i] if (v ^ w).bit_count() <= 6} | {(least[v], k) for k, v in enumerate(some) if least[v] != k}
+    got = [(r["a"], r["b"]) for r in near.near_pairs(df, "id", "fp", 6).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    assert near.near_pairs(df.where("false"), "id", "fp").count() == 0
+    groups = df.groupBy("fp").agg(F.min("id").alias("id"))
+    for chosen in ([(list(range(64)), 6)], [(list(range(20)), 2), (list(range(20, 40)), 1), (list(range(40, 64)), 1)], [(list(range(10)), 6)]):
+        met = near.meetings(groups, "fp", chosen).where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= 6).select("a", "b").distinct()
+        if len(chosen[0][0]) < 64:  # a ball of six of 64 bits isn't enumerated
+            assert {tuple(r) for r in met.collect()} == {p for p in want if some[p[0]] != some[p[1]]}
+
+
+def test_crowded_bits_are_left_out():
+    """Bits in which a crowd agrees get no segment or a small radius, so few of the crowd meet."""
+    rnd = random.Random(5)
+    crowd = [0xFFFFFFFF00000000 | rnd.getrandbits(32) for _ in range(1000)]
+    chosen = near.segments(crowd, 10**6, 6)
+    assert sum(r + 1 for _, r in chosen) == 7
+    assert sum(b < 32 for bits, _ in chosen for b in bits) >= 0.6 * sum(len(bits) for bits, _ in chosen)
+    met = lambda cut: sum(any(((a ^ b) & sum(1 << x for x in bits)).bit_count() <= r for bits, r in cut) for i, a in enumerate(crowd) for b in crowd[:i])
+    bands = [(list(range(64 * k // 7, 64 * (k + 1) // 7)), 0) for k in range(7)]
+    assert met(chosen) < 0.3 * met(bands)
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_dense_pairs(spark, spread, monkeypatch):
+    """Equal to brute force with and without clusters; with clusters few pairs are compared."""
+    monkeypatch.setattr(dense, "TILE", 16)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 12))
+    rows = [(k, (centres[k % 30] + spread * rng.normal(size=12)).tolist()) for k in range(600)] + [(1000, centres[0].tolist()), (1001, (2 * centres[0]).tolist()), (1002, None), (1003, []), (1004, [1.0]), (1005, [0.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    unit = {k: np.array(v) / max(np.linalg.norm(v), 1e-12) for k, v in rows if v is not None and len(v) == 12}
+    want = {(a, b): float(unit[a] @ unit[b]) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= 0.85}
+    got = {(r["a"], r["b"]): r["cosine"] for r in dense.dense_pairs(df, "vec_id", "embedding", 0.85, block=70).collect()}
+    assert got.keys() == want.keys() and all(abs(c - want[p]) < 1e-9 for p, c in got.items()) and len(want) > 20
+    multiplied = dense.compared(df, "vec_id", "embedding", 0.85, 70).where("a IS NULL").agg(F.sum("cosine")).first()[0]
+    assert multiplied < (0.25 if spread < 1 else 1.2) * len(unit) ** 2 / 2
+    assert dense.dense_pairs(df.where("false"), "vec_id", "embedding", 0.85).count() == 0
