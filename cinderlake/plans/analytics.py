@@ -106,7 +106,7 @@ def page_n(spark, d):
 
 
 def page_totals(spark, d):
-    return A.page_counts(table(spark, d, "orders").where("o_orderstatus = 'F'"), 50)
+    return A.page_counts(table(spark, d, "orders"), 50)
 
 
 def triage_tiers(spark, d):
@@ -200,7 +200,7 @@ SELECT l_returnflag, p_brand, n, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN
     "search_ilike_escape": r"SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%D G%' OR p_brand ILIKE '%#1_%' OR p_name ILIKE '%d\_g%' ESCAPE '\'",
     "given_filters": "SELECT o_orderkey, c_name, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' AND o_orderpriority = '1-URGENT'",
     "page_n": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 50 OFFSET 100",
-    "page_totals": "SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 50.0)) AS BIGINT) AS pages FROM orders WHERE o_orderstatus = 'F'",
+    "page_totals": "SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 50.0)) AS BIGINT) AS pages FROM orders",
     "triage_tiers": """WITH t AS (SELECT event_id, CASE WHEN NOT value < 50 THEN 0 WHEN ts >= TIMESTAMP '2024-01-24' THEN 1 ELSE 2 END AS tier,
 CASE WHEN value < 50 THEN 0 WHEN event_type = 'error' THEN 0 WHEN event_type = 'purchase' THEN 1 WHEN event_type = 'signup' THEN 2 ELSE 9 END AS strength FROM events)
 SELECT tier, strength, count(*) AS n, max(event_id) AS newest FROM t GROUP BY 1, 2""",

@@ -109,7 +109,7 @@ def _findings(spark, d):
     value = F.when(F.col("o_custkey") % 4 == 0, F.concat(F.lit("wallet"), F.col("o_custkey") % 90)).otherwise(F.concat(F.lit("http://host"), F.col("o_custkey") % 60, F.lit(".onion/")))
     kind = F.when(F.col("o_custkey") % 4 == 0, "btc_address").when(F.col("o_custkey") % 4 == 1, "url").otherwise("sha256")
     return o.select(
-        (F.col("o_orderkey") % 200).alias("article_id"), F.when(F.col("o_orderkey") % 5 < 4, "ioc").otherwise("ttp").alias("finding_kind"), F.when(F.col("o_orderstatus") == "F", "auto").otherwise("staged").alias("decision"),
+        F.col("o_orderkey").alias("article_id"), F.when(F.col("o_orderkey") % 5 < 4, "ioc").otherwise("ttp").alias("finding_kind"), F.when(F.col("o_orderstatus") == "F", "auto").otherwise("staged").alias("decision"),
         F.to_json(F.struct(kind.alias("ioc_type"), value.alias("value"))).alias("payload"), (F.col("o_custkey") % 30).alias("target"),
     )
 
@@ -123,7 +123,7 @@ def promoted_infrastructure(spark, d):
 
 
 def payload_corroboration(spark, d):
-    articles = table(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("article_id"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"))
+    articles = table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"))
     return A.payload_sources(_findings(spark, d), articles, "article_id", "source")
 
 
@@ -178,8 +178,11 @@ def role_checks(spark, d):
 
 
 def last_admin(spark, d):
-    users = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey").between(1, 2), "admin").otherwise("viewer").alias("role"), (F.col("s_suppkey") != 2).alias("active"))
-    return G.may_leave(users, "s_suppkey")
+    """With one active admin and with two."""
+    role = F.when(F.col("s_suppkey").between(1, 2), "admin").otherwise("viewer").alias("role")
+    users = lambda active: table(spark, d, "supplier").select("s_suppkey", role, active.alias("active"))
+    one, two = G.may_leave(users(F.col("s_suppkey") != 2), "s_suppkey"), G.may_leave(users(F.lit(True)), "s_suppkey")
+    return one.withColumn("admins", F.lit(1)).unionByName(two.withColumn("admins", F.lit(2)))
 
 
 def page_filtered(spark, d):
@@ -217,7 +220,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _STATES = "[" + ", ".join(repr(s) for s in A.STATES) + "]"
-_FIND = """f AS (SELECT o_orderkey % 200 AS article_id, CASE WHEN o_orderkey % 5 < 4 THEN 'ioc' ELSE 'ttp' END AS finding_kind, o_orderstatus = 'F' AS auto, CASE o_custkey % 4 WHEN 0 THEN 'btc_addresses' WHEN 1 THEN 'profile_urls' END AS field,
+_FIND = """f AS (SELECT o_orderkey AS article_id, CASE WHEN o_orderkey % 5 < 4 THEN 'ioc' ELSE 'ttp' END AS finding_kind, o_orderstatus = 'F' AS auto, CASE o_custkey % 4 WHEN 0 THEN 'btc_addresses' WHEN 1 THEN 'profile_urls' END AS field,
 CASE WHEN o_custkey % 4 = 0 THEN 'wallet' || (o_custkey % 90) ELSE 'http://host' || (o_custkey % 60) || '.onion/' END AS value, CASE WHEN o_custkey % 4 > 0 THEN 'host' || (o_custkey % 60) || '.onion' END AS host, o_custkey % 30 AS target FROM orders)"""
 _PICKED = lambda values, c: "[" + ", ".join(repr(v) for v in values) + f"][({c}) % {len(values)} + 1]"
 ORACLES = {
@@ -255,7 +258,7 @@ SELECT doc_id, '# ' || CASE WHEN t THEN lang ELSE 'Untitled report' END || chr(1
 m AS (SELECT conv_id, k, avg(CAST(embedding[k + 1] AS DOUBLE)) AS x FROM t LEFT JOIN embeddings ON vec_id = word CROSS JOIN range({WIDTH}) r(k) GROUP BY 1, 2), n AS (SELECT *, sqrt(sum(coalesce(x, 0) * coalesce(x, 0)) OVER (PARTITION BY conv_id)) AS n FROM m)
 SELECT conv_id, CAST(k AS INTEGER) AS k, round(CASE WHEN n > 0 THEN coalesce(x, 0) / n ELSE 0 END, 4) AS x FROM n""",
     "role_checks": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN false ELSE c_custkey % 4 >= (c_custkey // 4) % 3 END AS allowed FROM customer",
-    "last_admin": "SELECT s_suppkey, s_suppkey <> 1 AS may_leave FROM supplier",
+    "last_admin": "SELECT s_suppkey, s_suppkey <> 1 AS may_leave, 1 AS admins FROM supplier UNION ALL SELECT s_suppkey, true, 2 FROM supplier",
     "page_filtered": "SELECT doc_id FROM (SELECT doc_id, lang FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 50) WHERE lang = 'en'",
     "newest_article": "SELECT event_id FROM events WHERE event_type = 'purchase' AND props <> '' ORDER BY CASE WHEN event_id % 2 = 0 THEN ts END DESC NULLS LAST, event_id DESC LIMIT 1",
     "public_urls": "SELECT c_custkey, c_custkey % 11 <> 0 AND c_custkey % 10 IN (0, 3, 6) AS public FROM customer",

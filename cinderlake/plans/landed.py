@@ -11,6 +11,7 @@ from cinderlake.operators import identity as D
 from cinderlake.operators import scoring as S
 from cinderlake.operators import updates as U
 from cinderlake.session import shared_folder, table
+from cinderlake.sources import incidents as N
 from cinderlake.sources import markdown as M
 from cinderlake.sources import readers as R
 from cinderlake.streaming import microbatch as B
@@ -57,7 +58,7 @@ def landed_attacks(spark, d):
 
 
 def landed_payments(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus = 'F'")
+    o = table(spark, d, "orders")
     tx = F.struct(F.concat(F.lit("h"), F.col("o_orderkey") % 50).alias("hash"), F.unix_timestamp("o_orderdate").alias("time"), (F.col("o_orderkey") % 50 * 100_000_000).alias("amount"), F.lit(2.5).alias("amountUSD"))
     wallets = o.groupBy(F.concat(F.lit("w"), "o_custkey").alias("address")).agg(F.lit("fam").alias("family"), F.lit(0).cast("long").alias("balance"), F.array_sort(F.collect_list(tx)).alias("transactions"))
     # dealt into a few files, half of them a bare list and half below a key, as the feed comes in both forms
@@ -123,13 +124,53 @@ def bundle_uses(spark, d):
 
 
 def landed_feed(spark, d):
+    """Half of the pages as items of RSS, half as Atom entries, some of which were only updated."""
     p = table(spark, d, "pages")
     item = F.concat(F.lit("<item><title>t"), "page_id", F.lit("</title><link> http://x/"), "page_id", F.lit(" </link><description>d</description><pubDate>Tue, 02 Jan 2024 03:04:05 +0100</pubDate></item>"))
-    whole = p.select(item.alias("i")).groupBy(F.pmod(F.xxhash64("i"), F.lit(8))).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("i"), ""), F.lit("</channel></rss>")).alias("value"))
+    when = F.when(F.col("page_id") % 3 == 0, F.lit("<updated>2024-05-06T07:08:09Z</updated>")).otherwise(F.lit("<published>2024-01-02T03:04:05+01:00</published><updated>2024-05-06T07:08:09Z</updated>"))
+    entry = F.concat(F.lit("<entry><title>t"), "page_id", F.lit('</title><link href="http://x/'), "page_id", F.lit('"/><summary>d</summary>'), when, F.lit("</entry>"))
+    rows = p.select(F.when(F.col("page_id") % 2 == 0, item).otherwise(entry).alias("i"), (F.col("page_id") % 2 == 0).alias("rss"))
+    listed = rows.groupBy("rss", F.pmod(F.xxhash64("i"), F.lit(8))).agg(F.array_join(F.collect_list("i"), "").alias("all"))
+    whole = listed.select(F.when(F.col("rss"), F.concat(F.lit("<rss><channel>"), "all", F.lit("</channel></rss>"))).otherwise(F.concat(F.lit("<feed>"), "all", F.lit("</feed>"))).alias("value"))
     path = shared_folder(spark, "feed")
-    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    whole.write.option("maxRecordsPerFile", 1).text(path)
     f = R.feed_items(spark, path)
-    return f.select("title", "link", F.date_format("published", "yyyy-MM-dd HH:mm").alias("published"))
+    return f.select("title", "link", "summary", F.date_format("published", "yyyy-MM-dd HH:mm").alias("published"))
+
+
+def incident_history(spark, d):
+    """The first halves of three years out of a landed history of all orders, a folder per year and month."""
+    o = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.concat(F.lit("c"), "o_custkey").alias("victim"), F.col("o_orderpriority").alias("group_name"), F.substring("o_orderstatus", 1, 1).alias("country"))
+    entry = F.to_json(F.struct("victim", "group_name", "country"))
+    files = o.groupBy("year", "month", F.pmod(F.xxhash64("victim"), F.lit(2)).alias("f")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ","), F.lit("]")).alias("value"))
+    root = shared_folder(spark, "incidents")
+    files.repartition("year", "month").select("year", "month", "value").write.partitionBy("year", "month").option("maxRecordsPerFile", 1).text(f"{root}/leaks/victims_history")
+    rows = N.feed(spark, root, "leaks", "victims_history", years="1993-1995", months="1-6")
+    return rows.groupBy("year", "month", "country").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("victim_name").alias("victims"))
+
+
+def _markdown(spark, files, label: str) -> str:
+    path = shared_folder(spark, label)
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def telegram_channels(spark, d):
+    """A table per nation; a customer without a link in the cell, or without a name, has no row."""
+    c = table(spark, d, "customer")
+    cell = F.when(F.col("c_custkey") % 7 == 0, F.lit("closed")).otherwise(F.concat(F.lit("[t](https://t.me/c"), "c_custkey", F.lit(")")))
+    row = F.concat(F.lit("| "), cell, F.lit(" | "), F.when(F.col("c_custkey") % 2 == 0, "valid").otherwise("expired"), F.lit(" | "), "c_name", F.lit(" | ddos |"))
+    files = c.groupBy("c_nationkey").agg(F.concat(F.lit("text\n\n| Telegram | Status | Name | Type |\n|:--|---|---|---|\n"), F.array_join(F.collect_list(row), "\n"), F.lit("\n\nend")).alias("value"))
+    return M.parsed(spark, _markdown(spark, files, "telegram"), M.telegram, "name,url,status,attack_type").select("name", "url", "status", "attack_type")
+
+
+def twitter_accounts(spark, d):
+    """The state is the first cell after the name that is one."""
+    s = table(spark, d, "supplier")
+    state = F.when(F.col("s_suppkey") % 3 == 0, "suspended").when(F.col("s_suppkey") % 3 == 1, "online").otherwise("unclear")
+    row = F.concat(F.lit("| https://x.com/s"), "s_suppkey", F.lit(" | "), "s_name", F.lit(" | note | "), state, F.lit(" |"))
+    files = s.groupBy("s_nationkey").agg(F.concat(F.lit("| Link | Name | Note | Status |\n|---|---|---|---|\n"), F.array_join(F.collect_list(row), "\n")).alias("value"))
+    return M.parsed(spark, _markdown(spark, files, "twitter"), M.twitter, "name,url,status").select("name", "url", "status")
 
 
 def markdown_gangs(spark, d):
@@ -204,7 +245,7 @@ def lowered_levels(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    landed_victims, landed_groups, landed_attacks, landed_payments, landed_spans, landed_exits, landed_fields, bundle_nodes, bundle_changed, bundle_uses, landed_feed, markdown_gangs, contact_kinds, incremental_matches, event_windows,
+    landed_victims, landed_groups, landed_attacks, landed_payments, landed_spans, landed_exits, landed_fields, bundle_nodes, bundle_changed, bundle_uses, landed_feed, incident_history, markdown_gangs, telegram_channels, twitter_accounts, contact_kinds, incremental_matches, event_windows,
     structure_drift, unreachable_floors, token_prices, merged_aliases, software_groups, lowered_levels,
 )}
 
@@ -213,14 +254,18 @@ ORACLES = {
     "landed_victims": """SELECT o_orderpriority AS group_name, 'DE' AS country, count(*) AS n, count(*) FILTER (o_custkey % 4 <> 0) AS domains, count(*) FILTER (o_custkey % 9 = 0) AS unnamed, strftime(min(o_orderdate), '%Y-%m-%d') AS first, strftime(max(o_orderdate), '%Y-%m-%d') AS last FROM orders GROUP BY 1""",
     "landed_groups": "SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'none' ELSE 'alt' END AS altname, 'none' AS description, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 2 END AS INTEGER) AS locations FROM supplier",
     "landed_attacks": "SELECT upper(event_type) AS country, CASE WHEN event_id % 2 = 0 THEN '2024-03-01' ELSE strftime(ts, '%Y-%m-%d') END AS day, count(*) AS n FROM events GROUP BY 1, 2",
-    "landed_payments": "WITH t AS (SELECT DISTINCT 'w' || o_custkey AS address, o_orderkey % 50 AS h FROM orders WHERE o_orderstatus = 'F') SELECT address, count(*) AS n, CAST(sum(h) AS DOUBLE) AS btc, count(*) * 2.5 AS usd FROM t GROUP BY 1",
+    "landed_payments": "WITH t AS (SELECT DISTINCT 'w' || o_custkey AS address, o_orderkey % 50 AS h FROM orders) SELECT address, count(*) AS n, CAST(sum(h) AS DOUBLE) AS btc, count(*) * 2.5 AS usd FROM t GROUP BY 1",
     "landed_spans": "SELECT '10.0.' || c_custkey // 250 || '.' || c_custkey % 250 AS first, '10.0.' || (c_custkey + 1) // 250 || '.' || (c_custkey + 1) % 250 AS last FROM customer WHERE c_custkey % 2 = 0",
     "landed_exits": "SELECT DISTINCT '10.1.2.' || s_suppkey % 200 AS address FROM supplier",
     "landed_fields": "SELECT '10.9.' || c_custkey // 250 || '.' || c_custkey % 250 AS address, count(*) AS n FROM customer GROUP BY 1",
     "bundle_nodes": f"WITH {_NODE} SELECT id, kind, external_id, name FROM n",
     "bundle_changed": f"WITH {_NODE} SELECT id FROM n WHERE p_size % 2 <> 0",
     "bundle_uses": "SELECT 'n' || p_partkey AS src, 'n' || (p_partkey + 1) AS dst FROM part WHERE p_partkey % 2 = 0",
-    "landed_feed": "SELECT 't' || page_id AS title, 'http://x/' || page_id AS link, '2024-01-02 02:04' AS published FROM pages",
+    "landed_feed": "SELECT 't' || page_id AS title, 'http://x/' || page_id AS link, 'd' AS summary, CASE WHEN page_id % 6 = 3 THEN '2024-05-06 07:08' ELSE '2024-01-02 02:04' END AS published FROM pages",
+    "incident_history": """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, o_orderstatus[1] AS country, count(*) AS n, count(DISTINCT o_custkey) AS victims FROM orders
+WHERE year(o_orderdate) BETWEEN 1993 AND 1995 AND month(o_orderdate) <= 6 GROUP BY 1, 2, 3""",
+    "telegram_channels": "SELECT c_name AS name, 'https://t.me/c' || c_custkey AS url, CASE WHEN c_custkey % 2 = 0 THEN 'VALID' ELSE 'EXPIRED' END AS status, 'ddos' AS attack_type FROM customer WHERE c_custkey % 7 <> 0",
+    "twitter_accounts": "SELECT s_name AS name, 'https://x.com/s' || s_suppkey AS url, CASE s_suppkey % 3 WHEN 0 THEN 'SUSPENDED' WHEN 1 THEN 'ONLINE' ELSE '' END AS status FROM supplier",
     "markdown_gangs": "SELECT s_name AS name, 'http://g' || s_suppkey || '.onion' AS url, CASE WHEN s_suppkey % 2 = 0 THEN 'ONLINE' ELSE 'OFFLINE' END AS status FROM supplier",
     "contact_kinds": "SELECT 'telegram' AS kind, count(*) AS n, count(*) AS values FROM customer UNION ALL SELECT 'email', count(*), count(*) FROM customer UNION ALL SELECT 'website', count(*), least(3, count(*)) FROM customer",
     "incremental_matches": "SELECT o_custkey % 40 AS watch_id, count(*) AS n FROM orders WHERE (o_custkey % 40 BETWEEN 20 AND 24 OR o_custkey % 40 < 20 AND o_orderkey % 10 = 1) AND o_orderkey % 100 <> 1 GROUP BY 1",

@@ -4,10 +4,10 @@ A source has up to four feeds: ``victims``, ``groups`` and ``attacks`` are what
 ``attacks_history`` all that it ever had, by year and month. Sources are known by name (:data:`SOURCES`); each says which
 keys of its JSON make which column. They are landed as
 
-    <path>/<source>/<feed>/year=2024/month=3/<any>.json        (history)
-    <path>/<source>/<feed>/<any>.json                          (present)
+    <path>/<source>/<feed>/year=2024/month=3/<any>        (history)
+    <path>/<source>/<feed>/<any>                          (present)
 
-where a file is a JSON array, or an object that holds one. The options ``years`` and ``months`` (``2022-2024,2019``) choose folders: others
+where a file is a JSON array, or an object that holds one; names that begin with ``_`` or ``.`` are passed over. The options ``years`` and ``months`` (``2022-2024,2019``) choose folders: others
 are not listed, and their files not opened. Every file is a partition of its own, or several small ones together
 up to ``bytes_per_partition``.
 
@@ -166,7 +166,7 @@ class Reader(DataSourceReader):
         for year, month, path in places:
             held, size = [], 0
             for i in listed(path):
-                if not i.base_name.endswith(".json"):
+                if i.type != fs.FileType.File or i.base_name.startswith(("_", ".")):
                     continue
                 if held and size + i.size > most:
                     out.append(Files(year, month, tuple(held)))

@@ -20,6 +20,7 @@ CONTACTS = (
     ("session", r"(?i)^05[0-9a-f]{64}$"),
     ("jabber", r"(?i)[\w.+-]+@(?:xmpp|jabber)\.\S+"),
 )
+#: How a cell writes a link, and what is added to a name.
 _LINK = re.compile(r"\[([^\]]+)\]\(([^)]+)\)")
 _QUALIFIER = re.compile(r"\s*\((?:Dark|Deep|Victims?\s*page|Clearnet|Mirror)\)", re.I)
 

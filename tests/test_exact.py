@@ -153,7 +153,8 @@ def plain_breaches(text):
     """Rules by rule, phrase by phrase."""
     word = lambda p: [(m.start(), m.end()) for m in re.finditer(rf"(?<!\w){re.escape(p)}(?!\w)", text, re.I)]
     out = []
-    for rule, phrases, _, _ in style.PHRASE_RULES:
+    for rule in style.NOTES:
+        phrases = style.PHRASES[rule]
         spans = sorted({s for p in phrases for s in word(p)}, key=lambda s: (s[0], -s[1]))
         if rule in style.OUTERMOST:
             spans = [s for k, s in enumerate(spans) if not any(o[0] <= s[0] and s[1] <= o[1] for o in spans[:k])]
@@ -167,10 +168,10 @@ def plain_breaches(text):
             if len(re.findall(r"[A-Za-z0-9][\w'-]*", s)) > 35:
                 out.append(("sentence_length", s, begin, begin + len(s)))
             some = lambda w, s=s: re.search(rf"(?<!\w){w}(?!\w)", s, re.I)
-            if not any(map(some, style.LIMITING_CONDITIONS)):
-                out += [("bare_conditional", w, begin + some(w).start(), begin + some(w).end()) for w in style.CONDITIONALS if some(w)]
+            if not any(map(some, style.CONDITION_WORDS)):
+                out += [("bare_conditional", w, begin + some(w).start(), begin + some(w).end()) for w in style.PHRASES["bare_conditional"] if some(w)]
             if n == 0:
-                hit = next((some(p) for p in style.CHRONOLOGY_OPENERS if some(p)), None)
+                hit = next((some(p) for p in style.PHRASES["chronology_first"] if some(p)), None)
                 if hit:
                     out.append(("chronology_first", hit.group(), begin + hit.start(), begin + hit.end()))
         at = m.end() if m else at
@@ -179,7 +180,7 @@ def plain_breaches(text):
 
 def test_style():
     rnd = random.Random(3)
-    phrases = [p for _, own, _, _ in style.PHRASE_RULES for p in own] + [*style.CHRONOLOGY_OPENERS, *style.CONDITIONALS, "if", "uncertain", "more", "caféshould", "plain words here"]
+    phrases = [p for own in style.PHRASES.values() for p in own] + ["if", "uncertain", "more", "caféshould", "plain words here"]
     for _ in range(300):
         text = "".join(rnd.choice(phrases).replace("the", rnd.choice(("the", "The"))) + rnd.choice((" ", ". ", "! ", "\n", ", ", ".")) for _ in range(rnd.randrange(60)))
         assert [b[:4] for b in style.breaches(text, advice_allowed=False)] == plain_breaches(text)
@@ -188,7 +189,7 @@ def test_style():
 
 def test_style_queries(spark):
     rows = QUERIES["style_breaches"](spark, SF).collect()
-    assert {r["rule"] for r in rows} >= {rule for rule, *_ in style.PHRASE_RULES} | {"sentence_length", "bare_conditional", "chronology_first"}
+    assert {r["rule"] for r in rows} >= {*style.PHRASES, "sentence_length"}
     assert sum(r["n"] for r in QUERIES["style_report"](spark, SF).collect()) == len(rows)
     worst = QUERIES["style_worst"](spark, SF).collect()
     per_doc = {}
