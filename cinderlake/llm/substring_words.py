@@ -6,8 +6,8 @@ elsewhere is found by probing the blocks with every rolling window of 10 words:
 exchange. A probe hits if its key is that of a block and occurs more than once. Hits are then
 extended: each window of 20 words around a hit is looked up by its complete key in the second
 exchange, where the smallest doc_id with that key is found; neighbouring windows join to maximal
-repeats. The key of a window comes from keyed 128-bit digests (BLAKE2b) of its words, one half for its range and the other
-for the 64 bits that are compared there, so words of no shape are taken for each other; the words themselves aren't sent.
+repeats. A word's key is made of two polynomials of its bytes modulo a prime (62 bits), so words of no shape are taken for
+each other; a window's key of 64 bits besides its range is made of its words' keys. The words themselves aren't sent.
 
 Both exchanges send each distinct key of a chunk once, however often it occurs, so a passage that
 a third of the documents share costs a range one entry per chunk. Nothing is linked pairwise.
@@ -34,6 +34,9 @@ from cinderlake.llm.chunks import Chunk, by_range, cuts, join_arrays, make_chunk
 #: Probes that a key range has in the mean.
 RANGE_KEYS = 2_000_000
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,length:long>>, kept_sha256 string"
+#: Modulus and bases of the words' polynomials, and a value for each byte.
+_PRIME, _BASES, _BLOCK = np.uint64((1 << 31) - 1), (1_245_678_911, 741_903_457), 1 << 20
+_VALUES = np.random.default_rng(17).integers(1, (1 << 31) - 1, 256).astype(np.uint64)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9))
 
 
@@ -42,14 +45,42 @@ def _mixed(x):
     return x ^ (x >> np.uint64(29))
 
 
-def _digest(word: bytes) -> bytes:
-    """128 bits of a word; those of long ones aren't kept."""
-    return _kept(word) if len(word) <= 32 else _kept.__wrapped__(word)
-
-
-@lru_cache(200_000)
-def _kept(word: bytes) -> bytes:
-    return hashlib.blake2b(word, digest_size=16, key=b"words").digest()
+@lru_cache(len(_BASES) * 2)
+def _powers(base: int):
+    """Powers modulo the prime of a base, _BLOCK of them."""
+    few = 1 << 10
+    small, large = np.ones(few, np.uint64), np.ones(_BLOCK // few, np.uint64)
+    for table, factor in ((small, base), (large, pow(base, few, int(_PRIME)))):
+        for k in range(1, len(table)):
+            table[k] = int(table[k - 1]) * factor % int(_PRIME)
+    return (large[:, None] * small[None, :] % _PRIME).ravel()
+
+
+def _reduced(x):
+    """Numbers below 2 ** 62 modulo the prime, up to a multiple of it that leaves them below 2 ** 32."""
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+def _polynomials(data, first, last, base: int):
+    """Each word's polynomial modulo a prime: the sum of its bytes' values times powers of ``base`` by their place in the word.
+
+    Different words of n letters agree for n of 2 ** 31 bases at most, whatever their shape. Sums run over the whole chunk with powers that start anew
+    every _BLOCK bytes, and are made independent of the place by the inverse power; words over the edge of a block are added up by themselves.
+    """
+    power, back = _powers(base), _powers(pow(base, -1, int(_PRIME)))
+    value, total = _VALUES[data], np.zeros(len(data) + 1, np.uint64)
+    for at in range(0, len(data), _BLOCK):
+        part = value[at : at + _BLOCK]
+        part *= power[: len(part)]
+    np.cumsum(_reduced(value), out=total[1:])
+    out = (total[last + 1] - total[first]) % _PRIME * back[first % _BLOCK] % _PRIME
+    for k in np.flatnonzero(first // _BLOCK != last // _BLOCK).tolist():
+        word, whole = _VALUES[data[first[k] : last[k] + 1]], 0
+        for at in range(0, len(word), _BLOCK):
+            part = word[at : at + _BLOCK]
+            whole += int(_reduced(part * power[: len(part)]).sum()) * pow(base, at, int(_PRIME))
+        out[k] = whole % int(_PRIME)
+    return out
 
 
 class Words:
@@ -68,12 +99,9 @@ class Words:
         self.doc = np.searchsorted(chunk.ends, self.first, "right")
         self.begins = np.searchsorted(self.doc, np.arange(len(chunk.ids)))
         self.ends = np.searchsorted(self.doc, np.arange(len(chunk.ids)), "right")
-        # two halves of a keyed digest of each distinct word: no shape of words makes them agree
-        body, places, own = data.tobytes(), {}, np.empty(len(self.first), np.int64)
-        for k, (begin, end) in enumerate(zip(self.first.tolist(), (self.last + 1).tolist())):
-            own[k] = places.setdefault(body[begin:end], len(places))
-        halves = np.frombuffer(b"".join([_digest(w) for w in places]), np.uint64).reshape(-1, 2)
-        self.key, self.second = (np.ascontiguousarray(halves[own, k]) for k in (0, 1))
+        one, two = (_polynomials(data, self.first, self.last, base) for base in _BASES)
+        both = one << np.uint64(31) | two
+        self.key, self.second = _mixed(both + _A), _mixed(_mixed(both + _B) + one)
 
     def runs(self, size: int, base: np.uint64, second: bool = False):
         """Key of the run of ``size`` words that begins at each word, and whether it stays in its document.
