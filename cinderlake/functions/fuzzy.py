@@ -33,9 +33,12 @@ def ratio(a: str, b: str) -> int:
     return round(200 * lcs(a, b) / (len(a) + len(b))) if a and b else 0
 
 
+def sorted_words(s: str) -> str:
+    return " ".join(sorted(_SPLIT.sub(" ", s.lower()).split()))
+
+
 def token_sort_ratio(a: str, b: str) -> int:
-    tidy = lambda s: " ".join(sorted(_SPLIT.sub(" ", s.lower()).split()))
-    return ratio(tidy(a), tidy(b))
+    return ratio(sorted_words(a), sorted_words(b))
 
 
 def partial_ratio(a: str, b: str) -> int:
@@ -48,15 +51,22 @@ def partial_ratio(a: str, b: str) -> int:
 
 
 def match_label(name: str, domain: str | None, keywords: list, v_name: str | None, v_domain: str | None, threshold: int) -> str | None:
-    """First of domain, name, keywords to reach the threshold; names under three characters match nothing."""
+    """What a watch entry and a victim match by, stated for one pair: domain, else name, else the first keyword."""
     v_name, v_domain = (v_name or "").lower().strip(), (v_domain or "").lower().strip()
-    if domain and len(domain) >= 3 and len(v_domain) >= 3 and (s := ratio(domain, v_domain)) >= threshold:
-        return f"fuzzy_domain:{s}"
-    if len(name) < 3 or len(v_name) < 3:
-        return None
-    if (s := token_sort_ratio(name, v_name)) >= threshold:
-        return f"fuzzy_name:{s}"
-    return next((f"fuzzy_keyword:{s}" for k in keywords if len(k) >= 3 and (s := partial_ratio(k, v_name)) >= threshold), None)
+    named = len(name) >= 3 and len(v_name) >= 3
+    scores = [("domain", ratio(domain, v_domain))] if domain and min(len(domain), len(v_domain)) >= 3 else []
+    scores += [("name", token_sort_ratio(name, v_name))] * named + [("keyword", partial_ratio(k, v_name)) for k in keywords if named and len(k) >= 3]
+    return next((f"fuzzy_{kind}:{s}" for kind, s in scores if s >= threshold), None)
+
+
+def text_column(kind: str, text: Column) -> Column:
+    """``tidy`` (lower case, no blanks around) or ``sorted_words`` of a column; null stays null."""
+    function = {"tidy": lambda t: t.lower().strip(), "sorted_words": sorted_words}[kind]
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(function, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def ratio_column(kind: str, a: Column, b: Column) -> Column:

@@ -42,25 +42,36 @@ def watch_contains(rows: DataFrame, row_id: str, text: Column, watch: DataFrame,
     return out if known is None else out.join(known, ["watch_id", row_id], "left_anti")
 
 
-def watch_fuzzy(victims: DataFrame, row_id: str, name: str, domain: str, watch: list[dict], threshold: int = 85) -> DataFrame:
-    """``watch_id, row_id, match``: fuzzy matches of a watch list (id, name, domain, keywords).
+def watch_fuzzy(victims: DataFrame, row_id: str, name: str, domain: str, watch: DataFrame, threshold: int = 85) -> DataFrame:
+    """``watch_id, row_id, match``: fuzzy matches of a watch list (``watch_id, name, domain, keywords``, keywords between commas).
 
-    Each distinct (name, domain) is compared once, in Arrow batches.
+    The first of domain, name and keywords in their order that reaches the threshold is the match; domains and keywords under three letters
+    match nothing, and names under three letters have no match by name or keyword. Both sides are tables: distinct texts meet by the letters that they must share
+    (:func:`_near_texts`, :func:`_near_parts`), and only those pairs are scored.
     """
-    tidy = lambda s: (s or "").lower().strip()
-    held = [(w["id"], tidy(w["name"]), tidy(w.get("domain")) or None, [tidy(k) for k in (w.get("keywords") or "").split(",") if k.strip()]) for w in watch]
-
-    def run(names: pd.Series, domains: pd.Series) -> pd.Series:
-        out = []
-        for n, d in zip(names, domains):
-            found = [(i, fuzzy.match_label(wn, wd, wk, n, d, threshold)) for i, wn, wd, wk in held]
-            out.append([{"watch_id": i, "match": m} for i, m in found if m])
-        return pd.Series(out)
-
+    known = watch.select("watch_id", *[fuzzy.text_column("tidy", F.coalesce(c, F.lit(""))).alias(c) for c in ("name", "domain")], "keywords")
+    keys = F.posexplode(F.transform(F.split(F.coalesce("keywords", F.lit("")), ","), F.trim)).alias("pos", "raw")
+    words = known.where("length(name) >= 3").select("watch_id", keys).where("trim(raw) <> ''").select("watch_id", "pos", fuzzy.text_column("tidy", F.col("raw")).alias("w")).where("length(w) >= 3")
     distinct = victims.select(F.col(name).alias("_n"), F.col(domain).alias("_d")).distinct()
-    hits = distinct.select("_n", "_d", F.explode(F.pandas_udf(run, "array<struct<watch_id:int,match:string>>")("_n", "_d")).alias("m"))
-    joined = victims.join(hits, F.col(name).eqNullSafe(F.col("_n")) & F.col(domain).eqNullSafe(F.col("_d")))
-    return joined.select("m.watch_id", row_id, "m.match")
+    distinct = written(distinct.select("_n", "_d", *[fuzzy.text_column("tidy", F.coalesce(c, F.lit(""))).alias(v) for c, v in (("_n", "vn"), ("_d", "vd"))]), "fuzzy-victims")
+    long_names = distinct.where("length(vn) >= 3")
+    sort = lambda df, c: df.withColumn("w" if c == "name" else "v", fuzzy.text_column("sorted_words", F.col(c)))
+    sides = (
+        ("fuzzy_domain", "ratio", known.where("length(domain) >= 3").select("watch_id", F.lit(0).alias("pos"), F.col("domain").alias("w")), distinct.where("length(vd) >= 3").withColumn("v", F.col("vd")), _near_texts),
+        ("fuzzy_name", "ratio", sort(known.where("length(name) >= 3"), "name").select("watch_id", F.lit(0).alias("pos"), "w"), sort(long_names, "vn"), _near_texts),
+        ("fuzzy_keyword", "partial_ratio", words, long_names.withColumn("v", F.col("vn")), _near_parts),
+    )
+    found = None
+    for rank, (label, kind, ours, theirs, near) in enumerate(sides):
+        ours, theirs = written(ours, "fuzzy-watch"), written(theirs.select("_n", "_d", "v"), "fuzzy-texts")
+        some = lambda df, c: df.select(c).where(F.col(c) != "").distinct()
+        pairs = written(near(some(ours, "w"), "w", some(theirs, "v"), "v", threshold), "fuzzy-near")
+        scored = pairs.withColumn("score", fuzzy.ratio_column(kind, F.col("w"), F.col("v"))).where(F.col("score") >= threshold)
+        hit = ours.join(scored, "w").join(theirs, "v").select("watch_id", "_n", "_d", F.struct(F.lit(rank).alias("rank"), "pos", F.concat(F.lit(f"{label}:"), "score").alias("match")).alias("m"))
+        found = hit if found is None else found.unionByName(hit)
+    best = found.groupBy("watch_id", "_n", "_d").agg(F.min("m").alias("m"))
+    joined = victims.join(best, F.col(name).eqNullSafe(F.col("_n")) & F.col(domain).eqNullSafe(F.col("_d")))
+    return joined.select("watch_id", row_id, "m.match")
 
 
 def _letter_pairs(texts: DataFrame, text: str) -> DataFrame:
@@ -83,16 +94,49 @@ def _leading_pairs(pairs: DataFrame, text: str, frequency: DataFrame, share: flo
     return pairs.join(frequency, "pair", "left").withColumn("_nth", nth).where(F.col("_nth") <= lost + 1).select(text, "pair")
 
 
+def _letters(texts: DataFrame, text: str) -> DataFrame:
+    """``text, pair``: single letters with the number of their occurrence."""
+    counted = texts.select(text, F.explode(F.split(F.col(text), "")).alias("pair")).where("pair <> ''").groupBy(text, "pair").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.select(text, F.explode(F.sequence(F.lit(1), "_n")).alias("_k"), "pair").select(text, F.concat_ws("'", "pair", "_k").alias("pair"))
+
+
+def _near_parts(names: DataFrame, name: str, others: DataFrame, other: str, threshold: int, longest: float = 1.0) -> DataFrame:
+    """``name, other`` of which the shorter can have a ratio of ``threshold`` with some part of the longer, no others being lost.
+
+    A part that is like enough leaves the shorter all but so many of its letter pairs, and all but fewer of its letters. So the longer text has one of the
+    shorter's rarest pairs, one more than can be lost; where a text has no more than can be lost, one of its rarest letters. A part is up to ``longest`` times
+    as long as the shorter.
+    """
+    share = 1 - (threshold - 0.5) / 100
+    reach = 2 * 100 / (threshold - 0.5) - 1 + 1e-9
+
+    def half(short: DataFrame, s: str, long: DataFrame, t: str, fits) -> DataFrame:
+        tokens = written(_letter_pairs(long, t).unionByName(_letters(long, t)), "fuzzy-tokens")
+        frequency = tokens.groupBy("pair").agg(F.count(F.lit(1)).alias("_f"))
+        m = F.length(s)
+        least = F.ceil(m / F.lit(reach) - 1e-9)
+        # what can be lost is a linear function of the part's length, so largest for the shortest or the longest part
+        lost = lambda k: F.greatest(*[F.floor(((1 + k * share) * m - (1 - k * share) * p) / 2 + 1e-9) for p in (least, m * longest)])
+        pairs_lost, letters_lost = lost(3), lost(1)
+        by_pairs = m - 1 > pairs_lost
+        nth = F.row_number().over(Window.partitionBy(s).orderBy(F.coalesce("_f", F.lit(0)), "pair"))
+        rarest = lambda df, lost: df.join(frequency, "pair", "left").withColumn("_nth", nth).where(F.col("_nth") <= lost + 1).select(s, "pair")
+        marks = rarest(_letter_pairs(short.where(by_pairs), s), pairs_lost).unionByName(rarest(_letters(short.where(~by_pairs), s), letters_lost))
+        return marks.join(tokens, "pair").where(fits).select(name, other).distinct()
+
+    n, o = F.length(name), F.length(other)
+    return half(names, name, others, other, n <= o).unionByName(half(others, other, names, name, o < n))
+
+
 def _near_texts(names: DataFrame, name: str, others: DataFrame, other: str, threshold: int) -> DataFrame:
     """``name, other`` that can have a ratio of ``threshold``, no others being lost.
 
-    From 85 on they share one of their leading letter pairs; a lower threshold goes by lengths only.
+    From 85 on they share one of their leading letter pairs; below, the longer has one of the shorter's rarest pairs or letters.
     """
     reach = 2 * 100 / (threshold - 0.5) - 1 + 1e-9  # the score is rounded before it is compared
     fits = (F.length(other) <= F.length(name) * reach) & (F.length(name) <= F.length(other) * reach)
     if threshold < 85:
-        lengths = names.withColumn("_l", F.explode(F.sequence(F.ceil(F.length(name) / reach).cast("int"), F.floor(F.length(name) * reach).cast("int"))))
-        return lengths.join(others.withColumn("_l", F.length(other)), "_l").select(name, other)
+        return _near_parts(names, name, others, other, threshold, reach).where(fits)
     cut = _letter_pairs(others, other)
     frequency = cut.groupBy("pair").agg(F.count(F.lit(1)).alias("_f"))
     share = 1 - (threshold - 0.5) / 100

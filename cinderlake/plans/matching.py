@@ -134,7 +134,8 @@ def whole_chains(spark, d):
 
 
 def watch_fuzzy_join(spark, d):
-    return M.watch_fuzzy(table(spark, d, "part"), "p_partkey", "p_name", "p_brand", FUZZY, 80)
+    watch = spark.createDataFrame([(w["id"], w["name"], w.get("domain"), w.get("keywords")) for w in FUZZY], "watch_id int, name string, domain string, keywords string")
+    return M.watch_fuzzy(table(spark, d, "part"), "p_partkey", "p_name", "p_brand", watch, 80)
 
 
 def resolve_ladder(spark, d):

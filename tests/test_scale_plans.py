@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cinderlake.functions import fuzzy
 from cinderlake.operators import addresses as A
 from cinderlake.operators import dense, near, sweep, terms
 from cinderlake.operators import matching as M
@@ -194,3 +195,38 @@ def test_dense_pairs(spark, spread, monkeypatch):
     multiplied = dense.compared(df, "vec_id", "embedding", 0.85, 70).where("a IS NULL").agg(F.sum("cosine")).first()[0]
     assert multiplied < (0.25 if spread < 1 else 1.2) * len(unit) ** 2 / 2
     assert dense.dense_pairs(df.where("false"), "vec_id", "embedding", 0.85).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [95, 85, 80, 70, 55])
+def test_fuzzy_candidates_lose_nothing(spark, threshold):
+    """Every pair that reaches the threshold is a candidate, by ratio and by part; candidates are fewer than all pairs."""
+    rnd = random.Random(threshold)
+    word = lambda a, b: "".join(rnd.choice("abcdefghij ") for _ in range(rnd.randrange(a, b)))
+    ours = {word(1, 12) for _ in range(40)} | {"abc", "é", "aaaa"}
+    theirs = {word(1, 30) for _ in range(60)} | {"xx", "aaaaaaab"}
+    for w in list(ours)[:25]:
+        own = list(w)
+        own[rnd.randrange(len(own))] = rnd.choice(["", "q", "ab"])
+        theirs |= {"".join(own), word(0, 8) + "".join(own) + word(0, 8)}
+    theirs -= {""}
+    a, b = spark.createDataFrame([(w,) for w in ours], "w string"), spark.createDataFrame([(v,) for v in theirs], "v string")
+    for near_of, score in ((M._near_texts, fuzzy.ratio), (M._near_parts, fuzzy.partial_ratio)):
+        got = {(r["w"], r["v"]) for r in near_of(a, "w", b, "v", threshold).collect()}
+        assert {(w, v) for w in ours for v in theirs if score(w, v) >= threshold} <= got
+        assert threshold < 80 or len(got) < 0.6 * len(ours) * len(theirs)
+
+
+def test_watch_list_as_a_table(spark):
+    watch = [(1, "Acme Corp", "acme.example", "acme, ac"), (2, "ab", None, "globex"), (3, " Initech ", "", "printer,, red stapler"), (4, "ab", "globex.test", None), (5, "Hooli", None, "hool,hooli xyz")]
+    victims = [(1, "corp acme", None), (2, "The Acne Corporation", "x"), (3, None, "acme.exampl"), (4, "globex", "globex.tests"), (5, "INITECH inc", "initech"), (6, "a red stapler firm", None), (7, "", ""), (1, "corp acme", None), (8, "the hooli group", None), (9, "  hooli", "ab")]
+    w = spark.createDataFrame(watch, "watch_id int, name string, domain string, keywords string")
+    v = spark.createDataFrame(victims, "id long, name string, domain string")
+    for threshold in (85, 70, 60):
+        want = []
+        for i, n, d, k in watch:
+            for r, vn, vd in victims:
+                words = [x.strip().lower() for x in (k or "").split(",") if x.strip()]
+                m = fuzzy.match_label(n.lower().strip(), (d or "").lower().strip() or None, words, vn, vd, threshold)
+                want += [(i, r, m)] if m else []
+        got = [tuple(r) for r in M.watch_fuzzy(v, "id", "name", "domain", w, threshold).collect()]
+        assert sorted(got) == sorted(want) and len(want) > 5
