@@ -49,23 +49,23 @@ def watch_fuzzy(victims: DataFrame, row_id: str, name: str, domain: str, watch:
     match nothing, and names under three letters have no match by name or keyword. Both sides are tables: distinct texts meet by the letters that they must share
     (:func:`_near_texts`, :func:`_near_parts`), and only those pairs are scored.
     """
-    known = watch.select("watch_id", *[fuzzy.text_column("tidy", F.coalesce(c, F.lit(""))).alias(c) for c in ("name", "domain")], "keywords")
+    known = written(watch.select("watch_id", *[fuzzy.text_column("tidy", F.coalesce(c, F.lit(""))).alias(c) for c in ("name", "domain")], fuzzy.text_column("sorted_words", F.coalesce("name", F.lit(""))).alias("ws"), "keywords"), "fuzzy-watch")
     keys = F.posexplode(F.transform(F.split(F.coalesce("keywords", F.lit("")), ","), F.trim)).alias("pos", "raw")
     words = known.where("length(name) >= 3").select("watch_id", keys).where("trim(raw) <> ''").select("watch_id", "pos", fuzzy.text_column("tidy", F.col("raw")).alias("w")).where("length(w) >= 3")
     distinct = victims.select(F.col(name).alias("_n"), F.col(domain).alias("_d")).distinct()
-    distinct = written(distinct.select("_n", "_d", *[fuzzy.text_column("tidy", F.coalesce(c, F.lit(""))).alias(v) for c, v in (("_n", "vn"), ("_d", "vd"))]), "fuzzy-victims")
+    texts = [fuzzy.text_column(kind, F.coalesce(c, F.lit(""))).alias(v) for kind, c, v in (("tidy", "_n", "vn"), ("tidy", "_d", "vd"), ("sorted_words", "_n", "vs"))]
+    distinct = written(distinct.select("_n", "_d", *texts), "fuzzy-victims")
     long_names = distinct.where("length(vn) >= 3")
-    sort = lambda df, c: df.withColumn("w" if c == "name" else "v", fuzzy.text_column("sorted_words", F.col(c)))
     sides = (
         ("fuzzy_domain", "ratio", known.where("length(domain) >= 3").select("watch_id", F.lit(0).alias("pos"), F.col("domain").alias("w")), distinct.where("length(vd) >= 3").withColumn("v", F.col("vd")), _near_texts),
-        ("fuzzy_name", "ratio", sort(known.where("length(name) >= 3"), "name").select("watch_id", F.lit(0).alias("pos"), "w"), sort(long_names, "vn"), _near_texts),
+        ("fuzzy_name", "ratio", known.where("length(name) >= 3").select("watch_id", F.lit(0).alias("pos"), F.col("ws").alias("w")), long_names.withColumn("v", F.col("vs")), _near_texts),
         ("fuzzy_keyword", "partial_ratio", words, long_names.withColumn("v", F.col("vn")), _near_parts),
     )
     found = None
     for rank, (label, kind, ours, theirs, near) in enumerate(sides):
-        ours, theirs = written(ours, "fuzzy-watch"), written(theirs.select("_n", "_d", "v"), "fuzzy-texts")
+        theirs = theirs.select("_n", "_d", "v")
         some = lambda df, c: df.select(c).where(F.col(c) != "").distinct()
-        pairs = written(near(some(ours, "w"), "w", some(theirs, "v"), "v", threshold), "fuzzy-near")
+        pairs = near(some(ours, "w"), "w", some(theirs, "v"), "v", threshold)
         scored = pairs.withColumn("score", fuzzy.ratio_column(kind, F.col("w"), F.col("v"))).where(F.col("score") >= threshold)
         hit = ours.join(scored, "w").join(theirs, "v").select("watch_id", "_n", "_d", F.struct(F.lit(rank).alias("rank"), "pos", F.concat(F.lit(f"{label}:"), "score").alias("match")).alias("m"))
         found = hit if found is None else found.unionByName(hit)
@@ -74,12 +74,17 @@ def watch_fuzzy(victims: DataFrame, row_id: str, name: str, domain: str, watch:
     return joined.select("watch_id", row_id, "m.match")
 
 
+def _numbered(texts: DataFrame, text: str, width: int, mark: str) -> DataFrame:
+    """``text, pair``: runs of ``width`` neighbouring letters with the number of their occurrence; a shorter text is one run."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - (width - 1), F.lit(1)))
+    runs = F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(width)))
+    nth = lambda x, i: F.concat_ws(mark, x, F.size(F.filter(F.slice(F.col("_runs"), F.lit(1), i + 1), lambda y: y == x)))
+    return texts.select(text, runs.alias("_runs")).select(text, F.explode(F.transform("_runs", nth)).alias("pair"))
+
+
 def _letter_pairs(texts: DataFrame, text: str) -> DataFrame:
     """``text, pair``: neighbouring letters with the number of their occurrence; a single letter stands for itself."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
-    cut = texts.select(text, F.explode(F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(2)))).alias("pair"))
-    counted = cut.groupBy(text, "pair").agg(F.count(F.lit(1)).alias("_n"))
-    return counted.select(text, F.explode(F.sequence(F.lit(1), "_n")).alias("_k"), "pair").select(text, F.concat_ws("#", "pair", "_k").alias("pair"))
+    return _numbered(texts, text, 2, "#")
 
 
 def _leading_pairs(pairs: DataFrame, text: str, frequency: DataFrame, share: float, reach: float) -> DataFrame:
@@ -96,8 +101,7 @@ def _leading_pairs(pairs: DataFrame, text: str, frequency: DataFrame, share: flo
 
 def _letters(texts: DataFrame, text: str) -> DataFrame:
     """``text, pair``: single letters with the number of their occurrence."""
-    counted = texts.select(text, F.explode(F.split(F.col(text), "")).alias("pair")).where("pair <> ''").groupBy(text, "pair").agg(F.count(F.lit(1)).alias("_n"))
-    return counted.select(text, F.explode(F.sequence(F.lit(1), "_n")).alias("_k"), "pair").select(text, F.concat_ws("'", "pair", "_k").alias("pair"))
+    return _numbered(texts, text, 1, "'")
 
 
 def _near_parts(names: DataFrame, name: str, others: DataFrame, other: str, threshold: int, longest: float = 1.0) -> DataFrame:
@@ -111,7 +115,7 @@ def _near_parts(names: DataFrame, name: str, others: DataFrame, other: str, thre
     reach = 2 * 100 / (threshold - 0.5) - 1 + 1e-9
 
     def half(short: DataFrame, s: str, long: DataFrame, t: str, fits) -> DataFrame:
-        tokens = written(_letter_pairs(long, t).unionByName(_letters(long, t)), "fuzzy-tokens")
+        tokens = _letter_pairs(long, t).unionByName(_letters(long, t))
         frequency = tokens.groupBy("pair").agg(F.count(F.lit(1)).alias("_f"))
         m = F.length(s)
         least = F.ceil(m / F.lit(reach) - 1e-9)

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from cinderlake.functions import text as T
 from cinderlake.operators import updates as U
-from cinderlake.session import table
+from cinderlake.session import shared_folder, table
+from cinderlake.streaming import attempts as L
+from cinderlake.streaming import microbatch as B
+from cinderlake.streaming import outbox as O
 
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 
@@ -45,6 +48,39 @@ def login_backoff(spark, d):
     return errors.select("user_id", "failures", U.backoff(F.col("failures")).alias("wait"))
 
 
+def _login_attempts(rows):
+    return L.prepared(rows, F.col("user_id"), F.col("ts"), F.col("event_type") == "error", F.col("event_type") == "purchase", F.col("event_id"))
+
+
+def login_locks(spark, d):
+    """Locks after each attempt of a user: errors fail, purchases succeed."""
+    return _columns(L.locks_in_batch(_login_attempts(table(spark, d, "events"))))
+
+
+def login_lock_stream(spark, d):
+    """The same from a stream of the events' files, as its sink holds it in the end."""
+    stream = L.locks(_login_attempts(B.read_increments(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)), "1 hour")
+    out = shared_folder(spark, "locks")
+    with L.state_store(spark):
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark, "locks-checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return _columns(spark.read.parquet(out).where("what = 'attempt'"))
+
+
+def _columns(locks):
+    seconds = (F.unix_micros("until") - F.unix_micros("at")) / 1_000_000
+    return locks.select("key", F.col("ord").alias("event_id"), "fails", F.coalesce(seconds.cast("int"), F.lit(0)).alias("locked"))
+
+
+def notification_outbox(spark, d):
+    """Alerts for errors out of a stream of the events' files, as the committed files of the outbox hold them."""
+    stream = B.read_increments(spark, f"{d}/events.parquet*", table(spark, d, "events").schema).where("event_type = 'error'")
+    path = shared_folder(spark, "outbox")
+    alerts = stream.select(F.col("event_id").alias("alert_id"), F.concat(F.lit("user "), "user_id").alias("title"), F.col("ts").cast("timestamp").alias("at"))
+    O.send(alerts, path, shared_folder(spark, "outbox-checkpoint"), 50).awaitTermination()
+    return O.events(spark, path, "alert_id long, title string, at timestamp").select("alert_id", "title", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 def feed_tally(spark, d):
     n = F.coalesce(F.length("text"), F.lit(0))
     out = U.feed_tally(table(spark, d, "documents"), "source", n > 500, n > 100, n)
@@ -78,10 +114,13 @@ def context_windows(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    alerts_marked, alerts_actioned, control_flags, clipped_rows, aliases_appended, login_backoff, feed_tally, longest_text, neutral_text, link_targets, tolerant_json, context_windows,
+    alerts_marked, alerts_actioned, control_flags, clipped_rows, aliases_appended, login_backoff, login_locks, login_lock_stream, notification_outbox, feed_tally, longest_text, neutral_text, link_targets, tolerant_json, context_windows,
 )}
 
 _X = "CASE event_type WHEN 'view' THEN '[' || k || ',' || k || ']' WHEN 'click' THEN k WHEN 'error' THEN 'not json' ELSE props END"
+_LOCKS = """WITH a AS (SELECT user_id, event_id, ts, event_type = 'error' AS failed, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events WHERE event_type IN ('error', 'purchase')),
+f AS (SELECT user_id, event_id, failed, count(*) FILTER (failed) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS fails FROM a)
+SELECT CAST(user_id AS VARCHAR) AS key, event_id, CAST(fails AS INTEGER) AS fails, CAST(CASE WHEN failed AND fails >= 5 THEN least(900, 30 * pow(2, least(fails - 5, 20))) ELSE 0 END AS INTEGER) AS locked FROM f"""
 ORACLES = {
     "alerts_marked": "SELECT event_id, user_id, value > 50 OR user_id IN (1, 2, 3) AS seen FROM events",
     "alerts_actioned": """WITH e AS (SELECT event_id, value > 50 AS seen, CASE WHEN event_id >= 100 THEN CASE WHEN event_type <> 'view' THEN TIMESTAMP '2024-01-31' END WHEN event_type = 'view' THEN ts END AS a FROM events)
@@ -92,6 +131,9 @@ SELECT event_id, seen OR a IS NOT NULL AS seen, coalesce(strftime(a, '%Y-%m-%d')
 n AS (SELECT p_brand, string_split(p_name, ' ')[2] AS v FROM part WHERE p_size >= 20 GROUP BY 1, 2 HAVING count(DISTINCT p_type) >= 2), g AS (SELECT p_brand, list_sort(list(v)) AS b FROM n WHERE lower(v) <> 'ring' GROUP BY 1)
 SELECT p_brand, array_to_string(list_concat(a, list_filter(coalesce(b, []), lambda x: NOT list_contains(a, x))), ',') AS aliases, array_to_string(a, ',') AS reverted FROM c LEFT JOIN g USING (p_brand)""",
     "login_backoff": "WITH e AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1) SELECT user_id, failures, CAST(CASE WHEN failures < 5 THEN 0 ELSE least(900, 30 * pow(2, least(failures - 5, 20))) END AS INTEGER) AS wait FROM e",
+    "login_locks": _LOCKS,
+    "login_lock_stream": _LOCKS,
+    "notification_outbox": "SELECT event_id AS alert_id, 'user ' || user_id AS title, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_type = 'error'",
     "feed_tally": """SELECT source, count(*) FILTER (n > 500) AS ok, count(*) FILTER (n <= 100) AS refused, count(*) FILTER (n > 100 AND n <= 500) AS deferred, round(avg(n) FILTER (n > 500), 4) AS mean_chars FROM (SELECT source, coalesce(length(text), 0) AS n FROM documents) GROUP BY 1""",
     "longest_text": "WITH s AS (SELECT source, arg_min(text, doc_id) AS o, arg_max(text, doc_id) AS n FROM documents GROUP BY 1) SELECT source, sha256(CASE WHEN length(n) > length(o) THEN n ELSE o END) AS kept FROM s",
     "link_targets": "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN '' ELSE url END AS target FROM pages",
