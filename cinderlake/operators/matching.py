@@ -11,6 +11,8 @@ from cinderlake.functions.text import host, normal_name
 from cinderlake.operators.terms import terms_found
 from cinderlake.session import written
 
+#: Terms and entries of a list that are held against rows one by one, at most.
+FEW_TERMS = 32
 #: Domains that host other people's things, in the order in which they are tried.
 PLATFORM_DOMAINS = (
     "microsoft.com", "windows.net", "azureedge.net", "apple.com", "google.com", "googleapis.com", "github.com", "githubusercontent.com", "gitlab.com", "supabase.co", "amazonaws.com",
@@ -37,8 +39,18 @@ def match_two_tier(left: DataFrame, left_id: str, addresses: str, names: str, by
 
 
 def watch_contains(rows: DataFrame, row_id: str, text: Column, watch: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``watch_id, row_id`` where a text has a watched term (``watch_id, term``); known pairs are left out."""
-    out = terms_found(rows, row_id, text, watch, "watch_id", "term")
+    """``watch_id, row_id`` where a text has a watched term (``watch_id, term``); known pairs are left out.
+
+    Up to ``FEW_TERMS`` terms are looked for one by one without leaving the JVM, more by one automaton.
+    """
+    few = [(r["watch_id"], r["term"]) for r in watch.where("term IS NOT NULL").distinct().limit(FEW_TERMS + 1).collect()]
+    if few and len(few) <= FEW_TERMS:
+        terms = F.array(*[F.struct(F.lit(i).cast(watch.schema["watch_id"].dataType).alias("watch_id"), F.lower(F.lit(t)).alias("term")) for i, t in few])
+        low = rows.select(row_id, F.lower(text).alias("_t"))
+        hits = low.select(row_id, F.explode(F.array_distinct(F.filter(terms, lambda w: F.contains(F.col("_t"), w["term"])))).alias("w"))
+        out = hits.select(F.col("w.watch_id").alias("watch_id"), row_id)
+    else:
+        out = terms_found(rows, row_id, text, watch, "watch_id", "term")
     return out if known is None else out.join(known, ["watch_id", row_id], "left_anti")
 
 
@@ -46,9 +58,13 @@ def watch_fuzzy(victims: DataFrame, row_id: str, name: str, domain: str, watch:
     """``watch_id, row_id, match``: fuzzy matches of a watch list (``watch_id, name, domain, keywords``, keywords between commas).
 
     The first of domain, name and keywords in their order that reaches the threshold is the match; domains and keywords under three letters
-    match nothing, and names under three letters have no match by name or keyword. Both sides are tables: distinct texts meet by the letters that they must share
+    match nothing, and names under three letters have no match by name or keyword. Each distinct (name, domain) is looked at once. A list of up to ``FEW_TERMS``
+    entries is held against them in blocks; of a longer one, distinct texts meet by the letters that they must share
     (:func:`_near_texts`, :func:`_near_parts`), and only those pairs are scored.
     """
+    few = watch.limit(FEW_TERMS + 1).collect()
+    if len(few) <= FEW_TERMS:
+        return _watch_few(victims, row_id, name, domain, few, threshold)
     known = written(watch.select("watch_id", *[fuzzy.text_column("tidy", F.coalesce(c, F.lit(""))).alias(c) for c in ("name", "domain")], fuzzy.text_column("sorted_words", F.coalesce("name", F.lit(""))).alias("ws"), "keywords"), "fuzzy-watch")
     keys = F.posexplode(F.transform(F.split(F.coalesce("keywords", F.lit("")), ","), F.trim)).alias("pos", "raw")
     words = known.where("length(name) >= 3").select("watch_id", keys).where("trim(raw) <> ''").select("watch_id", "pos", fuzzy.text_column("tidy", F.col("raw")).alias("w")).where("length(w) >= 3")
@@ -74,6 +90,20 @@ def watch_fuzzy(victims: DataFrame, row_id: str, name: str, domain: str, watch:
     return joined.select("watch_id", row_id, "m.match")
 
 
+def _watch_few(victims: DataFrame, row_id: str, name: str, domain: str, watch: list, threshold: int) -> DataFrame:
+    tidy = lambda s: (s or "").lower().strip()
+    held = [(w["watch_id"], tidy(w["name"]), tidy(w["domain"]) or None, [tidy(k) for k in (w["keywords"] or "").split(",") if k.strip()]) for w in watch]
+
+    def run(names: pd.Series, domains: pd.Series) -> pd.Series:
+        found = [[{"watch_id": i, "match": m} for i, wn, wd, wk in held if (m := fuzzy.match_label(wn, wd, wk, n, d, threshold))] for n, d in zip(names, domains)]
+        return pd.Series(found)
+
+    distinct = victims.select(F.col(name).alias("_n"), F.col(domain).alias("_d")).distinct()
+    hits = distinct.select("_n", "_d", F.explode(F.pandas_udf(run, "array<struct<watch_id:int,match:string>>")("_n", "_d")).alias("m"))
+    joined = victims.join(hits, F.col(name).eqNullSafe(F.col("_n")) & F.col(domain).eqNullSafe(F.col("_d")))
+    return joined.select("m.watch_id", row_id, "m.match")
+
+
 def _numbered(texts: DataFrame, text: str, width: int, mark: str) -> DataFrame:
     """``text, pair``: runs of ``width`` neighbouring letters with the number of their occurrence; a shorter text is one run."""
     at = F.sequence(F.lit(1), F.greatest(F.length(text) - (width - 1), F.lit(1)))

@@ -134,12 +134,14 @@ def in_block_pairs(rows: DataFrame, blocks: int) -> DataFrame:
     return own.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
 
 
-def _alike(packed: DataFrame, block: int, topics: int = 16) -> tuple[DataFrame, int]:
+def _alike(packed: DataFrame, block: int, most_topics: int = 64) -> tuple[DataFrame, int]:
     """``packed`` (id, terms, weights) with a block ``own``, and the number of blocks: documents of one topic share blocks.
 
-    A document's topic is the one of ``topics`` documents that it is most like; those are taken by a hash of their ids. They decide the work only.
+    A document's topic is the one of as many documents as there are blocks (``most_topics`` at most) that it is most like; those are taken by a hash of
+    their ids. They decide the work only.
     """
     spark = packed.sparkSession
+    topics = max(1, min(most_topics, packed.count() // block))
     some = packed.orderBy(F.xxhash64("id")).limit(topics).collect()
     pivots = spark.sparkContext.broadcast([(r["terms"], r["weights"]) for r in some])
 

@@ -80,6 +80,16 @@ def test_terms(spark, most_bytes):
     assert terms.terms_found(rows, "doc_id", F.col("text"), known.where("false"), "term_id", "term").count() == 0
 
 
+def test_few_terms_are_the_same(spark, monkeypatch):
+    """Both ways of looking for terms agree, letters without case and empty terms included."""
+    known = spark.createDataFrame([(1, "he"), (2, "SHE"), (3, ""), (4, None), (5, "àé"), (1, "he"), (1, "hers"), (6, "İ")], "watch_id int, term string")
+    rows = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    found = lambda: sorted(str(tuple(r)) for r in M.watch_contains(rows, "doc_id", F.col("text"), known).distinct().collect())
+    one = found()
+    monkeypatch.setattr(M, "FEW_TERMS", 0)
+    assert one == found() and len(one) > 8
+
+
 def test_fifty_thousand_terms(spark):
     """One pass over the texts, whatever the number of terms."""
     words = [(k, f"w{k * 7919 % 1_000_003}q") for k in range(50_000)]
@@ -216,7 +226,9 @@ def test_fuzzy_candidates_lose_nothing(spark, threshold):
         assert threshold < 80 or len(got) < 0.6 * len(ours) * len(theirs)
 
 
-def test_watch_list_as_a_table(spark):
+@pytest.mark.parametrize("few", [0, 32])
+def test_watch_list_as_a_table(spark, few, monkeypatch):
+    monkeypatch.setattr(M, "FEW_TERMS", few)
     watch = [(1, "Acme Corp", "acme.example", "acme, ac"), (2, "ab", None, "globex"), (3, " Initech ", "", "printer,, red stapler"), (4, "ab", "globex.test", None), (5, "Hooli", None, "hool,hooli xyz")]
     victims = [(1, "corp acme", None), (2, "The Acne Corporation", "x"), (3, None, "acme.exampl"), (4, "globex", "globex.tests"), (5, "INITECH inc", "initech"), (6, "a red stapler firm", None), (7, "", ""), (1, "corp acme", None), (8, "the hooli group", None), (9, "  hooli", "ab")]
     w = spark.createDataFrame(watch, "watch_id int, name string, domain string, keywords string")
