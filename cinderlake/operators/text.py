@@ -134,16 +134,19 @@ def in_block_pairs(rows: DataFrame, blocks: int) -> DataFrame:
     return own.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
 
 
-def _alike(packed: DataFrame, block: int, most_topics: int = 64) -> tuple[DataFrame, int]:
+def _alike(packed: DataFrame, weights: DataFrame, documents: int, block: int, most_topics: int = 64) -> tuple[DataFrame, int]:
     """``packed`` (id, terms, weights) with a block ``own``, and the number of blocks: documents of one topic share blocks.
 
     A document's topic is the one of as many documents as there are blocks (``most_topics`` at most) that it is most like; those are taken by a hash of
     their ids. They decide the work only.
     """
     spark = packed.sparkSession
-    topics = max(1, min(most_topics, packed.count() // block))
-    some = packed.orderBy(F.xxhash64("id")).limit(topics).collect()
-    pivots = spark.sparkContext.broadcast([(r["terms"], r["weights"]) for r in some])
+    topics = max(1, min(most_topics, documents // block))
+    ids = [r["id"] for r in weights.select("id").distinct().orderBy(F.xxhash64("id")).limit(topics).collect()]
+    some: dict = {}
+    for r in weights.where(F.col("id").isin(*ids)).select("id", F.xxhash64("term").alias("t"), F.col("weight").cast("float").alias("w")).collect() if ids else ():
+        some.setdefault(r["id"], []).append((r["t"], r["w"]))
+    pivots = spark.sparkContext.broadcast([tuple(zip(*some[i])) for i in ids])
 
     def settle(batches):
         import numpy as np
@@ -193,13 +196,12 @@ def tfidf_pairs(weights: DataFrame, threshold: float, block: int = 1500, dense:
     """
     if "df" not in weights.columns:
         weights = weights.join(weights.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").withColumn("n", F.lit(None).cast("long"))
-    index = written(leading(weights, threshold), "tfidf-leading")
-    documents = weights.select("id").distinct().count()
-    met = index.groupBy("term").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
-    if met <= most_meetings * documents * documents / 2:
+    share, documents = _shared(weights, threshold)
+    if share <= most_meetings:
+        index = written(leading(weights, threshold), "tfidf-leading")
         pairs = index.select(F.col("id").alias("a"), "term").join(index.select(F.col("id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
     else:
-        pairs = block_products(weights, threshold, block, dense).where("a IS NOT NULL").select("a", "b")
+        pairs = block_products(weights, threshold, block, dense, documents).where("a IS NOT NULL").select("a", "b")
     pairs = written(pairs, "tfidf-candidates")
     few = F.col("n").isNull() | (F.col("df") <= F.greatest(F.lit(2), F.expr("n div 2")))
     wa = weights.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"), few.alias("few"))
@@ -208,11 +210,25 @@ def tfidf_pairs(weights: DataFrame, threshold: float, block: int = 1500, dense:
     return dot.where((F.col("cosine") >= threshold) & F.col("few")).drop("few")
 
 
-def block_products(weights: DataFrame, threshold: float, block: int, dense: int) -> DataFrame:
+def _shared(weights: DataFrame, threshold: float, some: int = 8, least: int = 1000) -> tuple[float, int]:
+    """How many pairs of documents share a leading term, as a share of all pairs (a term more often counts more), and the number of documents.
+
+    Of more than ``least`` documents one in ``some`` is looked at, by a hash of the id: the share decides how pairs are found, not which.
+    """
+    documents = weights.select("id").distinct().count()
+    part = weights.where(F.pmod(F.xxhash64("id"), F.lit(some)) == 0) if documents > least else weights
+    index = leading(part, threshold)
+    met = index.groupBy("term").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+    seen = documents / some if documents > least else documents
+    return met / max(seen * seen / 2, 1), documents
+
+
+def block_products(weights: DataFrame, threshold: float, block: int, dense: int, documents: int | None = None) -> DataFrame:
     """``a, b`` of pairs within rounding of the threshold, and rows without ids whose ``n`` is the number of pairs that a task multiplied."""
+    documents = weights.select("id").distinct().count() if documents is None else documents
     packed = weights.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("weight").cast("float").alias("w"))).alias("v"))
-    packed = written(packed.select(F.col("id").cast("long").alias("id"), F.col("v.t").alias("terms"), F.col("v.w").alias("weights")), "tfidf-vectors")
-    alike, blocks = _alike(packed, block)
+    packed = packed.select(F.col("id").cast("long").alias("id"), F.col("v.t").alias("terms"), F.col("v.w").alias("weights"))
+    alike, blocks = _alike(packed, weights, documents, block)
     return in_block_pairs(alike, max(1, blocks)).groupBy("x", "y").applyInPandas(lambda part: _products(part, threshold - 1e-4, dense), "a long, b long, n long")
 
 
