@@ -31,8 +31,8 @@ from cinderlake.llm.tries import Trie
 from cinderlake.session import written
 
 FILTERS = "ABCDE"
-#: Bytes of text in a range and in a task's own trie; cuts between ranges, at most; characters of the first prefixes.
-CAPACITY, OWN_BYTES, MOST_CUTS, FIRST_PREFIX = 32_000_000, 16_000_000, 100_000, 2
+#: Bytes of text in a range and in a task's own trie; cuts between ranges, at most; characters of the first prefixes; rows taken out of a batch at once.
+CAPACITY, OWN_BYTES, MOST_CUTS, FIRST_PREFIX, ROWS_AT_ONCE = 32_000_000, 8_000_000, 100_000, 2, 200
 UPPER, MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 #: How a row's id stands to the smallest of its text.
 LEAST, LATER, NO_ID = 0, 1, 2
@@ -57,6 +57,12 @@ def merged(one: list, two: list) -> list:
     return small
 
 
+def _values(batch) -> Iterator[tuple]:
+    """Rows of an Arrow batch as tuples, of few at a time as Python values."""
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        yield from zip(*[c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns], strict=True)
+
+
 def prefix_cuts(texts: DataFrame, capacity: int = CAPACITY) -> list[str]:
     """Where ranges of texts begin, ascending, for a table with the column ``text``.
 
@@ -120,7 +126,7 @@ def masks(documents: DataFrame, labels: DataFrame, capacity: int = CAPACITY) ->
 
         held, size, trie = [], [0], Trie(merged)
         for batch in batches:
-            for doc, text, part, label in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for doc, text, part, label in _values(batch):
                 own = text.encode("utf-8", "surrogatepass")
                 trie.insert(own, [failures(own), doc, {(NO_ID if doc is None else LEAST, part, label): 1}])
                 if trie.bytes > OWN_BYTES:
@@ -139,7 +145,7 @@ def masks(documents: DataFrame, labels: DataFrame, capacity: int = CAPACITY) ->
 
         trie, now, total = Trie(merged), None, {}
         for batch in batches:
-            for number, text, mask, least, *counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for number, text, mask, least, *counts in _values(batch):
                 if number != now:
                     close()
                     trie, now = Trie(merged), number
