@@ -134,11 +134,19 @@ def synonym_pairs(spark, d):
     return A.synonyms(actors, known)
 
 
-def regrade_audit(spark, d):
+def _regraded(spark, d):
     sources = table(spark, d, "supplier").select(F.col("s_name").alias("name"), _pick("ABCDEF", F.col("s_suppkey")).alias("grade"))
     grades = table(spark, d, "supplier").where("s_nationkey < 12").select(F.col("s_name").alias("name"), _pick("AABC", F.col("s_suppkey")).alias("grade"), F.lit("analyst").alias("by"))
-    _, audit = A.regraded(sources, grades, "name", F.lit("2024-01-31"))
-    return audit
+    return A.regraded(sources, grades, "name", F.lit("2024-01-31"))
+
+
+def regrade_audit(spark, d):
+    return _regraded(spark, d)[1]
+
+
+def source_grades(spark, d):
+    """The grades that stand after the change that :func:`regrade_audit` tells of."""
+    return _regraded(spark, d)[0]
 
 
 def tlp_overrides(spark, d):
@@ -216,7 +224,7 @@ def contacts_appended(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     style_breaches, style_report, style_clean, style_worst, article_progress, attempt_ladder, ingest_phases, named_actors, grounded_actors, projected_columns, promoted_infrastructure, payload_corroboration, synonym_pairs,
-    regrade_audit, tlp_overrides, report_texts, cluster_texts, encoded_articles, role_checks, last_admin, page_filtered, newest_article, public_urls, location_changes, contacts_appended,
+    regrade_audit, source_grades, tlp_overrides, report_texts, cluster_texts, encoded_articles, role_checks, last_admin, page_filtered, newest_article, public_urls, location_changes, contacts_appended,
 )}
 
 _STATES = "[" + ", ".join(repr(s) for s in A.STATES) + "]"
@@ -246,6 +254,7 @@ coalesce(CASE WHEN doc_id % 5 = 0 THEN source WHEN doc_id % 2 = 1 THEN 'act' END
     "synonym_pairs": """WITH k AS (SELECT DISTINCT lower(p_name) AS key, p_name AS target FROM part UNION SELECT p_name || ' 0', p_name FROM part WHERE p_partkey % 3 = 0 AND p_size > 25)
 SELECT DISTINCT p_name || ' ' || p_partkey % 3 AS name, target FROM part JOIN k ON key = lower(p_name) WHERE p_size % 2 = 0 AND p_name || ' ' || p_partkey % 3 NOT IN (SELECT key FROM k)""",
     "regrade_audit": f"""SELECT s_name AS name, {_PICKED('ABCDEF', 's_suppkey')} AS before, {_PICKED('AABC', 's_suppkey')} AS after, 'analyst' AS by, '2024-01-31' AS at FROM supplier WHERE s_nationkey < 12 AND {_PICKED('ABCDEF', 's_suppkey')} <> {_PICKED('AABC', 's_suppkey')}""",
+    "source_grades": f"SELECT s_name AS name, CASE WHEN s_nationkey < 12 THEN {_PICKED('AABC', 's_suppkey')} ELSE {_PICKED('ABCDEF', 's_suppkey')} END AS grade FROM supplier",
     "tlp_overrides": "SELECT event_id AS audit_id, user_id AS article_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS nth FROM events WHERE event_type = 'error' QUALIFY nth <= 2",
     "report_texts": r"""WITH p AS (SELECT doc_id, doc_id % 7 <> 0 AS t, doc_id % 3 <> 0 AS j, doc_id % 2 <> 0 AS c, doc_id % 5 <> 0 AS s, doc_id % 4 <> 0 AS r, doc_id % 6 <> 0 AS k, doc_id % 8 <> 0 AS f, lang, source,
 CASE doc_id % 5 WHEN 0 THEN '- **' || source || '**, also known as Other Name (own list)' WHEN 1 THEN '- ' || source || ' — tool, not an actor (own list)' WHEN 2 THEN '- ' || source || ' — a cluster own list has not named' WHEN 3 THEN '- ' || source || ' — by its last word'

@@ -81,6 +81,31 @@ def notification_outbox(spark, d):
     return O.events(spark, path, "alert_id long, title string, at timestamp").select("alert_id", "title", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+def refanged_urls(spark, d):
+    """Addresses of pages written so that nobody follows them by mistake, and back."""
+    url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^http", "hxxp"), "://", "[:]//"), r"\.", F.lit("[.]"))
+    url = F.when(F.col("page_id") % 3 == 0, F.regexp_replace(url, r"\[\.\]", " ( DOT ) ")).otherwise(url)
+    pages = table(spark, d, "pages").select("page_id", F.regexp_replace(url, r" (\( DOT \)) ", "$1").alias("u"))
+    return pages.select("page_id", T.refang(F.concat(F.lit("\u200b"), "u")).alias("url"))
+
+
+def described_victims(spark, d):
+    """Paragraphs of a description, the addresses of its source lines, and links that are safe to show."""
+    text = F.concat(F.lit("First line<br>of  page "), "page_id", F.lit("<BR/>\n\nSource: "), "url", F.lit("\n  source: none\n\n\n last\twords "))
+    link = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("javascript:"), "url")).when(F.col("page_id") % 4 == 1, F.upper("url")).otherwise(F.concat(F.lit(" "), "url"))
+    pages = table(spark, d, "pages").select("page_id", text.alias("t"), link.alias("link"))
+    return pages.select("page_id", F.array_join(T.paragraphs(F.col("t")), "|").alias("paragraphs"), F.array_join(T.source_urls(F.col("t")), "|").alias("sources"), T.safe_url(F.col("link")).alias("link"))
+
+
+def parsed_times(spark, d):
+    """Times in the forms in which feeds write them, and some that are none."""
+    ts = F.col("ts").cast("timestamp")
+    at = lambda form: F.date_format(ts, form)
+    forms = (at("yyyy-MM-dd'T'HH:mm:ss'Z'"), F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")), at("yyyy-MM-dd HH:mm:ss"), at("yyyy-MM-dd"), F.lit("soon"))
+    text = F.get(F.array(*forms), (F.col("event_id") % len(forms)).cast("int"))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.date_format(T.timestamp(text), "yyyy-MM-dd HH:mm:ss"), F.lit("none")).alias("at"))
+
+
 def feed_tally(spark, d):
     n = F.coalesce(F.length("text"), F.lit(0))
     out = U.feed_tally(table(spark, d, "documents"), "source", n > 500, n > 100, n)
@@ -114,7 +139,7 @@ def context_windows(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    alerts_marked, alerts_actioned, control_flags, clipped_rows, aliases_appended, login_backoff, login_locks, login_lock_stream, notification_outbox, feed_tally, longest_text, neutral_text, link_targets, tolerant_json, context_windows,
+    alerts_marked, alerts_actioned, control_flags, clipped_rows, aliases_appended, login_backoff, login_locks, login_lock_stream, notification_outbox, refanged_urls, described_victims, parsed_times, feed_tally, longest_text, neutral_text, link_targets, tolerant_json, context_windows,
 )}
 
 _X = "CASE event_type WHEN 'view' THEN '[' || k || ',' || k || ']' WHEN 'click' THEN k WHEN 'error' THEN 'not json' ELSE props END"
@@ -133,6 +158,10 @@ SELECT p_brand, array_to_string(list_concat(a, list_filter(coalesce(b, []), lamb
     "login_backoff": "WITH e AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1) SELECT user_id, failures, CAST(CASE WHEN failures < 5 THEN 0 ELSE least(900, 30 * pow(2, least(failures - 5, 20))) END AS INTEGER) AS wait FROM e",
     "login_locks": _LOCKS,
     "login_lock_stream": _LOCKS,
+    "refanged_urls": "SELECT page_id, url FROM pages",
+    "described_victims": """SELECT page_id, 'First line of page ' || page_id || '|last words' AS paragraphs, url AS sources,
+CASE page_id % 4 WHEN 0 THEN '#' WHEN 1 THEN upper(url) ELSE url END AS link FROM pages""",
+    "parsed_times": "SELECT event_id, CASE event_id % 5 WHEN 4 THEN 'none' WHEN 3 THEN strftime(ts, '%Y-%m-%d 00:00:00') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events",
     "notification_outbox": "SELECT event_id AS alert_id, 'user ' || user_id AS title, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_type = 'error'",
     "feed_tally": """SELECT source, count(*) FILTER (n > 500) AS ok, count(*) FILTER (n <= 100) AS refused, count(*) FILTER (n > 100 AND n <= 500) AS deferred, round(avg(n) FILTER (n > 500), 4) AS mean_chars FROM (SELECT source, coalesce(length(text), 0) AS n FROM documents) GROUP BY 1""",
     "longest_text": "WITH s AS (SELECT source, arg_min(text, doc_id) AS o, arg_max(text, doc_id) AS n FROM documents GROUP BY 1) SELECT source, sha256(CASE WHEN length(n) > length(o) THEN n ELSE o END) AS kept FROM s",
