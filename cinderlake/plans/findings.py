@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from cinderlake.functions.indicators import anchor
 from cinderlake.operators import contracts as C
 from cinderlake.operators import extraction as X
+from cinderlake.operators import guards as G
 from cinderlake.operators import scoring as S
+from cinderlake.operators import shapes as H
 from cinderlake.session import shared_folder, table
 from cinderlake.streaming import microbatch as B
 
@@ -112,6 +114,26 @@ def fingerprint_props(spark, d):
     return C.dataset_structure(table(spark, d, "events"), ["event_type"], "props", "event_id").select("event_type", "structure", "n")
 
 
+def merged_shapes(spark, d):
+    """Nodes of the merged structure of nested payloads by priority: free keys become a map, optional ones stay."""
+    o = table(spark, d, "orders")
+    item = F.struct(F.col("o_orderstatus").alias("s"), F.when(F.col("o_orderkey") % 2 == 0, 1).alias("v"))
+    body = F.struct(F.col("o_orderkey").alias("id"), F.create_map(F.concat(F.lit("c"), "o_orderkey"), F.struct(F.col("o_totalprice").alias("p"))).alias("by"), F.array(item).alias("tags"), F.when(F.col("o_custkey") % 2 == 0, F.lit("x")).otherwise(F.lit("")).alias("note"))
+    shapes = H.shape_rows(o.select("o_orderpriority", F.to_json(body).alias("body")), ["o_orderpriority"], "body")
+    return shapes.select("o_orderpriority", H.path_text(F.col("path")).alias("path"), "kind", "n")
+
+
+def structure_checks(spark, d):
+    """Samples of the second half of a month against what the first half's structures are stored as; views have none stored."""
+    e = table(spark, d, "events")
+    late = F.col("ts") >= "2024-01-16"
+    props = F.when(late & (F.col("event_type") == "click"), F.replace("props", F.lit('"k"'), F.lit('"q"'))).when(late & (F.col("event_type") == "error"), F.regexp_replace("props", r": (\d+)", r': "$1"')).otherwise(F.col("props"))
+    shapes = lambda rows: H.shape_texts(H.shape_rows(rows.withColumn("props", props), ["event_type"], "props"), ["event_type"])
+    stored = G.load_baseline(spark, G.save_baseline(shapes(e.where(~late & (F.col("event_type") != "view"))), "event_type", "structure"))
+    found = H.check(shapes(e.where(late)), stored.withColumnRenamed("name", "event_type"), "event_type", "structure")
+    return found.select("event_type", "status", F.array_join("problems", ",").alias("problems"))
+
+
 def structure_health(spark, d):
     counts = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     return C.health(counts, "n", 2000, 1000)
@@ -134,7 +156,7 @@ def backfill_years(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     ioc_scan, ioc_ipv4, ioc_reconcile, quote_grounding, ttp_ladder, claim_quality, composite_gate, gate_report, gate_reasons, spend_guard, tlp_levels, routing, age_bands, revert_audit,
-    fingerprint_props, structure_health, microbatch_alerts, backfill_years,
+    fingerprint_props, merged_shapes, structure_checks, structure_health, microbatch_alerts, backfill_years,
 )}
 
 _L = "(SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1)"
@@ -166,6 +188,11 @@ WHEN n % 2 = 0 THEN 'mini' ELSE 'maxi' END AS choice, count(*) AS n FROM d GROUP
     "age_bands": """WITH l AS (SELECT user_id, epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts)) AS age FROM events GROUP BY 1) SELECT user_id, CASE WHEN age < 86400000000 THEN 'ok' WHEN age < 172800000000 THEN 'degraded' ELSE 'down' END AS status FROM l""",
     "revert_audit": "SELECT user_id, event_type, arg_min(value, event_id) AS value FROM events GROUP BY 1, 2",
     "fingerprint_props": r"""SELECT event_type, '{' || string_agg(DISTINCT '"' || k || '": "number"', ', ') || '}' AS structure, count(*) AS n FROM (SELECT event_type, unnest(regexp_extract_all(props, '"(\w+)":', 1)) AS k FROM events) GROUP BY event_type""",
+    "merged_shapes": """WITH o AS (SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS even, count(*) FILTER (o_custkey % 2 = 0) AS noted FROM orders GROUP BY 1),
+k AS (SELECT unnest(['$', '$.id', '$.by', '$.by.*', '$.by.*.p', '$.note', '$.tags', '$.tags[]', '$.tags[].s', '$.tags[].v']) AS path, unnest(['dict', 'number', 'dict', 'dict', 'number', 'str', 'list', 'dict', 'str', 'number']) AS kind)
+SELECT o_orderpriority, path, kind, CAST(CASE path WHEN '$.tags[].v' THEN even ELSE n END AS BIGINT) AS n FROM o, k WHERE even > 0 OR path <> '$.tags[].v'""",
+    "structure_checks": """SELECT event_type, CASE event_type WHEN 'view' THEN 'no-baseline' WHEN 'click' THEN 'drift' WHEN 'error' THEN 'drift' ELSE 'alive+match' END AS status,
+CASE event_type WHEN 'click' THEN '$.k removed,$.q added' WHEN 'error' THEN '$.k changed' ELSE '' END AS problems FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1""",
     "structure_health": "SELECT event_type, count(*) AS n, CASE WHEN count(*) >= 2000 THEN 'ok' WHEN count(*) >= 1000 THEN 'degraded' ELSE 'down' END AS status FROM events GROUP BY 1",
     "microbatch_alerts": "SELECT event_id, user_id FROM events WHERE event_type = 'error' AND value > 100",
     "backfill_years": "SELECT CAST(y AS INTEGER) AS year FROM range(1990, 2006) t(y) WHERE y NOT IN (SELECT year(o_orderdate) FROM orders WHERE o_orderstatus = 'P' AND month(o_orderdate) <= 6)",
