@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cinderlake.functions import tables
 from cinderlake.operators import articles as A
 from cinderlake.operators import guards as G
 from cinderlake.operators import style as S
@@ -42,6 +43,13 @@ def style_clean(spark, d):
     return S.clean_share(rows, S.checked(rows, ["doc_id", "source"], "prose", advice_allowed=False), ["doc_id", "source"], ["source"]).withColumn("share", F.round("share", 6))
 
 
+def style_rows(spark, d):
+    """Breaches by a table function in SQL, row by row."""
+    tables.register(spark)
+    rows = table(spark, d, "documents").select("doc_id", "source", _pick(PHRASES, F.col("doc_id")).alias("prose"))
+    return spark.sql("SELECT source, count(*) AS breaches, count(DISTINCT doc_id) AS texts FROM {rows} r, LATERAL breaches(r.prose, false) b GROUP BY source", rows=rows)
+
+
 def style_worst(spark, d):
     return S.worst(S.checked(_prose(spark, d), ["doc_id", "source"], "prose", advice_allowed=False), ["doc_id"], ["source"], 3)
 
@@ -223,7 +231,7 @@ def contacts_appended(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    style_breaches, style_report, style_clean, style_worst, article_progress, attempt_ladder, ingest_phases, named_actors, grounded_actors, projected_columns, promoted_infrastructure, payload_corroboration, synonym_pairs,
+    style_breaches, style_report, style_clean, style_rows, style_worst, article_progress, attempt_ladder, ingest_phases, named_actors, grounded_actors, projected_columns, promoted_infrastructure, payload_corroboration, synonym_pairs,
     regrade_audit, source_grades, tlp_overrides, report_texts, cluster_texts, encoded_articles, role_checks, last_admin, page_filtered, newest_article, public_urls, location_changes, contacts_appended,
 )}
 
@@ -233,6 +241,7 @@ CASE WHEN o_custkey % 4 = 0 THEN 'wallet' || (o_custkey % 90) ELSE 'http://host'
 _PICKED = lambda values, c: "[" + ", ".join(repr(v) for v in values) + f"][({c}) % {len(values)} + 1]"
 ORACLES = {
     # breaches of each phrase, counted by hand
+    "style_rows": f"""WITH p AS (SELECT source, {_PICKED((2, 3, 3, 0, 2, 3, 2, 0), 'doc_id')} AS n FROM documents) SELECT source, CAST(sum(n) AS BIGINT) AS breaches, count(*) FILTER (n > 0) AS texts FROM p GROUP BY 1 HAVING sum(n) > 0""",
     "style_clean": f"""WITH p AS (SELECT source, {_PICKED((2, 3, 3, 0, 2, 3, 2, 0), 'doc_id')} AS n FROM documents)
 SELECT source, count(*) AS runs, count(*) FILTER (n = 0) AS clean, CAST(sum(n) AS BIGINT) AS breaches, round(count(*) FILTER (n = 0) / count(*), 6) AS share FROM p GROUP BY 1""",
     "article_progress": f"""WITH s AS (SELECT doc_id, text, i, {_STATES}[i + 1] AS state, CASE WHEN i >= doc_id % 9 THEN '' WHEN (doc_id + 3 * i) % 11 = 0 THEN {_PICKED(('staged', 'error', 'dropped', 'month cap'), 'doc_id')} ELSE 'ok' END AS status FROM documents, range(8) r(i)),

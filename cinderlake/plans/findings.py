@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cinderlake.functions import tables
 from cinderlake.functions.indicators import anchor
 from cinderlake.operators import contracts as C
 from cinderlake.operators import extraction as X
@@ -20,6 +21,14 @@ def ioc_scan(spark, d):
     return X.candidates(table(spark, d, "documents"), "doc_id", "text")
 
 
+def indicator_rows(spark, d):
+    """Of whole texts with a digest and a defanged host added: these, by a table function in SQL."""
+    tables.register(spark)
+    docs = table(spark, d, "documents")
+    return spark.sql("""SELECT doc_id, kind, value, defanged FROM {docs} d, LATERAL indicators(concat(coalesce(d.text, ''), ' ', md5(concat('t', d.doc_id)), ' evil', d.doc_id % 50, '[.]example[.]org')) i
+        WHERE kind = 'md5' OR value LIKE 'evil%.example.org'""", docs=docs)
+
+
 def ioc_ipv4(spark, d):
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\b(?:\d{1,3}\.){3}\d{1,3}\b)"))
     return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("value"))
@@ -156,7 +165,7 @@ def backfill_years(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     ioc_scan, ioc_ipv4, ioc_reconcile, quote_grounding, ttp_ladder, claim_quality, composite_gate, gate_report, gate_reasons, spend_guard, tlp_levels, routing, age_bands, revert_audit,
-    fingerprint_props, merged_shapes, structure_checks, structure_health, microbatch_alerts, backfill_years,
+    indicator_rows, fingerprint_props, merged_shapes, structure_checks, structure_health, microbatch_alerts, backfill_years,
 )}
 
 _L = "(SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1)"
@@ -188,6 +197,9 @@ WHEN n % 2 = 0 THEN 'mini' ELSE 'maxi' END AS choice, count(*) AS n FROM d GROUP
     "age_bands": """WITH l AS (SELECT user_id, epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts)) AS age FROM events GROUP BY 1) SELECT user_id, CASE WHEN age < 86400000000 THEN 'ok' WHEN age < 172800000000 THEN 'degraded' ELSE 'down' END AS status FROM l""",
     "revert_audit": "SELECT user_id, event_type, arg_min(value, event_id) AS value FROM events GROUP BY 1, 2",
     "fingerprint_props": r"""SELECT event_type, '{' || string_agg(DISTINCT '"' || k || '": "number"', ', ') || '}' AS structure, count(*) AS n FROM (SELECT event_type, unnest(regexp_extract_all(props, '"(\w+)":', 1)) AS k FROM events) GROUP BY event_type""",
+    "indicator_rows": """SELECT doc_id, 'md5' AS kind, md5('t' || doc_id) AS value, false AS defanged FROM documents
+UNION ALL SELECT doc_id, 'domain', 'evil' || doc_id % 50 || '.example.org', true FROM documents
+UNION SELECT doc_id, 'md5', unnest(regexp_extract_all(lower(text), '(?:^|[^0-9a-z])([0-9a-f]{32})(?:$|[^0-9a-z])', 1)), false FROM documents""",
     "merged_shapes": """WITH o AS (SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS even, count(*) FILTER (o_custkey % 2 = 0) AS noted FROM orders GROUP BY 1),
 k AS (SELECT unnest(['$', '$.id', '$.by', '$.by.*', '$.by.*.p', '$.note', '$.tags', '$.tags[]', '$.tags[].s', '$.tags[].v']) AS path, unnest(['dict', 'number', 'dict', 'dict', 'number', 'str', 'list', 'dict', 'str', 'number']) AS kind)
 SELECT o_orderpriority, path, kind, CAST(CASE path WHEN '$.tags[].v' THEN even ELSE n END AS BIGINT) AS n FROM o, k WHERE even > 0 OR path <> '$.tags[].v'""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cinderlake.functions import tables
 from cinderlake.functions import text as T
 from cinderlake.operators import contracts as C
 from cinderlake.operators import extraction as X
@@ -183,6 +184,18 @@ def markdown_gangs(spark, d):
     return M.parsed(spark, path, M.gangs, "name,url,status,credentials,comms_raw,rss").select("name", "url", "status")
 
 
+def markdown_lines(spark, d):
+    """Rows of one table per nation out of the lines of its file, by a table function over partitions."""
+    tables.register(spark)
+    o = table(spark, d, "customer")
+    row = F.concat(F.lit("| C"), "c_custkey", F.lit(" | "), "c_mktsegment", F.lit(" |"))
+    body = o.select(F.concat(F.lit("n"), "c_nationkey").alias("file"), (F.col("c_custkey") + 10).alias("pos"), row.alias("line"))
+    heads = o.select(F.concat(F.lit("n"), "c_nationkey").alias("file")).distinct()
+    frame = heads.select("file", F.inline(F.array(*[F.struct(F.lit(p).cast("bigint").alias("pos"), F.lit(t).alias("line")) for p, t in ((0, "| stray |"), (1, ""), (2, "| Name | Segment |"), (3, "|---|---|"), (1 << 60, "end"), ((1 << 60) + 1, "| after | all |"))])))
+    found = spark.sql("SELECT * FROM markdown_lines(TABLE({lines}) PARTITION BY (file) ORDER BY (pos), 'name')", lines=body.unionByName(frame))
+    return found.select("file", "pos", F.array_join("cells", "/").alias("cells"))
+
+
 def contact_kinds(spark, d):
     c = table(spark, d, "customer")
     raw = F.concat(F.lit("https://t.me/u"), "c_custkey", F.lit(" - mail"), "c_custkey", F.lit("@x.org, http://site"), F.col("c_custkey") % 3, F.lit(".com | words only"))
@@ -245,7 +258,7 @@ def lowered_levels(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    landed_victims, landed_groups, landed_attacks, landed_payments, landed_spans, landed_exits, landed_fields, bundle_nodes, bundle_changed, bundle_uses, landed_feed, incident_history, markdown_gangs, telegram_channels, twitter_accounts, contact_kinds, incremental_matches, event_windows,
+    landed_victims, landed_groups, landed_attacks, landed_payments, landed_spans, landed_exits, landed_fields, bundle_nodes, bundle_changed, bundle_uses, landed_feed, incident_history, markdown_gangs, markdown_lines, telegram_channels, twitter_accounts, contact_kinds, incremental_matches, event_windows,
     structure_drift, unreachable_floors, token_prices, merged_aliases, software_groups, lowered_levels,
 )}
 
@@ -266,6 +279,7 @@ ORACLES = {
 WHERE year(o_orderdate) BETWEEN 1993 AND 1995 AND month(o_orderdate) <= 6 GROUP BY 1, 2, 3""",
     "telegram_channels": "SELECT c_name AS name, 'https://t.me/c' || c_custkey AS url, CASE WHEN c_custkey % 2 = 0 THEN 'VALID' ELSE 'EXPIRED' END AS status, 'ddos' AS attack_type FROM customer WHERE c_custkey % 7 <> 0",
     "twitter_accounts": "SELECT s_name AS name, 'https://x.com/s' || s_suppkey AS url, CASE s_suppkey % 3 WHEN 0 THEN 'SUSPENDED' WHEN 1 THEN 'ONLINE' ELSE '' END AS status FROM supplier",
+    "markdown_lines": "SELECT 'n' || c_nationkey AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos, 'C' || c_custkey || '/' || c_mktsegment AS cells FROM customer",
     "markdown_gangs": "SELECT s_name AS name, 'http://g' || s_suppkey || '.onion' AS url, CASE WHEN s_suppkey % 2 = 0 THEN 'ONLINE' ELSE 'OFFLINE' END AS status FROM supplier",
     "contact_kinds": "SELECT 'telegram' AS kind, count(*) AS n, count(*) AS values FROM customer UNION ALL SELECT 'email', count(*), count(*) FROM customer UNION ALL SELECT 'website', count(*), least(3, count(*)) FROM customer",
     "incremental_matches": "SELECT o_custkey % 40 AS watch_id, count(*) AS n FROM orders WHERE (o_custkey % 40 BETWEEN 20 AND 24 OR o_custkey % 40 < 20 AND o_orderkey % 10 = 1) AND o_orderkey % 100 <> 1 GROUP BY 1",

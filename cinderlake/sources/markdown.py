@@ -25,25 +25,41 @@ _LINK = re.compile(r"\[([^\]]+)\]\(([^)]+)\)")
 _QUALIFIER = re.compile(r"\s*\((?:Dark|Deep|Victims?\s*page|Clearnet|Mirror)\)", re.I)
 
 
-def table_rows(text: str, heads: tuple[str, ...]) -> Iterator[list[str]]:
-    """Cells of data rows. A rule that follows a row makes that row a header after all."""
-    inside, held = False, None
-    for line in map(str.strip, text.splitlines()):
+class TableReader:
+    """Data rows of pipe tables, line by line. A rule that follows a row makes that row a header after all, so a row leaves with the next line."""
+
+    def __init__(self, heads: tuple[str, ...]):
+        self.heads, self.inside, self.held = heads, False, None
+
+    def feed(self, line: str) -> Iterator[list[str]]:
+        """Cells of the row that this line shows to be one, if any."""
+        line = line.strip()
         cells = [c for c in (c.strip() for c in line.split("|")) if c] if line.startswith("|") else None
         if cells == []:
-            continue
+            return
         rule = bool(cells) and all(set(c) <= set("-:") for c in cells)
-        if held is not None and not rule:
-            yield held
-        held = None
+        if self.held is not None and not rule:
+            yield self.held
+        self.held = None
         if cells is None:
-            inside = False
-        elif rule or cells[0].strip("*").lower() in heads:
-            inside = True
-        elif inside:
-            held = cells
-    if held is not None:
-        yield held
+            self.inside = False
+        elif rule or cells[0].strip("*").lower() in self.heads:
+            self.inside = True
+        elif self.inside:
+            self.held = cells
+
+    def close(self) -> Iterator[list[str]]:
+        """The last row, if no line came after it."""
+        if self.held is not None:
+            yield self.held
+
+
+def table_rows(text: str, heads: tuple[str, ...]) -> Iterator[list[str]]:
+    """Cells of data rows."""
+    reader = TableReader(heads)
+    for line in text.splitlines():
+        yield from reader.feed(line)
+    yield from reader.close()
 
 
 def _linked(cell: str) -> tuple[str, str]:
