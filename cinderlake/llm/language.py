@@ -34,6 +34,8 @@ from cinderlake.session import written
 #: Bytes of sample text per language at most, and different texts that they are pieces of.
 SAMPLE_BYTES, SAMPLE_TEXTS = 24_000, 100
 STRETCH = 512
+#: Stretches whose parsing is remembered at a time.
+KEPT = 20_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -137,10 +139,10 @@ class Automaton:
         on = self.owner[at] == state
         return np.where(on, self.target[at], self.first[c]), on
 
-    def phrases(self, grid, length, follows):
+    def phrases(self, grid, length, follows, number):
         """True number of phrases that begin in each stretch.
 
-        ``grid`` has a stretch per column, shorter ones last; ``follows`` is the column that precedes each in its text, or -1.
+        ``grid`` has a stretch per column, shorter ones last; ``follows`` is the column that precedes each in its text, or -1. ``number`` counts the stretches through all texts.
         """
         import numpy as np
 
@@ -155,8 +157,8 @@ class Automaton:
                 break
             state[:n], on = self.step(state[:n], grid[t, :n])
             begins[t, :n] = ~on
-        upto = np.cumsum(begins, axis=0, dtype=np.int32)
-        count, lost = upto[-1].copy(), []
+        upto = np.cumsum(begins, axis=0, dtype=np.uint16)
+        count, lost = upto[-1].astype(np.int32), []
         own = np.flatnonzero(follows >= 0)
         now, more = state[follows[own]], np.zeros(len(own), np.int32)
         for t in range(steps):
@@ -176,40 +178,44 @@ class Automaton:
             count[column] = extra
             lost.append((column, s))
         if lost:
-            self._settle(grid, length, follows, begins, upto, count, dict(lost))
+            self._settle(grid, length, follows, begins, upto, count, dict(lost), number)
         return count
 
-    def _settle(self, grid, length, follows, begins, upto, count, end: dict) -> None:
-        """Parse on after a stretch in which the phrases never met those that began with it; ``end`` has its last state."""
+    def _settle(self, grid, length, follows, begins, upto, count, end: dict, number) -> None:
+        """Parse on after stretches in which the phrases never met those that began with them; ``end`` has their last states.
+
+        Goes forward along the chain of stretches of a text, each once. What a stretch gives depends on its bytes and the state before it only,
+        so stretches that repeat (one letter a million times) are looked up: up to ``KEPT`` of them are remembered.
+        """
         import numpy as np
 
         after = np.full(len(follows), -1)
         after[follows[follows >= 0]] = np.flatnonzero(follows >= 0)
-        done: set = set()
-        for column in sorted(end, key=lambda c: self._place(follows, c)):
-            state, column = end[column], column if column in done else int(after[column])
-            while column >= 0 and column not in done:
-                done.add(column)
-                extra, met = 0, False
-                for t, c in enumerate(grid[: length[column], column].tolist()):
-                    at = self.base[state] + c
-                    if self.owner[at] == state:
-                        state = int(self.target[at])
-                    elif begins[t, column]:
-                        extra, met = extra + int(upto[-1, column] - upto[t, column]) + 1, True
-                        break
-                    else:
-                        extra, state = extra + 1, int(self.first[c])
-                count[column] = extra
+        done, seen = bytearray(len(follows)), {}
+        for column in sorted(end, key=number.__getitem__):
+            state, column = end[column], column if done[column] else int(after[column])
+            while column >= 0 and not done[column]:
+                done[column] = 1
+                body = grid[: length[column], column].tobytes()
+                if (known := seen.get((state, body))) is None:
+                    if len(seen) >= KEPT:
+                        seen.clear()
+                    known = seen[state, body] = self._follow(state, body, begins[:, column], upto[:, column])
+                count[column], state, met = known
                 column = -1 if met else int(after[column])
 
-    @staticmethod
-    def _place(follows, column: int) -> int:
-        """Stretches before this one in its text."""
-        n = 0
-        while (column := int(follows[column])) >= 0:
-            n += 1
-        return n
+    def _follow(self, state: int, body: bytes, begins, upto) -> tuple[int, int, bool]:
+        """Phrases that begin in a stretch after a state, the state at its end, and whether they met the stretch's own."""
+        extra = 0
+        for t, c in enumerate(body):
+            at = self.base[state] + c
+            if self.owner[at] == state:
+                state = int(self.target[at])
+            elif begins[t]:
+                return extra + int(upto[-1] - upto[t]) + 1, state, True
+            else:
+                extra, state = extra + 1, int(self.first[c])
+        return extra, state, False
 
 
 @dataclass
@@ -242,7 +248,7 @@ class Languages:
         follows = np.where(before >= 0, place[before], -1)
         grid = np.ascontiguousarray(flat.reshape(total, STRETCH)[order].T)
         for k, automaton in enumerate(self.automata):
-            counts[:, k] = np.bincount(owner[order], automaton.phrases(grid, length[order], follows), len(texts))
+            counts[:, k] = np.bincount(owner[order], automaton.phrases(grid, length[order], follows, order), len(texts))
         return counts
 
     def predict(self, texts: list) -> tuple[list, list]:
@@ -291,7 +297,8 @@ def learn(documents: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_texts:
     import numpy as np
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = [normal_bytes(p).tobytes() for p in rows.sort_values("slot")["piece"]]
+        share = (sample_bytes + 1) // len(rows) - 1  # in bytes, beside a blank each: letters may have several
+        texts = [normal_bytes(p).tobytes()[: max(share, 1)] for p in rows.sort_values("slot")["piece"]]
         a = Automaton.build(rows["lang"].iloc[0], b" ".join(texts)[:sample_bytes])
         return pd.DataFrame({"name": [a.name], "size": [a.size], "base": [a.base.tobytes()], "owner": [a.owner.tobytes()], "target": [a.target.tobytes()], "first": [a.first.tobytes()]})
 

@@ -109,6 +109,17 @@ def test_phrases_as_plain_parsing(spark, tables, monkeypatch, stretch):
     assert got.tolist() == [[plain_phrases(normal(t), x) for x in kept] for t in texts]
 
 
+def test_repeated_stretches_are_looked_up(monkeypatch):
+    """Long runs that never meet the stretches' own phrases, with few stretches remembered, against what is known of them."""
+    monkeypatch.setattr(language, "KEPT", 3)
+    sample = b"xyz " + b"a" * 240 + b" xyz"
+    learned = language.Languages([language.Automaton.build("a", sample)])
+    texts = ["a" * n for n in (239, 240, 241, 100_000, 2_000_003)] + ["b" * 600 + "a" * 5000 + "xyz" + "a" * 3000]
+    got = learned.phrases(texts)[:, 0].tolist()
+    assert got[:-1] == [-(-len(t) // 240) for t in texts[:-1]]
+    assert got[-1] == plain_phrases(texts[-1].encode(), sample)
+
+
 def test_all_languages_are_learned(spark):
     """However many labels there are; a language with copies of one text and one long text is learned from both."""
     rows = [(100 * k + j, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in ("ona", "tir", "lek", "mus")), f"l{k:02}", "s") for k in range(70) for j in range(4)]
