@@ -105,6 +105,21 @@ def poll(spark: SparkSession, feeds: dict[str, str], read) -> tuple[DataFrame |
     return out, status
 
 
+def polled(feeds: DataFrame, texts: DataFrame, entry: str) -> tuple[DataFrame, DataFrame]:
+    """Entries (feed and the fields of ``entry``) of all enabled feeds, and a status per feed, each as one plan over all feeds.
+
+    ``feeds`` has (feed, enabled), ``texts`` what they landed as (feed, value), a JSON array per row. A text that can't be read costs no
+    other. Status (feed, status, texts, unreadable, entries): off, missing (nothing landed), unreadable (no text can be read) or ok.
+    """
+    on = feeds.where("enabled").select("feed").distinct()
+    read = texts.select("feed", F.from_json("value", f"array<{entry}>").alias("_e")).join(on, "feed", "left_semi")
+    tally = read.groupBy("feed").agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("_e").isNull()).alias("unreadable"), F.coalesce(F.sum(F.size("_e")), F.lit(0)).alias("entries"))
+    state = F.when(~F.coalesce("enabled", F.lit(False)), "off").when(F.col("texts").isNull(), "missing").when(F.col("texts") == F.col("unreadable"), "unreadable").otherwise("ok")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("texts", "unreadable", "entries")]
+    status = feeds.groupBy("feed").agg(F.max("enabled").alias("enabled")).join(tally, "feed", "left").select("feed", state.alias("status"), *numbers)
+    return read.select("feed", F.inline("_e")), status
+
+
 def run_named(jobs: dict, names: list[str], *args) -> tuple[dict, list[str]]:
     """Results of the jobs in the order of ``names``, and names that nothing is registered under."""
     return {n: jobs[n](*args) for n in names if n in jobs}, [n for n in names if n not in jobs]

@@ -21,6 +21,16 @@ def ioc_scan(spark, d):
     return X.candidates(table(spark, d, "documents"), "doc_id", "text")
 
 
+def grounded_vertices(spark, d):
+    """Corners of an event's diamond, one per row, kept where their quotation stands in the whole article, parts in order."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" They used k"), "doc_id", F.lit(" tools, mostly at night.")).alias("text"))
+    corners = {"adversary": "They used k{} tools", "capability": "used k{} ... at night", "infrastructure": "at night ... used k{}", "victim": "used k{}0 tools"}
+    quotes = F.array(*[F.struct(F.lit(c).alias("vertex"), F.concat_ws("", F.lit(q.split("{}")[0]), "doc_id", F.lit(q.split("{}")[1])).alias("quote")) for c, q in corners.items()])
+    rows = docs.select("doc_id", "text", F.inline(quotes))
+    kept = X.ground(rows, "text", "quote").where("at.start IS NOT NULL")
+    return kept.groupBy("vertex").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("articles"))
+
+
 def indicator_rows(spark, d):
     """Of whole texts with a digest and a defanged host added: these, by a table function in SQL."""
     tables.register(spark)
@@ -165,7 +175,7 @@ def backfill_years(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     ioc_scan, ioc_ipv4, ioc_reconcile, quote_grounding, ttp_ladder, claim_quality, composite_gate, gate_report, gate_reasons, spend_guard, tlp_levels, routing, age_bands, revert_audit,
-    indicator_rows, fingerprint_props, merged_shapes, structure_checks, structure_health, microbatch_alerts, backfill_years,
+    grounded_vertices, indicator_rows, fingerprint_props, merged_shapes, structure_checks, structure_health, microbatch_alerts, backfill_years,
 )}
 
 _L = "(SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1)"
@@ -197,6 +207,7 @@ WHEN n % 2 = 0 THEN 'mini' ELSE 'maxi' END AS choice, count(*) AS n FROM d GROUP
     "age_bands": """WITH l AS (SELECT user_id, epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts)) AS age FROM events GROUP BY 1) SELECT user_id, CASE WHEN age < 86400000000 THEN 'ok' WHEN age < 172800000000 THEN 'degraded' ELSE 'down' END AS status FROM l""",
     "revert_audit": "SELECT user_id, event_type, arg_min(value, event_id) AS value FROM events GROUP BY 1, 2",
     "fingerprint_props": r"""SELECT event_type, '{' || string_agg(DISTINCT '"' || k || '": "number"', ', ') || '}' AS structure, count(*) AS n FROM (SELECT event_type, unnest(regexp_extract_all(props, '"(\w+)":', 1)) AS k FROM events) GROUP BY event_type""",
+    "grounded_vertices": "SELECT v AS vertex, count(*) AS n, count(DISTINCT doc_id) AS articles FROM documents, (SELECT unnest(['adversary', 'capability']) AS v) GROUP BY 1",
     "indicator_rows": """SELECT doc_id, 'md5' AS kind, md5('t' || doc_id) AS value, false AS defanged FROM documents
 UNION ALL SELECT doc_id, 'domain', 'evil' || doc_id % 50 || '.example.org', true FROM documents
 UNION SELECT doc_id, 'md5', unnest(regexp_extract_all(lower(text), '(?:^|[^0-9a-z])([0-9a-f]{32})(?:$|[^0-9a-z])', 1)), false FROM documents""",

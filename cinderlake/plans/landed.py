@@ -8,10 +8,12 @@ from cinderlake.functions import tables
 from cinderlake.functions import text as T
 from cinderlake.operators import contracts as C
 from cinderlake.operators import extraction as X
+from cinderlake.operators import guards as G
 from cinderlake.operators import identity as D
 from cinderlake.operators import scoring as S
 from cinderlake.operators import updates as U
 from cinderlake.session import shared_folder, table
+from cinderlake.sources import copying as K
 from cinderlake.sources import incidents as N
 from cinderlake.sources import markdown as M
 from cinderlake.sources import readers as R
@@ -196,6 +198,31 @@ def markdown_lines(spark, d):
     return found.select("file", "pos", F.array_join("cells", "/").alias("cells"))
 
 
+def feed_polls(spark, d):
+    """A feed per nation, of which some are off, landed nothing, or landed what can't be read beside what can."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("feed"), (F.col("n_nationkey") % 4 != 1).alias("enabled"))
+    s = table(spark, d, "supplier").where("s_nationkey % 7 <> 3").withColumn("f", F.pmod("s_suppkey", F.lit(2)))
+    listed = s.groupBy(F.col("s_nationkey").alias("feed"), "f").agg(F.to_json(F.collect_list(F.struct(F.col("s_name").alias("title")))).alias("j"))
+    broken = (F.col("feed") % 5 == 0) | ((F.col("feed") % 3 == 0) & (F.col("f") == 0))
+    path = shared_folder(spark, "polls")
+    listed.select("feed", F.when(broken, F.concat(F.lit("<html>"), "j")).otherwise(F.col("j")).alias("value")).repartition("feed").write.partitionBy("feed").option("maxRecordsPerFile", 1).text(path)
+    entries, status = G.polled(n, spark.read.schema("value string, feed int").text(path, wholetext=True), "struct<title:string>")
+    found = entries.groupBy("feed").agg(F.count_distinct("title").alias("titles"))
+    return status.join(found, "feed", "left").select("feed", "status", "texts", "unreadable", "entries", F.coalesce("titles", F.lit(0)).alias("titles"))
+
+
+def copied_tables(spark, d):
+    """Four tables copied by their references into a database whose orders lack a column; orders of some customers lose them on the way."""
+    source = {t: table(spark, d, t) for t in ("orders", "customer", "nation", "region")}
+    source["customer"] = source["customer"].where("c_custkey % 11 <> 0")
+    target = {t: ["note", *[c for c in df.columns if c != "o_orderpriority"]] for t, df in source.items()}
+    refs = [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey")]
+    root = shared_folder(spark, "copy")
+    keys = {"orders": "o_orderkey", "customer": "c_custkey", "nation": "n_nationkey"}
+    out = K.copy_database(spark, source, target, refs, keys, lambda rows, name: rows.write.parquet(f"{root}/{name}"), lambda name: spark.read.parquet(f"{root}/{name}"))
+    return out.withColumn("next_id", F.coalesce("next_id", F.lit(0)))
+
+
 def contact_kinds(spark, d):
     c = table(spark, d, "customer")
     raw = F.concat(F.lit("https://t.me/u"), "c_custkey", F.lit(" - mail"), "c_custkey", F.lit("@x.org, http://site"), F.col("c_custkey") % 3, F.lit(".com | words only"))
@@ -258,7 +285,7 @@ def lowered_levels(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    landed_victims, landed_groups, landed_attacks, landed_payments, landed_spans, landed_exits, landed_fields, bundle_nodes, bundle_changed, bundle_uses, landed_feed, incident_history, markdown_gangs, markdown_lines, telegram_channels, twitter_accounts, contact_kinds, incremental_matches, event_windows,
+    landed_victims, landed_groups, landed_attacks, landed_payments, landed_spans, landed_exits, landed_fields, bundle_nodes, bundle_changed, bundle_uses, landed_feed, incident_history, markdown_gangs, markdown_lines, feed_polls, copied_tables, telegram_channels, twitter_accounts, contact_kinds, incremental_matches, event_windows,
     structure_drift, unreachable_floors, token_prices, merged_aliases, software_groups, lowered_levels,
 )}
 
@@ -279,6 +306,13 @@ ORACLES = {
 WHERE year(o_orderdate) BETWEEN 1993 AND 1995 AND month(o_orderdate) <= 6 GROUP BY 1, 2, 3""",
     "telegram_channels": "SELECT c_name AS name, 'https://t.me/c' || c_custkey AS url, CASE WHEN c_custkey % 2 = 0 THEN 'VALID' ELSE 'EXPIRED' END AS status, 'ddos' AS attack_type FROM customer WHERE c_custkey % 7 <> 0",
     "twitter_accounts": "SELECT s_name AS name, 'https://x.com/s' || s_suppkey AS url, CASE s_suppkey % 3 WHEN 0 THEN 'SUSPENDED' WHEN 1 THEN 'ONLINE' ELSE '' END AS status FROM supplier",
+    "feed_polls": """WITH t AS (SELECT s_nationkey AS feed, s_suppkey % 2 AS f, count(*) AS k FROM supplier WHERE s_nationkey % 7 <> 3 AND s_nationkey % 4 <> 1 GROUP BY 1, 2),
+g AS (SELECT feed, count(*) AS texts, count(*) FILTER (feed % 5 = 0 OR feed % 3 = 0 AND f = 0) AS bad, coalesce(sum(k) FILTER (NOT (feed % 5 = 0 OR feed % 3 = 0 AND f = 0)), 0) AS entries FROM t GROUP BY 1)
+SELECT n_nationkey AS feed, CASE WHEN n_nationkey % 4 = 1 THEN 'off' WHEN texts IS NULL THEN 'missing' WHEN texts = bad THEN 'unreadable' ELSE 'ok' END AS status, coalesce(texts, 0) AS texts, coalesce(bad, 0) AS unreadable,
+CAST(coalesce(entries, 0) AS BIGINT) AS entries, CAST(coalesce(entries, 0) AS BIGINT) AS titles FROM nation LEFT JOIN g ON feed = n_nationkey""",
+    "copied_tables": """SELECT 'region' AS table, 0::INTEGER AS step, count(*) AS rows, 0::BIGINT AS next_id, 0::BIGINT AS orphans FROM region
+UNION ALL SELECT 'nation', 1, count(*), max(n_nationkey) + 1, 0 FROM nation UNION ALL SELECT 'customer', 2, count(*), max(c_custkey) + 1, 0 FROM customer WHERE c_custkey % 11 <> 0
+UNION ALL SELECT 'orders', 3, count(*), max(o_orderkey) + 1, count(*) FILTER (o_custkey % 11 = 0) FROM orders""",
     "markdown_lines": "SELECT 'n' || c_nationkey AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos, 'C' || c_custkey || '/' || c_mktsegment AS cells FROM customer",
     "markdown_gangs": "SELECT s_name AS name, 'http://g' || s_suppkey || '.onion' AS url, CASE WHEN s_suppkey % 2 = 0 THEN 'ONLINE' ELSE 'OFFLINE' END AS status FROM supplier",
     "contact_kinds": "SELECT 'telegram' AS kind, count(*) AS n, count(*) AS values FROM customer UNION ALL SELECT 'email', count(*), count(*) FROM customer UNION ALL SELECT 'website', count(*), least(3, count(*)) FROM customer",
