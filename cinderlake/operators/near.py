@@ -20,7 +20,7 @@ from cinderlake.functions.text import hamming
 from cinderlake.session import written
 
 #: Fingerprints that the costs are estimated from, at most; cost of a pair that meets, in probing rows.
-SAMPLE, PAIR_COST = 1200, 0.5
+SAMPLE, PAIR_COST = 1200, 0.1
 
 
 def _signed(mask: int) -> int:
@@ -74,19 +74,43 @@ def plan(groups: DataFrame, fp: str, most: int) -> list[tuple[list[int], int]]:
     return segments([r[0] % (1 << 64) for r in rows], groups.count(), most)
 
 
+def _lowest(bits: Column, k: int) -> Column:
+    """The ``k`` lowest bits that are set."""
+    rest = bits
+    for _ in range(k):
+        # the least number has no predecessor in 64 bits; there it wraps around
+        rest = rest.bitwiseAND(F.coalesce(F.try_subtract(rest, F.lit(1).cast("long")), F.lit((1 << 63) - 1)))
+    return bits.bitwiseXOR(rest)
+
+
 def meetings(groups: DataFrame, fp: str, chosen: list[tuple[list[int], int]]) -> DataFrame:
-    """``a, b, fa, fb``: pairs (a < b) that meet in a segment; a pair can meet more than once."""
+    """``a, b, fa, fb``: pairs (a < b) of rows that are near in a segment, each once.
+
+    Of all the points at which two rows meet, one counts: in the first segment in which they are near, that which the left one reaches by the lowest of the
+    bits in which they differ. So nothing has to be made distinct. The keys are many times the table, which Spark's estimate doesn't know: they are joined by
+    a sort and never broadcast.
+    """
+    masks = [_signed(sum(1 << b for b in bits)) for bits, _ in chosen]
+
     def side(radius, whose: str, print_: str) -> DataFrame:
         def around(no: int, bits: list[int], r: int) -> Column:
-            own = F.col(fp).bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-            return F.transform(F.array(*[F.lit(m) for m in _ball(bits, r)]), lambda m: F.struct(F.lit(no).alias("no"), own.bitwiseXOR(m).alias("v")))
+            own = F.col(fp).bitwiseAND(F.lit(masks[no]))
+            return F.transform(F.array(*[F.lit(m) for m in _ball(bits, r)]), lambda m: F.struct(own.bitwiseXOR(m).alias("v"), F.lit(no).alias("no")))
 
         keys = [around(no, bits, radius(r)) for no, (bits, r) in enumerate(chosen)]
-        return groups.select(F.col("id").alias(whose), F.col(fp).alias(print_), F.explode(F.flatten(F.array(*keys))).alias("k"))
+        return groups.select(F.col("id").alias(whose), F.col(fp).alias(print_), F.inline(F.flatten(F.array(*keys))))
 
+    # balls of unlike radii aren't symmetric, but the left row has the larger one whichever of a pair it is
     left, right = side(lambda r: (r + 1) // 2, "a", "fa"), side(lambda r: r // 2, "b", "fb")
-    # balls of unlike radii aren't symmetric: either side of a pair may be the one with the larger
-    return left.join(right, "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "fa", "fb")
+    apart = F.col("fa").bitwiseXOR(F.col("fb"))
+    counts = F.lit(False)
+    for no, (_, r) in enumerate(chosen):
+        own = apart.bitwiseAND(F.lit(masks[no]))
+        here = (F.col("no") == no) & (F.col("v") == F.col("fa").bitwiseAND(F.lit(masks[no])).bitwiseXOR(_lowest(own, (r + 1) // 2)))
+        for before, (_, radius) in zip(masks[:no], chosen[:no]):
+            here = here & (F.bit_count(apart.bitwiseAND(F.lit(before))) > radius)
+        counts = counts | here
+    return left.hint("merge").join(right, ["v", "no"]).where("a < b").where(counts).select("a", "b", "fa", "fb")
 
 
 def near_pairs(prints: DataFrame, id_col: str, fp: str, most: int = 6) -> DataFrame:
@@ -97,6 +121,8 @@ def near_pairs(prints: DataFrame, id_col: str, fp: str, most: int = 6) -> DataFr
     """
     groups = written(prints.groupBy(fp).agg(F.min(id_col).alias("id")), "near-groups")
     met = meetings(groups, fp, plan(groups, fp, most)) if not groups.isEmpty() else groups.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col(fp).alias("fa"), F.col(fp).alias("fb")).where("false")
-    pairs = met.where(hamming(F.col("fa"), F.col("fb")) <= most).select("a", "b").distinct()
+    pairs = met.where(hamming(F.col("fa"), F.col("fb")) <= most).select("a", "b")
+    if not groups.groupBy("id").count().where("count > 1").isEmpty():  # an id that names several fingerprints
+        pairs = pairs.distinct()
     same = prints.join(groups.withColumnRenamed("id", "_least"), fp).where(F.col(id_col) != F.col("_least")).select(F.col("_least").alias("a"), F.col(id_col).alias("b"))
     return pairs.unionByName(same)

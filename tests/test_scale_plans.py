@@ -178,6 +178,31 @@ def test_near_pairs_as_brute_force(spark):
             assert {tuple(r) for r in met.collect()} == {p for p in want if some[p[0]] != some[p[1]]}
 
 
+def test_meetings_once_and_never_broadcast(spark):
+    """A pair that meets at many points is one row, also with all bits set; keys are many times the table and must not pass through the driver."""
+    crowd = [v - (1 << 64) if v >> 63 else v for v in ((0b1011 << 60) ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(a, 64, 7))]
+    groups = spark.createDataFrame([(v, k) for k, v in enumerate(dict.fromkeys([*crowd, 0, -1, -(1 << 63), (1 << 63) - 1]))], "fp long, id long")
+    for chosen in (near.plan(groups, "fp", 6), [(list(range(22)), 2), (list(range(22, 43)), 1), (list(range(43, 64)), 1)]):
+        met = near.meetings(groups, "fp", chosen)
+        rows = [(r["a"], r["b"]) for r in met.collect()]
+        assert len(rows) == len(set(rows)) > 1000
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_greedy_rounds(spark, monkeypatch):
+    """A chain takes as many rounds as it has kept rows; all rows of a crowd but the first go at once."""
+    chain = [(1 << 4 * k) - 1 for k in range(12)]
+    crowd = [0xF0F0F0F0F0F0F0F | 1 << 63 ^ (1 << b) for b in range(20)]
+    prints = [v - (1 << 64) if v >> 63 else v for v in [*chain, *crowd, crowd[0]]]
+    monkeypatch.setattr(X, "simhash_column", lambda text: text.cast("long"))
+    got = {r["id"]: r["kept"] for r in X.greedy_kept(spark.createDataFrame([(k, str(v)) for k, v in enumerate(prints)], "id long, t string"), "id", F.col("t")).collect()}
+    kept = []
+    for k, v in enumerate(prints):
+        if not any(((v ^ prints[j]) % (1 << 64)).bit_count() <= 6 for j in kept):
+            kept.append(k)
+    assert {k for k, v in got.items() if v} == set(kept) and len(got) == len(prints)
+
+
 def test_crowded_bits_are_left_out():
     """Bits in which a crowd agrees get no segment or a small radius, so few of the crowd meet."""
     rnd = random.Random(5)
