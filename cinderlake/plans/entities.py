@@ -60,7 +60,7 @@ def label_numbers(spark, d):
 
 
 def address_cover(spark, d):
-    """Customers and suppliers as addresses and published blocks."""
+    """Customers and suppliers as addresses and published blocks, all within 10.0.0.0/8: numbers go on from its begin, and a span that would end behind it is none."""
     ip = lambda n: F.concat_ws(".", F.lit("10"), F.shiftright(n, 16).bitwiseAND(255), F.shiftright(n, 8).bitwiseAND(255), n.bitwiseAND(255))
     n = F.col("o_custkey") * 37
     points = table(spark, d, "orders").select("o_orderkey", ip(n).alias("address"))
@@ -137,7 +137,7 @@ SELECT key, p_name AS canonical, p_brand AS authority FROM k QUALIFY row_number(
 SELECT tactic, max(n) AS peak, CAST(sum(n) AS BIGINT) AS total, CAST(list_position([{", ".join(repr(t) for t in (*D.TACTICS, "Other"))}], tactic) - 1 AS INTEGER) AS rank FROM l GROUP BY 1""",
     "children_maps": "SELECT p_brand, p_type, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS names FROM part GROUP BY 1, 2",
     "label_numbers": "WITH l AS (SELECT doc_id, lang || '/' || source AS label FROM documents), f AS (SELECT label, row_number() OVER (ORDER BY min(doc_id)) - 1 AS number FROM l GROUP BY label) SELECT doc_id, label, number FROM l JOIN f USING (label)",
-    "address_cover": """WITH s AS (SELECT CASE WHEN s_nationkey < 10 THEN k - k % 256 ELSE k END AS lo, CASE WHEN s_nationkey < 10 THEN k - k % 256 + 255 WHEN s_nationkey < 20 THEN k ELSE k + 999 END AS hi FROM (SELECT s_nationkey, s_suppkey * 701 AS k FROM supplier))
+    "address_cover": """WITH s AS (SELECT CASE WHEN s_nationkey < 10 THEN k - k % 256 ELSE k END % 16777216 AS lo, CASE WHEN s_nationkey < 10 THEN k - k % 256 + 255 WHEN s_nationkey < 20 THEN k ELSE k + 999 END % 16777216 AS hi FROM (SELECT s_nationkey, s_suppkey * 701 AS k FROM supplier))
 SELECT o_orderkey, EXISTS (SELECT 1 FROM s WHERE (o_custkey * 37) % 16777216 BETWEEN lo AND hi) AS covered FROM orders""",
     "notification_events": _EVENTS,
     "notification_batches": f"SELECT alert_id // 2000 AS batch, CAST(sum(length(CAST(alert_id AS VARCHAR)) + length(watch_name) + length(victim_name) + length(group_name) + {len(_SHELL) + 1}) + {len(_WRAP) - 1} AS INTEGER) AS chars, CAST(count(*) + 1 AS INTEGER) AS parts FROM ({_EVENTS}) GROUP BY 1",

@@ -68,3 +68,20 @@ def test_levels(spark):
     rows = spark.createDataFrame([("a", "green"), ("a", "AMBER"), ("b", None), ("c", "clear")], "s string, t string")
     assert {r["s"]: r["tlp"] for r in S.most_restrictive(rows, ["s"], "t").collect()} == {"a": "amber", "b": "amber+strict", "c": "clear"}
     assert one(spark, E.flag(F.col("c")), ["us", "x", None]) == ["\U0001f1fa\U0001f1f8", "", ""]
+
+
+def test_address_cover_beyond_24_bits(spark, tmp_path):
+    """Keys of larger tables go past the end of 10.0.0.0/8: query and SQL begin anew there, and a span over the end is none."""
+    import duckdb
+
+    from cinderlake.plans import entities
+
+    suppliers = [(k, k % 30) for k in [*range(1, 60), *range(23900, 23960), 60000]]
+    keys = {(k * 701 + d) % (1 << 24) * pow(37, -1, 1 << 24) % (1 << 24) for k, _ in suppliers for d in (-300, -1, 0, 1, 255, 999, 1000)}
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, c) for k, c in enumerate(sorted(keys))], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in entities.address_cover(spark, str(tmp_path)).collect()}
+    for t in ("supplier", "orders"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == set(duckdb.sql(entities.ORACLES["address_cover"]).fetchall())
+    assert 0 < sum(c for _, c in got) < len(got)
