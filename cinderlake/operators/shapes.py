@@ -26,6 +26,8 @@ from cinderlake.session import written
 
 _NODES = "array<struct<path:array<string>,kind:string,n:long>>"
 _KEY, _ITEM = ".", "[]"
+#: Payloads of a task, about: free keys make rows of their own, so a task's memory follows them.
+TASK_PAYLOADS = 100_000
 #: Outcomes of a check.
 NO_BASELINE, DRIFT, MATCH = "no-baseline", "drift", "alive+match"
 
@@ -99,8 +101,10 @@ def shape_rows(rows: DataFrame, by: list[str], payload: str) -> DataFrame:
     """``by, path, kind, n``: nodes of the merged structure per ``by``, path as an array, and how often each was seen.
 
     Texts that can't be read, and null, give nothing. Null in ``by`` is a group as any other. One written table per level, nine at most.
+    Payloads are dealt evenly before they are taken apart, more of them to more tasks, since a file's part may hold millions.
     """
-    found = rows.select(F.struct(*by).alias("_key"), F.explode(node_column(F.col(payload).cast("string"))).alias("_x")).select("_key", "_x.*")
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_PAYLOADS))
+    found = rows.select(*dict.fromkeys([*by, payload])).repartition(tasks).select(F.struct(*by).alias("_key"), F.explode(node_column(F.col(payload).cast("string"))).alias("_x")).select("_key", "_x.*")
     out = written(found.groupBy("_key", "path", "kind").agg(F.sum("n").alias("n")), "shape")
     deepest = out.agg(F.max(F.size("path"))).first()[0]
     for level in range(-1 if deepest is None else deepest + 1):

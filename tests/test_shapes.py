@@ -79,3 +79,15 @@ def test_deep_values_end(spark):
     deep = "[" * 30 + "1" + "]" * 30
     got = H.shape_texts(H.shape_rows(spark.createDataFrame([(1, deep)], "g int, body string"), ["g"], "body"), ["g"]).first()
     assert json.loads(got["structure"]) == C.structure(json.loads(deep))
+
+
+def test_payloads_are_dealt_to_tasks(spark, monkeypatch):
+    """Payloads of one file's part are taken apart in tasks of bounded size; the nodes stay the same."""
+    df = spark.range(400).selectExpr("id % 2 AS g", "concat('{\"k', id, '\": ', id, '}') AS body").coalesce(1)
+    want = sorted(map(str, H.shape_rows(df, ["g"], "body").collect()))
+    dealt = []
+    monkeypatch.setattr(H, "TASK_PAYLOADS", 20)
+    monkeypatch.setattr(H, "node_column", lambda c, was=H.node_column: dealt.append(c) or was(c))
+    monkeypatch.setattr(H, "written", lambda rows, label, was=H.written: dealt.append(rows._jdf.queryExecution().optimizedPlan().toString()) or was(rows, label))
+    assert sorted(map(str, H.shape_rows(df, ["g"], "body").collect())) == want
+    assert "Repartition 20, true" in dealt[1]
