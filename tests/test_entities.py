@@ -85,3 +85,20 @@ def test_address_cover_beyond_24_bits(spark, tmp_path):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert got == set(duckdb.sql(entities.ORACLES["address_cover"]).fetchall())
     assert 0 < sum(c for _, c in got) < len(got)
+
+
+def test_tactic_matrix_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    """More lines are dealt to more tasks before anything is counted; rows equal the SQL, nulls included."""
+    import duckdb
+
+    from cinderlake.plans import entities
+
+    monkeypatch.setattr(entities, "TASK_LINES", 100)
+    lines = [(k * 7 % 90, k * k % 40 if k % 11 else None, k % 7 + 1) for k in range(2000)] + [(None, 3, 1), (None, None, 2)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = entities.tactic_matrix(spark, str(tmp_path))
+    got = {tuple(r) for r in out.collect()}
+    duckdb.sql(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == set(duckdb.sql(entities.ORACLES["tactic_matrix"]).fetchall()) and len(got) == 7
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_partkey" in plan and ", 21" in plan
