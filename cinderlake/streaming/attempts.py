@@ -13,13 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Failures that lock nothing, seconds of the first lock, and of the longest.
 FREE, BASE, MOST = 5, 30, 900
 STATE = "fails int, until long"
+OUT = Row("key", "us", "ord", "fails", "until", "what")
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -60,34 +60,37 @@ def _processor():
     from pyspark.sql.streaming import StatefulProcessor
 
     class Locks(StatefulProcessor):
-        """One value per key, and a timer for the end of its lock. Times are microseconds, whatever the session's time zone."""
+        """One value per key, and a timer for the end of its lock. Times are microseconds, whatever the session's time zone.
+
+        A key has few attempts in a batch: they are rows, since frames of a few rows cost more than the work. The state is asked for once.
+        """
 
         def init(self, handle) -> None:
             self.handle = handle
             self.state = handle.getValueState("lock", STATE)
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            fails, until = self.state.get() if self.state.exists() else (0, None)
-            before, out = until, []
-            for at, ord_, failed in pd.concat(list(rows))[["us", "ord", "failed"]].sort_values(["us", "ord"]).itertuples(index=False):
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+            fails, until = before = self.state.get() or (0, None)
+            out = []
+            for at, ord_, failed in sorted(((r.us, r.ord, r.failed) for r in rows), key=_in_time):
                 fails, until = (fails + 1, None) if failed else (0, None)
                 if seconds := lock_seconds(fails):
-                    until = int(at) + seconds * 1_000_000
-                out.append((key[0], at, ord_, fails, until, "attempt"))
-            if fails:
+                    until = at + seconds * 1_000_000
+                out.append(OUT(key[0], at, ord_, fails, until, "attempt"))
+            if fails and (fails, until) != before:
                 self.state.update((fails, until))
-            else:
+            elif not fails and before[0]:
                 self.state.clear()
-            if before != until:
-                if before is not None:
-                    self.handle.deleteTimer(before // 1000)
+            if before[1] != until:
+                if before[1] is not None:
+                    self.handle.deleteTimer(before[1] // 1000)
                 if until is not None:
                     self.handle.registerTimer(until // 1000)
-            yield _rows(out)
+            return iter(out)
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            fails, until = self.state.get() if self.state.exists() else (0, None)
-            yield _rows([(key[0], until, None, fails, None, "open")] if until is not None else [])
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+            fails, until = self.state.get() or (0, None)
+            return iter([OUT(key[0], until, None, fails, None, "open")] if until is not None else [])
 
         def close(self) -> None:
             pass
@@ -95,9 +98,9 @@ def _processor():
     return Locks()
 
 
-def _rows(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["key", "us", "ord", "fails", "until", "what"])
-    return out.astype({"us": "int64", "until": "Int64", "ord": "Int64", "fails": "int32"})
+def _in_time(attempt: tuple) -> tuple:
+    at, ord_, _ = attempt
+    return at, ord_ is None, ord_ or 0
 
 
 def locks(attempts: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -108,5 +111,5 @@ def locks(attempts: DataFrame, late: str = "1 hour") -> DataFrame:
     """
     schema = "key string, us long, ord long, fails int, until long, what string"
     keyed = attempts.withColumn("us", F.unix_micros("at")).withWatermark("at", late).groupBy("key")
-    out = keyed.transformWithStateInPandas(statefulProcessor=_processor(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    out = keyed.transformWithState(statefulProcessor=_processor(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
     return out.select("key", F.timestamp_micros("us").alias("at"), "ord", "fails", F.timestamp_micros("until").alias("until"), "what")

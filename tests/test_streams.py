@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cinderlake.session import shared_folder
@@ -50,6 +51,38 @@ def test_stream_is_the_batch_after_a_restart(spark):
     assert all((r["key"], r["at"]) in untils and r["count"] == 1 for r in opened) and [r["at"] for r in opened if r["key"] == "idle"] == [dt.datetime(2024, 1, 1, 0, 2, 6)]
 
 
+def test_state_is_asked_for_once():
+    """A key costs one look at its state, and further calls only where state or timer change; attempts count in their order, those without a number last."""
+    calls = []
+
+    class Held:
+        value = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append((name, *args))
+                if name in ("update", "clear"):
+                    Held.value = args[0] if args else None
+                return {"get": Held.value, "getValueState": self}.get(name)
+
+            return call
+
+    def run(*attempts):
+        calls.clear()
+        got = list(locks.handleInputRows(("u",), iter([Row(us=us, ord=o, failed=f) for us, o, f in attempts]), None))
+        return [(r.us, r.ord, r.fails, r.until, r.what) for r in got], [c[0] for c in calls]
+
+    locks = A._processor()
+    locks.init(Held())
+    assert run((9, 1, False)) == ([(9, 1, 0, None, "attempt")], ["get"])
+    failed, asked = run((50, None, True), (50, 7, True), (20, 2, True), (30, 3, True), (40, 4, True))
+    assert failed == [(20, 2, 1, None, "attempt"), (30, 3, 2, None, "attempt"), (40, 4, 3, None, "attempt"), (50, 7, 4, None, "attempt"), (50, None, 5, 30_000_050, "attempt")]
+    assert asked == ["get", "update", "registerTimer"] and Held.value == (5, 30_000_050)
+    assert [tuple(r) for r in locks.handleExpiredTimer(("u",), None, None)] == [("u", 30_000_050, None, 5, None, "open")]
+    assert run((60, 8, False)) == ([(60, 8, 0, None, "attempt")], ["get", "clear", "deleteTimer"])
+    assert list(locks.handleExpiredTimer(("u",), None, None)) == []
+
+
 def _send(spark, landed, path, checkpoint, schema, broken=None):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(landed)
     if broken is not None:
