@@ -154,6 +154,26 @@ def test_many_topics(spark, most):
     assert multiplied < 0.35 * len(docs) ** 2
 
 
+def test_pairs_of_blocks_copy_nothing(spark, monkeypatch):
+    """Pairs of blocks are a product of a written table with itself: no shuffle carries a document once per block, and cosines come with the pairs."""
+    rnd = random.Random(3)
+    docs = [(k, " ".join(rnd.choices([f"word{j:02}" for j in range(60)], k=rnd.randrange(1, 40)))) for k in range(150)] + [(500 + k, "one and the same text") for k in range(9)] + [(900, ""), (901, "   ")]
+    weights = X.tfidf(spark.createDataFrame(docs, "id long, text string"), "id", F.col("text")).cache()
+    want = {p: c for p, c in _cosines(weights).items() if c >= 0.4}
+    for given in (weights, weights.drop("term_id")):
+        out = X.block_products(given, 0.4, 20, 100)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan and "FlatMapGroups" not in plan
+        rows = [(r["a"], r["b"], r["cosine"]) for r in out.where("a IS NOT NULL").collect()]
+        assert len(rows) == len(want) > 30 and all(abs(c - want[a, b]) < 1e-9 for a, b, c in rows)
+    blocks = out.where("a IS NULL").count()
+    assert blocks in {n * (n + 1) // 2 for n in range(6, 16)}  # each pair of blocks once
+    monkeypatch.setattr(X, "FEW_DOCUMENTS", 10)
+    monkeypatch.setattr(X, "MEETINGS", 0)
+    got = {(r["a"], r["b"]): r["cosine"] for r in X.tfidf_pairs(weights, 0.4, block=20, most_meetings=1.0).collect()}
+    assert got.keys() == want.keys()
+
+
 def test_near_pairs_as_brute_force(spark):
     """Fingerprints in crowds that agree in many bits, with copies and near copies."""
     rnd = random.Random(11)
