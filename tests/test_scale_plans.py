@@ -174,6 +174,22 @@ def test_pairs_of_blocks_copy_nothing(spark, monkeypatch):
     assert got.keys() == want.keys()
 
 
+@pytest.mark.parametrize("dense", [1, 60, 10**9])
+def test_few_pairs_are_added_up_in_full(spark, dense, monkeypatch):
+    """Documents of one language share common terms: what these can add is bounded, and only the pairs that can reach the threshold are added up in full."""
+    monkeypatch.setattr(X, "STEP", 300)
+    rnd = random.Random(8)
+    common, rare = [f"common{j:02}" for j in range(60)], [f"rare{j:04}" for j in range(4000)]
+    docs = [(k, " ".join(rnd.choices(common, k=rnd.randrange(2, 30)) + rnd.choices(rare, k=rnd.randrange(60)))) for k in range(240)]
+    docs += [(1000 + k, t + " " + " ".join(rnd.choices(rare, k=15))) for k, t in docs[:40]] + [(2000, "common01 common02"), (2001, "common02 common01 common01")]
+    weights = X.tfidf(spark.createDataFrame(docs, "id long, text string"), "id", F.col("text")).cache()
+    want = {p: c for p, c in _cosines(weights).items() if c >= 0.35}
+    rows = X.block_products(weights, 0.35, 100, dense).collect()
+    got = {(r["a"], r["b"]): r["cosine"] for r in rows if r["a"] is not None}
+    assert got.keys() == want.keys() and len(got) == sum(r["a"] is not None for r in rows) > 30 and all(abs(c - want[p]) < 1e-9 for p, c in got.items())
+    assert len(got) <= sum(r["n"] for r in rows if r["a"] is None) < 0.25 * len(docs) ** 2 / 2
+
+
 def test_near_pairs_as_brute_force(spark):
     """Fingerprints in crowds that agree in many bits, with copies and near copies."""
     rnd = random.Random(11)
