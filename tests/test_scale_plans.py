@@ -190,6 +190,16 @@ def test_few_pairs_are_added_up_in_full(spark, dense, monkeypatch):
     assert len(got) <= sum(r["n"] for r in rows if r["a"] is None) < 0.25 * len(docs) ** 2 / 2
 
 
+def test_series_read_texts_once(spark, tmp_path):
+    """Headlines are cut once, not again for either end of an edge."""
+    docs = [(k, "s", f"Weekly threats {k}\nbody") for k in range(4)] + [(k, "s", f"Other {'abcdef'[k - 10]}\nbody") for k in range(10, 16)] + [(20, None, "Weekly threats\nbody")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "docs"))
+    edges = spark.createDataFrame([(0, 1), (1, 3), (2, 10), (10, 11), (3, 20)], "a long, b long")
+    out = X.suppress_series(edges, spark.read.parquet(str(tmp_path / "docs")), "doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)))
+    assert {(r["a"], r["b"]) for r in out.collect()} == {(2, 10), (10, 11), (3, 20)}
+    assert str(tmp_path) not in "".join(out.inputFiles())
+
+
 def test_near_pairs_as_brute_force(spark):
     """Fingerprints in crowds that agree in many bits, with copies and near copies."""
     rnd = random.Random(11)
