@@ -200,6 +200,15 @@ def test_series_read_texts_once(spark, tmp_path):
     assert str(tmp_path) not in "".join(out.inputFiles())
 
 
+def test_looked_at_documents_are_bounded(spark, monkeypatch):
+    """The share of pairs that meet is found from a number of documents that doesn't grow with the table."""
+    weights = X.tfidf(spark.range(3000).select("id", F.expr("concat('word', id % 50, ' own', id)").alias("text")), "id", F.col("text")).cache()
+    seen = []
+    monkeypatch.setattr(X, "leading", lambda part, threshold, old=X.leading: (seen.append(part.select("id").distinct().count()), old(part, threshold))[1])
+    share, documents = X._shared(weights, 0.35, most=100)
+    assert documents == 3000 and 50 < seen[0] < 200 and 0.005 < share < 0.05
+
+
 def test_near_pairs_as_brute_force(spark):
     """Fingerprints in crowds that agree in many bits, with copies and near copies."""
     rnd = random.Random(11)
