@@ -233,6 +233,27 @@ def test_near_pairs_as_brute_force(spark):
             assert {tuple(r) for r in met.collect()} == {p for p in want if some[p[0]] != some[p[1]]}
 
 
+def test_crowds_are_compared_in_blocks(spark, monkeypatch):
+    """Crowds agree in so many bits that keys would bring all together; blocks of them are compared in place, and each pair is one row."""
+    rnd = random.Random(12)
+    crowd = [0x5A5A5A5A5A5A5A5A ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(5))) for _ in range(400)] + [0, (1 << 64) - 1, 1 << 63]
+    signed = [v - (1 << 64) if v >> 63 else v for v in crowd]
+    least: dict = {}
+    for k, v in enumerate(crowd):
+        least.setdefault(v, k)
+    want = sorted([tuple(sorted((a, b))) for v, a in least.items() for w, b in least.items() if a < b and (v ^ w).bit_count() <= 6] + [(least[v], k) for k, v in enumerate(crowd) if least[v] != k])
+    monkeypatch.setattr(near, "LEAST_BLOCK", 60)
+    monkeypatch.setattr(near, "HELD", 500)
+    monkeypatch.setattr(near, "TILE", (7, 24))
+    out = near.near_pairs(spark.createDataFrame(list(enumerate(signed)), "id int, fp long"), "id", "fp", 6)
+    assert out.schema["a"].dataType.simpleString() == "int" and sorted((r["a"], r["b"]) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan.split("Union")[1].split("CartesianProduct")[0]
+    # ids that aren't whole numbers keep to keys
+    out = near.near_pairs(spark.createDataFrame([(f"d{k:04}", v) for k, v in enumerate(signed)], "id string, fp long"), "id", "fp", 6)
+    assert sorted((int(r["a"][1:]), int(r["b"][1:])) for r in out.collect()) == want
+
+
 def test_meetings_once_and_never_broadcast(spark):
     """A pair that meets at many points is one row, also with all bits set; keys are many times the table and must not pass through the driver."""
     crowd = [v - (1 << 64) if v >> 63 else v for v in ((0b1011 << 60) ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(a, 64, 7))]
