@@ -279,6 +279,29 @@ def test_greedy_rounds(spark, monkeypatch):
     assert {k for k, v in got.items() if v} == set(kept) and len(got) == len(prints)
 
 
+@pytest.mark.parametrize("edges", [0, 100_000])
+def test_greedy_in_batches(spark, monkeypatch, edges):
+    """Crowds are dropped by what was kept before: later batches list hardly any pairs, and the choice is that of one pass in the order of ids."""
+    rnd = random.Random(13)
+    flip = lambda v, n: v ^ sum(1 << b for b in rnd.sample(range(64), n))
+    centres = [rnd.getrandbits(64) for _ in range(4)]
+    prints = [flip(rnd.choice(centres), rnd.randrange(5)) for _ in range(500)] + [rnd.getrandbits(64) for _ in range(50)]
+    prints = [v - (1 << 64) if v >> 63 else v for v in prints + prints[:30]]
+    monkeypatch.setattr(X, "simhash_column", lambda text: text.cast("long"))
+    monkeypatch.setattr(X, "FIRST_BATCH", 60)
+    monkeypatch.setattr(X, "GROWTH", 2)
+    monkeypatch.setattr(X, "TASK_EDGES", edges)
+    listed = []
+    monkeypatch.setattr(X, "_dropped", lambda pairs, old=X._dropped: (listed.append(pairs.count()), old(pairs))[1])
+    got = {r["id"]: r["kept"] for r in X.greedy_kept(spark.createDataFrame([(3 * k, str(v)) for k, v in enumerate(prints)], "id long, t string"), "id", F.col("t")).collect()}
+    kept: list = []
+    for k, v in enumerate(prints):
+        if not any(((v ^ prints[j]) % (1 << 64)).bit_count() <= 6 for j in kept):
+            kept.append(k)
+    assert {k for k, v in got.items() if v} == {3 * k for k in kept} and len(got) == len(prints)
+    assert len(listed) >= 3 and sum(listed[1:]) < 100 < listed[0]
+
+
 def test_crowded_bits_are_left_out():
     """Bits in which a crowd agrees get no segment or a small radius, so few of the crowd meet."""
     rnd = random.Random(5)
